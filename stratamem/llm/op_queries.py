@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, mixing
+from stratamem.llm import exact_dedup, mixing, packing, token_count
 from stratamem.sources.tables import table
 
 
@@ -18,4 +20,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup)}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they exceed 512."""
+    counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """Every piece of ``docs`` with a digest of its ids and its place."""
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    digests = cut.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(digests, packing.place(cut)).drop("row")
+
+
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, packed into sequences of 4096 tokens."""
+    return packed_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op7_token_counts, op8_best_two_fit)}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, mixing, packing, token_count
+from stratamem.llm import exact_dedup, mixing, packing, secret_scan, token_count
 from stratamem.sources.tables import table
 
 
@@ -38,4 +38,9 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op7_token_counts, op8_best_two_fit)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op7_token_counts, op8_best_two_fit, op9_secret_scan)}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, mixing, packing, secret_scan, token_count
+from stratamem.llm import exact_dedup, mixing, packing, secret_scan, token_count, winnowing
 from stratamem.sources.tables import table
 
 
@@ -20,6 +20,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    found = winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        winnowing.as_string(F.col("prints")).alias("fingerprint"),
+        winnowing.as_string(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they exceed 512."""
     counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -43,4 +57,4 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op7_token_counts, op8_best_two_fit, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op6_winnowing, op7_token_counts, op8_best_two_fit, op9_secret_scan)}

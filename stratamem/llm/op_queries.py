@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, mixing, packing, secret_scan, token_count, winnowing
+from stratamem.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_count, winnowing
 from stratamem.sources.tables import table
 
 
@@ -15,6 +15,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def _fold(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside fold 1 of 3."""
+    found = language_id.identify(table(spark, sf_dir, "documents"), _fold(3) != 1)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy group of every document, and which row of it stays."""
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
@@ -57,4 +67,4 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op6_winnowing, op7_token_counts, op8_best_two_fit, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_language_id, op4_exact_dedup, op6_winnowing, op7_token_counts, op8_best_two_fit, op9_secret_scan)}

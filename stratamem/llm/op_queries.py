@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_count, winnowing
+from stratamem.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_count, toxicity, winnowing
 from stratamem.sources.tables import table
 
 
@@ -30,6 +30,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside fold 0 of 5."""
+    _, scored = toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(5) != 0)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     found = winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
@@ -67,4 +73,4 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_language_id, op4_exact_dedup, op6_winnowing, op7_token_counts, op8_best_two_fit, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_language_id, op4_exact_dedup, op5_toxicity, op6_winnowing, op7_token_counts, op8_best_two_fit, op9_secret_scan)}

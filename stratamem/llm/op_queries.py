@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_count, toxicity, winnowing
+from stratamem.llm import exact_dedup, language_id, mixing, packing, secret_scan, suffix_dedup, token_count, toxicity, winnowing
 from stratamem.sources.tables import table
 
 
@@ -73,4 +73,26 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_language_id, op4_exact_dedup, op5_toxicity, op6_winnowing, op7_token_counts, op8_best_two_fit, op9_secret_scan)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur twice."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_language_id,
+        op4_exact_dedup,
+        op5_toxicity,
+        op6_winnowing,
+        op7_token_counts,
+        op8_best_two_fit,
+        op9_secret_scan,
+        op10_suffix_dedup,
+    )
+}

@@ -23,7 +23,7 @@ FULL = 0.995
 
 @lru_cache(maxsize=4)
 def _memo(path: str) -> Memo:
-    return Memo(load(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    return Memo(load(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids), lower=True)
 
 
 def ids_batch(path: str, texts: list[str]) -> list[bytes]:

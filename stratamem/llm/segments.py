@@ -14,7 +14,7 @@ from functools import lru_cache
 from itertools import chain
 
 #: Entries of a memo; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Longer segments are not kept.
 LONGEST = 64
 
@@ -39,20 +39,51 @@ def load(path: str):
     return tokenizer
 
 
+#: A segment that is one pre-token: a run of Latin letters, after one space or nothing.
+ONE_PRETOKEN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in prints else next(spare)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Memo(dict):
-    """Segment -> ``value(ids)``, filled in batches."""
+    """Segment -> ``value(ids)``, filled in batches.
+
+    A segment that is one pre-token goes straight to the library's model, in the letters
+    that the vocabulary uses for bytes; any other goes through the whole library.
+    """
 
-    def __init__(self, tokenizer, value):
+    def __init__(self, tokenizer, value, lower: bool):
         super().__init__()
-        self.tokenizer, self.value = tokenizer, value
+        self.tokenizer, self.value, self.lower = tokenizer, value, lower
+        self.model = tokenizer.model
 
     def learn(self, segmented: list[list[str]]) -> None:
         """Encode the segments that are missing."""
-        new = list(set(chain.from_iterable(segmented)).difference(self))
+        missing = set(chain.from_iterable(segmented)).difference(self)
+        whole, tokenize, value = ONE_PRETOKEN.fullmatch, self.model.tokenize, self.value
+        new = []
+        for s in missing:
+            if whole(s):
+                word = s.lower() if self.lower else s
+                if word.isascii():
+                    letters = f"{_BYTE_LETTERS[32]}{word[1:]}" if word[0] == " " else word
+                else:
+                    letters = "".join([_BYTE_LETTERS[b] for b in word.encode()])
+                self[s] = value([t.id for t in tokenize(letters)])
+            else:
+                new.append(s)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[s] = self.value(e.ids)
+                self[s] = value(e.ids)
 
     def trim(self, segmented: list[list[str]]) -> None:
         """Forget what must not be kept."""

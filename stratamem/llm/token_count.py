@@ -68,7 +68,7 @@ def count_spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERL
 
 @lru_cache(maxsize=4)
 def _memo(path: str) -> Memo:
-    return Memo(load(path), len)
+    return Memo(load(path), len, lower=False)
 
 
 def count_batch(path: str, texts: list[str]) -> list[int]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, language_id, mixing, packing, secret_scan, suffix_dedup, token_count, toxicity, winnowing
+from stratamem.llm import exact_dedup, jaccard_join, language_id, mixing, packing, secret_scan, suffix_dedup, token_count, toxicity, winnowing
 from stratamem.sources.tables import table
 
 
@@ -25,6 +25,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and its number of links."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy group of every document, and which row of it stays."""
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
@@ -87,6 +92,7 @@ QUERIES = {
     for f in (
         op1_mixing,
         op2_language_id,
+        op3_jaccard_join,
         op4_exact_dedup,
         op5_toxicity,
         op6_winnowing,

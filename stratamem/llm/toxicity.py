@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,3 +290,20 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, training) -> tuple[Model
     marked = labels.select(F.col("doc_id"), "toxic").where(training)
     model = train(docs.select("doc_id", "text").join(marked, "doc_id"))
     return model, score(docs, model)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns.
+
+    One pass: the rows go through the model as they are, so nothing is joined back. Edge
+    cases as in ``score``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    position = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(position).to_pylist()]
+            yield batch.filter(pa.array(shared.value.scores(texts) < limit))
+
+    return docs.mapInArrow(run, docs.schema)

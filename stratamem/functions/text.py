@@ -12,6 +12,11 @@ from stratamem.functions import fixed as V
 TOKEN = r"[\p{L}\p{N}_]{3,}"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """White space of all kinds removed from both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -81,9 +86,9 @@ def prose(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), is_prose), "\n")
 
 
-def memory_type(text: Column) -> Column:
-    """The first type with a keyword in the text, or null."""
-    low, found = F.lower(text), None
+def memory_type(low: Column) -> Column:
+    """The first type with a keyword in a lower-cased text, or null."""
+    found = None
     for kind, words in V.TYPE_KEYWORDS.items():
         test = has_any(low, words)
         found = F.when(test, F.lit(kind)) if found is None else found.when(test, F.lit(kind))
@@ -92,17 +97,19 @@ def memory_type(text: Column) -> Column:
 
 def classify(text: Column) -> Column:
     """``struct<type, confidence, sentiment>`` of a memory's text."""
-    clean = prose(text)
-    used = F.when(clean == "", text).otherwise(clean)
-    low = F.lower(used)
-    first = F.coalesce(memory_type(used), F.lit("fact"))
-    kind = F.when(first.isin("question", "hypothesis") & has_any(low, V.RESOLUTION_KEYWORDS), F.lit("outcome")).otherwise(first)
-    hits = F.lit(0)
-    for name, words in V.TYPE_KEYWORDS.items():
-        hits = F.when(kind == name, count_any(low, words)).otherwise(hits)
-    sure = F.bround(F.greatest(F.lit(0.3), F.least(F.lit(1.0), hits / 5.0 + 0.1)), 2)
-    sure = F.when(kind.isin(*V.TYPE_KEYWORDS), sure).otherwise(F.lit(0.3))
-    return F.struct(kind.alias("type"), sure.alias("confidence"), sentiment(low).alias("sentiment"))
+    words = F.create_map(*(x for name, ws in V.TYPE_KEYWORDS.items() for x in (F.lit(name), F.array(*(F.lit(w) for w in ws)))))
+
+    def described(kind: Column, low: Column) -> Column:
+        hits = F.size(F.filter(F.coalesce(F.try_element_at(words, kind), F.array().cast("array<string>")), lambda w: F.contains(low, w)))
+        sure = F.when(kind.isin(*V.TYPE_KEYWORDS), F.bround(F.greatest(F.lit(0.3), F.least(F.lit(1.0), hits / 5.0 + 0.1)), 2)).otherwise(F.lit(0.3))
+        return F.struct(kind.alias("type"), sure.alias("confidence"), sentiment(low).alias("sentiment"))
+
+    def judged(low: Column) -> Column:
+        first = F.coalesce(memory_type(low), F.lit("fact"))
+        kind = bind(first, lambda k: F.when(k.isin("question", "hypothesis") & has_any(low, V.RESOLUTION_KEYWORDS), F.lit("outcome")).otherwise(k))
+        return bind(kind, lambda k: described(k, low))
+
+    return bind(F.lower(bind(prose(text), lambda p: F.when(p == "", text).otherwise(p))), judged)
 
 
 def sentiment(low: Column) -> Column:
@@ -201,22 +208,25 @@ def hall(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit("context"))
 
 
-def occurrences(text: Column, word: str) -> Column:
+def occurrences(text: Column, word: Column) -> Column:
     """Non-overlapping occurrences of a word."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
 
 
 def room(text: Column, rooms: dict[str, tuple[str, ...]] | None = None, least: int = 2) -> Column:
     """The room whose keywords occur most, long ones twice; of equal rooms the first; ``general`` below ``least``."""
-    rooms, low = rooms or V.ROOMS, F.lower(text)
-    scored = []
-    for n, (name, words) in enumerate(rooms.items()):
-        score = F.lit(0)
-        for w in words:
-            score = score + occurrences(low, w) * (2 if len(w) > 6 else 1)
-        scored.append(F.struct(score.alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("room")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] >= least, best["room"]).otherwise(F.lit("general"))
+    rooms = rooms or V.ROOMS
+
+    def best_of(low: Column) -> Column:
+        scored = []
+        for n, (name, words) in enumerate(rooms.items()):
+            pairs = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(2 if len(w) > 6 else 1).alias("weight")) for w in words))
+            score = F.aggregate(pairs, F.lit(0), lambda s, x: s + occurrences(low, x["word"]) * x["weight"])
+            scored.append(F.struct(score.alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("room")))
+        return F.array_max(F.array(*scored))
+
+    named = bind(bind(F.lower(text), best_of), lambda b: F.when(b["score"] >= least, b["room"]).otherwise(F.lit("general")))
+    return F.coalesce(named, F.lit("general"))
 
 
 def broken_citations(text: Column) -> Column:

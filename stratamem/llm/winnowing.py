@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import bind, materialise
+from stratamem.llm.shared import bind
 
 #: Tokens of a k-gram.
 K = 5
@@ -105,22 +105,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), fingerprint(text).alias("prints"))
 
 
-def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, next_id) for each distinct non-null id in ascending order; the last one's next is the first.
+#: Rows of a range of ids, about, and ranges at most: their heads are literals of the plan.
+RANGE_ROWS, RANGES = 2048, 4096
 
-    Ids are dealt by range, each range looks ahead within itself, and the first id of the
-    following range, found among one row per range, closes it.
-    """
-    spark = docs.sparkSession
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def range_heads(docs: DataFrame, id_col: str = "doc_id") -> list:
+    """The least id of each range when the distinct ids are cut into ranges of about ``RANGE_ROWS``, ``RANGES`` at most."""
     ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    dealt = materialise(ids.repartitionByRange(ranges, "doc_id").withColumn("part", F.spark_partition_id()), "winnow-ids")
-    ahead = dealt.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    edges = dealt.groupBy("part").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("part")
-    everywhere = Window.partitionBy()
-    edges = edges.select("part", F.coalesce(F.lead("head").over(order), F.min("head").over(everywhere)).alias("following"))
-    return ahead.join(edges, "part").select("doc_id", F.coalesce("next_id", "following").alias("next_id"))
+    count = ids.count()
+    ranges = max(1, min(RANGES, -(-count // RANGE_ROWS)))
+    dealt = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("head"))
+    return sorted(r["head"] for r in dealt.collect())
+
+
+def with_next(rows: DataFrame, heads: list, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns computed from each row and, as ``next_<name>``, those of the row after it by ``doc_id``.
+
+    The last row's next is the first. Rows are dealt by range once; the head of a range is
+    dealt to the range before it too, so that its last row can look ahead.
+    """
+    if not heads:
+        heads = [None]
+    spark = rows.sparkSession
+    bounds = F.array(*(F.lit(h) for h in heads))
+    own = F.greatest(F.size(F.filter(bounds, lambda h: h <= F.col("doc_id"))), F.lit(1)) - 1
+    before = F.pmod(own - 1 + len(heads), F.lit(len(heads)))
+    places = F.when(F.array_contains(bounds, F.col("doc_id")), F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")), F.struct(before.alias("range"), F.lit(True).alias("guest"))))
+    places = F.explode(places.otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")))))
+    dealt = rows.withColumn("place", places).select(*rows.columns, "place.*")
+    tasks = max(len(heads), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, "range").withColumns(columns)
+    # the first id of all comes last where it is a guest
+    order = Window.partitionBy("range").orderBy(F.col("guest") & (F.col("doc_id") == F.lit(heads[0])), "doc_id", "text", "guest")
+    ahead = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *columns)})
+    return ahead.where(~F.col("guest")).drop("range", "guest")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -133,27 +151,24 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row of ``docs``: its fingerprint, that of its edited text, and how alike they and the next one's are.
 
     Columns ``doc_id``, ``n_chars``, ``edited_sha256``, ``prints``, ``edited_prints``,
-    ``near_edited``, ``near_next``. Texts move by id twice on one shuffle: to hand each
-    document's start and hashes to the one before it, and to meet what the next one hands.
+    ``near_edited``, ``near_next``. Texts move once, to ranges of ids.
 
-    Edge cases: as in ``fingerprints``; a table of one id is its own next; a null id has no
-    next document (an empty one stands in); rows that share an id have the same next id,
-    whose least row by text is taken.
+    Edge cases: as in ``fingerprints``; a table of one row is its own next; rows that share
+    an id follow each other by text; a null id has no next document (an empty one stands in).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("prints", fingerprint(F.col("text")))
-    wanted = next_ids(docs.select(F.col(id_col).alias("doc_id")))
-    lengths = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
-    wanted = wanted.join(lengths, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id"), F.floor(F.col("n") / 4).cast("int").alias("tail"))
-    handed = rows.join(wanted, F.col("doc_id") == F.col("next_id")).select(
-        "before", F.substring(F.col("text"), F.lit(1), F.col("tail")).alias("start"), hashes(F.col("prints")).alias("next_hashes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    own = {"prints": fingerprint(F.col("text"))}
+    named = with_next(rows.where("doc_id is not null"), range_heads(docs, id_col), own)
+    empty = F.array().cast("array<bigint>")
+    unnamed = rows.where("doc_id is null").withColumns({**own, "next_text": F.lit(""), "next_prints": empty})
+    met = named.unionByName(unnamed).select(
+        "doc_id",
+        "prints",
+        F.length("text").cast("long").alias("n_chars"),
+        edited(F.col("text"), F.col("next_text")).alias("edited"),
+        hashes(F.col("next_prints")).alias("next_hashes"),
     )
-    handed = handed.groupBy("before").agg(F.min(F.struct("start", "next_hashes")).alias("x")).select("before", "x.*")
-    met = rows.join(handed, F.col("doc_id") == F.col("before")).drop("before")
-    empty = F.array().cast("array<int>")
-    unnamed = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    unnamed = unnamed.select("doc_id", "text", fingerprint(F.col("text")).alias("prints"), F.lit("").alias("start"), empty.alias("next_hashes"))
-    met = met.unionByName(unnamed).select("doc_id", "prints", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.coalesce("start", F.lit(""))).alias("edited"), F.coalesce("next_hashes", empty).alias("next_hashes"))
 
     def compared(own: Column) -> Column:
         return bind(

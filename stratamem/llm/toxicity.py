@@ -19,8 +19,9 @@ TRAIN_DOCS = 3000
 MAX_TERMS = 400
 #: Distinct training texts that a new term must explain.
 MIN_GAIN = 3
-#: Share of toxic texts among those that have the term, as if both labels were as frequent and one more text were clean.
-MIN_PRECISION = 0.97
+#: Share of toxic texts among those that have the term, as if both labels were as frequent and
+#: DOUBT more clean texts had it.
+MIN_PRECISION, DOUBT = 0.9, 3
 #: Shortest stem, and shortest term that may be misspelled.
 STEM, FUZZY = 4, 5
 #: Words around a hit that are read as its context.
@@ -124,7 +125,7 @@ class Matcher:
         try:
             return self.words[word]
         except KeyError:
-            if len(self.words) > 300_000:
+            if len(self.words) > 150_000:
                 self.words.clear()
             if len(self.steps) > 300_000:
                 self.steps.clear()
@@ -159,34 +160,41 @@ def features(text: str, matcher: Matcher, weights: dict[str, float]) -> list[flo
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(1000 * (exact + fuzzy) / max(50, len(words))), float(exact >= 1)]
 
 
+def _terms(text: str) -> set[str]:
+    words = set(WORD.findall(text.lower()))
+    return words | {f"{w[:n]}*" for w in words for n in range(STEM, min(len(w), 8))}
+
+
 def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
-    """term -> precision, by greedy cover of the toxic texts.
+    """term -> weight, by greedy cover of the toxic texts.
+
+    Terms are counted text by text; only those of toxic texts are held, and of them only the
+    frequent ones after the first pass.
 
     Candidates are words, and stems of ``STEM`` letters or more. A term is taken while it
     explains ``MIN_GAIN`` texts that no earlier term does, so words that merely come along
-    with the copies of one text add nothing.
+    with the copies of one text add nothing. A weight is the squared log odds of the term's
+    precision over 25, 1 at most, so one chance hit of a doubtful term is little evidence.
     """
-    seen: set[str] = set()
-    rows: list[tuple[set[str], int]] = []
-    for text, label in zip(texts, toxic, strict=True):
-        if text in seen:
-            continue
-        seen.add(text)
-        words = set(WORD.findall(text.lower()))
-        rows.append((words | {f"{w[:n]}*" for w in words for n in range(STEM, min(len(w), 8))}, label))
-    bad, good = Counter(), Counter()
-    for terms, label in rows:
-        (bad if label else good).update(terms)
+    rows = list({t: y for t, y in zip(texts, toxic, strict=True)}.items())
+    bad: Counter = Counter()
+    for text, label in rows:
+        if label:
+            bad.update(_terms(text))
+    bad = Counter({t: n for t, n in bad.items() if n >= MIN_GAIN})
+    good: Counter = Counter()
+    for text, label in rows:
+        if not label:
+            good.update(t for t in _terms(text) if t in bad)
     n_bad = max(1, sum(label for _, label in rows))
     share = n_bad / max(1, len(rows) - n_bad)
-    precise = {t: p for t, n in bad.items() if n >= MIN_GAIN and (p := n / (n + (good[t] + 1) * share)) >= MIN_PRECISION}
+    precise = {t: p for t, n in bad.items() if (p := n / (n + (good[t] + DOUBT) * share)) >= MIN_PRECISION}
     covers: dict[str, set[int]] = {}
-    for k, (terms, label) in enumerate(rows):
+    for k, (text, label) in enumerate(rows):
         if label:
-            for t in terms.intersection(precise):
+            for t in _terms(text).intersection(precise):
                 covers.setdefault(t, set()).add(k)
     lexicon: dict[str, float] = {}
-    left = {k for k, (_, label) in enumerate(rows) if label}
     while covers and len(lexicon) < MAX_TERMS:
         # of equal cover the plain word, then the longer term, then by name
         term = max(covers, key=lambda t: (len(covers[t]), not t.endswith("*"), len(t), t))
@@ -194,7 +202,6 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
             break
         gone = covers.pop(term)
         lexicon[term] = precise[term]
-        left -= gone
         for t in list(covers):
             covers[t] -= gone
             if len(covers[t]) < MIN_GAIN:
@@ -202,7 +209,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
     # a word that is as precise by itself also counts where others explained its texts
     often = [t for t in precise if not t.endswith("*") and bad[t] >= 0.05 * n_bad and t not in lexicon]
     lexicon.update({t: precise[t] for t in often[: MAX_TERMS - len(lexicon)]})
-    return lexicon
+    return {t: min(1.0, (math.log(p / (1 - p)) / 5) ** 2) if p < 1 else 1.0 for t, p in lexicon.items()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 0.5) -> np.ndarray:

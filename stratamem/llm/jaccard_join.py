@@ -187,7 +187,7 @@ def _compare(members: DataFrame, id_type: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, i, j), group in pdf.groupby(["component", "i", "j"]):
-            group = group.sort_values("rep", ignore_index=True)
+            group = group.drop_duplicates(["rep", "own"]).sort_values(["rep", "own"], ignore_index=True)
             left, right = links_of(group["text"].tolist(), group["block"].to_numpy(), i == j)
             copies = group["copies"].to_numpy()
             links = np.bincount(left, copies[right], len(group)) + np.bincount(right, copies[left], len(group))
@@ -202,18 +202,18 @@ def _described(rows: DataFrame, id_type: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, code, text in zip(batch["doc_id"], batch["code"], batch["text"], strict=True):
                 found = shingles(text)
                 if len(found):
                     digest = xxhash.xxh3_128_intdigest(found.tobytes())
                     high, low = ((digest >> k & (1 << 64) - 1) - (1 << 63) for k in (64, 0))
-                    out.append((doc_id, high, low, len(text), band_keys(signature(found)[None])[0]))
+                    out.append((doc_id, code, high, low, len(text), band_keys(signature(found)[None])[0]))
                 else:
-                    out.append((doc_id, None, None, len(text), None))
-            made = pd.DataFrame(out, columns=["doc_id", "high", "low", "chars", "bands"])
+                    out.append((doc_id, code, None, None, len(text), None))
+            made = pd.DataFrame(out, columns=["doc_id", "code", "high", "low", "chars", "bands"])
             yield made.astype({"high": "Int64", "low": "Int64"})
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, high long, low long, chars long, bands array<bigint>")
+    return rows.mapInPandas(run, f"doc_id {id_type}, code long, high long, low long, chars long, bands array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,19 +237,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("code"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with arrow_rows(spark, 1024):
         described = materialise(_described(rows, kind), "jaccard-rows")
     named = described.where("doc_id is not null and high is not null")
-    sets = materialise(named.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars")), "jaccard-sets")
-    texts = sets.select("rep", "high", "low")
-    banded = named.join(texts, (F.col("doc_id") == F.col("rep")) & (named["high"] == texts["high"]) & (named["low"] == texts["low"]))
+    least = F.min(F.struct("doc_id", "code")).alias("least")
+    sets = named.groupBy("high", "low").agg(least, F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"))
+    sets = materialise(sets.select("high", "low", F.col("least.doc_id").alias("rep"), F.col("least.code").alias("own"), "copies", "chars"), "jaccard-sets")
+    texts = sets.select("rep", "own").hint("merge")
+    banded = named.join(texts, (F.col("doc_id") == F.col("rep")) & (F.col("code") == F.col("own")))
     banded = banded.select("rep", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("key", "hub")
+    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("key", "hub").hint("merge")
     candidates = banded.join(hubs, "key").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(candidates)
-    members = clusters.join(sets, F.col("node") == F.col("rep")).select("rep", "high", "low", "component", "copies", "chars")
+    members = clusters.join(sets, F.col("node") == F.col("rep")).select("rep", "own", "component", "copies", "chars")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_CHARS))
     members = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -259,9 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = members.agg(F.sum("chars")).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHARS))
     members = members.withColumn("shard", F.pmod(F.xxhash64("component", "i", "j"), F.lit(shards)))
-    whole = rows.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    # of rows that repeat an id, any whose shingle set has it as least id may stand for the set
-    whole = whole.join(members, F.col("doc_id") == F.col("rep")).select("rep", "text", "component", "i", "j", "block", "blocks", "copies", "shard")
+    # texts meet their places by sort-merge at every size, as the members grow with the rows
+    whole = rows.join(members.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("code") == F.col("own")))
+    whole = whole.select("rep", "own", "text", "component", "i", "j", "block", "blocks", "copies", "shard")
     compared = materialise(_compare(whole, kind), "jaccard-links")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     if compared.where("blocks > 1").limit(1).count():

@@ -61,17 +61,17 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> pd.DataFrame:
-    """The anchors of the texts: ``text``, ``anchor`` (hash), ``context`` (hash), ``first``, ``last``.
+    """The anchors of the texts: ``text``, ``anchor`` (hash), ``context`` (hash), ``first``, ``last``, ``left``, ``right``.
 
     Each string of ``length`` bytes has one anchor: its gram of least hash, the rightmost of
     equal ones. The strings that start from ``first`` to ``last`` of a text are those of one
     anchor; equal strings have equal anchors at equal offsets. The context is the bytes that
-    those strings cover, with the anchor's offset in it.
+    those strings cover, with the anchor's offset in it. ``left`` and ``right`` are hashes of
+    the half string that ends, or starts, with the anchor; 0 where the text is too short.
     """
     texts_at = [k for k, t in enumerate(texts) if len(t) >= length]
-    empty = pd.DataFrame({"text": np.empty(0, np.int64), "anchor": np.empty(0, np.int64), "context": np.empty(0, np.int64), "first": np.empty(0, np.int64), "last": np.empty(0, np.int64)})
     if not texts_at:
-        return empty
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("text", "anchor", "context", "first", "last", "left", "right")})
     data = np.frombuffer(b"".join(texts[k] for k in texts_at), dtype=np.uint8)
     sizes = np.array([len(texts[k]) for k in texts_at])
     ends = np.cumsum(sizes)
@@ -89,7 +89,11 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> pd.DataFrame:
     last = np.append(at[np.flatnonzero(change)[1:] - 1], at[-1])
     place = (low - (least[first] & low)).astype(np.int64)
     own = of[first]
-    # polynomial hashes of the contexts from prefix sums, two moduli in one word
+    side = (length - GRAM + 1) // 2 + GRAM
+    halves = any_hashes(data, side) | np.uint64(1)
+    from_left = place + GRAM - side
+    left = np.where(from_left >= begins[own], halves[np.clip(from_left, 0, len(halves) - 1)], np.uint64(0))
+    right = np.where(place + side <= ends[own], halves[np.clip(place, 0, len(halves) - 1)], np.uint64(0))
     context = _range_hashes(data, first, last + length)
     context = _mix(context * _M1 + (place - first).astype(np.uint64))
     return pd.DataFrame(
@@ -99,6 +103,8 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> pd.DataFrame:
             "context": context.view(np.int64),
             "first": first - begins[own],
             "last": last - begins[own],
+            "left": left.view(np.int64),
+            "right": right.view(np.int64),
         }
     )
 
@@ -129,7 +135,7 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = np.ones(n, dtype=bool)
     head[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, dtype=np.int64)
@@ -142,12 +148,12 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             break
         suffix = order[unsorted]
         ahead = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)], -1)
-        group = rank[suffix]
-        again = np.lexsort((ahead, group))
+        both = (rank[suffix] << 32) | (ahead + 1)
+        again = np.argsort(both)
         order[unsorted] = suffix[again]
-        group, ahead = group[again], ahead[again]
+        both = both[again]
         starts = np.ones(len(unsorted), dtype=bool)
-        starts[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
+        starts[1:] = both[1:] != both[:-1]
         head[unsorted] = starts
         rank[order] = _last_of_group(head)
         h *= 2
@@ -167,25 +173,25 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, known: np.ndarray, most
     8 bytes a step, instead of one byte a time along the text; those done leave.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     a, b = order[1:], order[:-1]
     lcp = known.copy()
-    active = np.flatnonzero(lcp > 0)
+    active = np.flatnonzero((lcp > 0) & (lcp < most))
     while len(active):
         i, j = a[active] + lcp[active], b[active] + lcp[active]
         same = words[np.minimum(i, n)] == words[np.minimum(j, n)]
         run = np.where(same.all(axis=1), 8, same.argmin(axis=1))
         lcp[active] = np.minimum(lcp[active] + run, most)
         active = active[(run == 8) & (lcp[active] < most)]
-    room = n - np.maximum(a, b)
-    return np.append(0, np.minimum(lcp, room))
+    return np.append(0, np.minimum(lcp, n - np.maximum(a, b)))
 
 
-def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, offset, repeated) of every string of ``length`` in the contexts, by suffix array and common prefixes.
+def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, repeated, first) of every string of ``length`` in the contexts, by suffix array and common prefixes.
 
-    Strings are compared inside their contexts only.
+    ``first`` marks one of each set of equal strings. Strings are compared inside their
+    contexts only.
     """
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts])
@@ -196,21 +202,23 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> tuple[np.nda
     order, rank = suffix_ranks(data, depth)
     order = order[valid[order]]
     # of equal first `depth` bytes, those equal in the `depth` up to the length are neighbours
-    order = order[np.lexsort((rank[order + length - depth], rank[order]))]
-    known = np.where(rank[order[1:]] == rank[order[:-1]], depth, 0)
-    lcp = common_prefixes(data, order, known, length)
-    long = lcp >= length
-    repeated = np.zeros(len(data), dtype=bool)
+    both = (rank[order] << 32) | rank[order + length - depth]
+    again = np.argsort(both)
+    order, both = order[again], both[again]
+    known = np.where(both[1:] == both[:-1], length, np.where(both[1:] >> 32 == both[:-1] >> 32, depth, 0))
+    long = common_prefixes(data, order, known, length) >= length
+    repeated, first = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
     repeated[order[long]] = True
     repeated[order[np.flatnonzero(long) - 1]] = True
+    first[order[~long]] = True
     at = np.flatnonzero(valid)
-    return of[at], at - (ends - sizes)[of[at]], repeated[at]
+    return of[at], at - (ends - sizes)[of[at]], repeated[at], first[at]
 
 
 #: Bytes of text that one pass over a block of texts takes; a longer text is cut into overlapping blocks.
 BLOCK = 4 << 20
 
-_ANCHORS = "{id}, digest long, anchor long, context long, first int, last int"
+_ANCHORS = "{id}, digest long, anchor long, context long, first int, last int, left long, right long"
 _CONTEXTS = "shard long, salted boolean, anchor long, context long, body binary"
 _REPEATS = "anchor long, context long, salted boolean, spans array<struct<lo:int,hi:int>>, offsets array<int>, hashes array<bigint>, resolved array<boolean>"
 
@@ -274,12 +282,12 @@ def _cut_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """Per context, the strings that its shard holds twice; of salted ones, those to look for in other shards."""
+    """Per context, the strings that its shard holds twice; of salted ones, one of each set of equal strings for other shards."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["anchor", "context"], ignore_index=True)
         bodies = pdf["body"].tolist()
-        context, offset, repeated = repeated_starts(bodies, length)
+        context, offset, repeated, first = repeated_starts(bodies, length)
         edges = np.searchsorted(context, np.arange(len(bodies) + 1))
         out = []
         for k, body in enumerate(bodies):
@@ -287,7 +295,8 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
             spans = _runs(offset[mine][repeated[mine]])
             if pdf["salted"][k]:
                 hashes = any_hashes(np.frombuffer(body, dtype=np.uint8), length).view(np.int64)
-                out.append((spans, offset[mine].astype(np.int32), hashes, repeated[mine]))
+                one = first[mine]
+                out.append((spans, offset[mine][one].astype(np.int32), hashes[offset[mine][one]], repeated[mine][one]))
             else:
                 out.append((spans, [], [], []))
         found = pd.DataFrame(out, columns=["spans", "offsets", "hashes", "resolved"])
@@ -299,8 +308,8 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
 def _merge_shards(found: DataFrame, buckets: int) -> DataFrame:
     """Strings of salted contexts that another context has too: (anchor, context, spans).
 
-    Each bucket of hashes holds the sorted strings of one context after the other; a string
-    still open is looked for among all others by binary search.
+    Each shard gives each of its strings once. In a bucket of hashes, a string that its own
+    shard has only once is looked for among the sorted strings of all shards by binary search.
     """
     strings = found.where("salted").select("anchor", "context", F.explode(F.arrays_zip("offsets", "hashes", "resolved")).alias("x"))
     strings = strings.select("anchor", "context", "x.offsets", "x.hashes", "x.resolved", F.pmod(F.col("x.hashes"), F.lit(buckets)).alias("bucket"))
@@ -325,10 +334,17 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     with arrow_rows(spark, 1024):
         table = materialise(_anchor_table(rows, rows.schema["doc_id"].dataType.simpleString(), length), "suffix-anchors")
     contexts = table.groupBy("anchor", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "first", "last")).alias("where")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "first", "last", "left", "right")).alias("where")
     )
-    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    contexts = materialise(contexts.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "where.*"), "suffix-contexts")
+    kinds = contexts.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    contexts = materialise(contexts.join(kinds, "anchor").select("anchor", "context", "n", "where.*"), "suffix-contexts")
+    # a string with a twin shares half of it, on one side of the anchor at least
+    for side in ("left", "right"):
+        shared = contexts.where(f"{side} <> 0").groupBy(side).agg(F.sum("n").alias("m")).where("m > 1").select(F.col(side).alias("_h"), F.lit(True).alias(f"on_{side}"))
+        contexts = contexts.join(shared, F.col(side) == F.col("_h"), "left").drop("_h")
+    twins = contexts.where("on_left or on_right")
+    kinds = twins.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    contexts = materialise(twins.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "doc_id", "digest", "first", "last"), "suffix-twins")
     mixed = contexts.where("kinds > 1")
     size, salted = mixed.agg(F.sum(F.col("last") - F.col("first") + length), F.max("kinds")).first()
     shards = max(1, -(-(size or 0) // SHARD))

@@ -24,6 +24,8 @@ GRAM = 32
 SHARD = 3 << 19
 #: Distinct contexts of an anchor beyond which they are dealt over several shards.
 HOT = 1024
+#: Strings that one task of the merge across shards sorts, about.
+BUCKET = 1 << 19
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = 24  # bits of a packed number that hold a position; a block of texts is shorter
@@ -305,25 +307,35 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("shard").applyInPandas(run, _REPEATS)
 
 
-def _merge_shards(found: DataFrame, buckets: int) -> DataFrame:
-    """Strings of salted contexts that another context has too: (anchor, context, spans).
+def _merge_shards(found: DataFrame) -> DataFrame:
+    """Strings of salted contexts that another shard has too: (anchor, context, spans).
 
-    Each shard gives each of its strings once. In a bucket of hashes, a string that its own
-    shard has only once is looked for among the sorted strings of all shards by binary search.
+    Each shard gives each of its strings once. The strings are dealt by hash into buckets of
+    about ``BUCKET``, a row for each context and bucket. There a string that its own shard
+    has only once is looked for among the sorted strings of all shards by binary search.
     """
-    strings = found.where("salted").select("anchor", "context", F.explode(F.arrays_zip("offsets", "hashes", "resolved")).alias("x"))
-    strings = strings.select("anchor", "context", "x.offsets", "x.hashes", "x.resolved", F.pmod(F.col("x.hashes"), F.lit(buckets)).alias("bucket"))
+    salted = found.where("salted").select("anchor", "context", F.arrays_zip("offsets", "hashes", "resolved").alias("x"))
+    total = salted.agg(F.sum(F.size("x"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET))
+    if buckets > 1:
+        salted = salted.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        salted = salted.withColumn("x", F.filter("x", lambda x: F.pmod(x["hashes"], F.lit(buckets)) == F.col("bucket"))).where(F.size("x") > 0)
+    else:
+        salted = salted.withColumn("bucket", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.sort(pdf["hashes"].to_numpy())
-        open_ = pdf[~pdf["resolved"].to_numpy(dtype=bool)]
-        mine = open_["hashes"].to_numpy()
-        count = np.searchsorted(hashes, mine, side="right") - np.searchsorted(hashes, mine, side="left")
-        return open_.loc[count > 1, ["anchor", "context", "offsets"]]
+        every = np.sort(np.concatenate([np.asarray(h, dtype=np.int64) for h in pdf["hashes"]]))
+        out = []
+        for anchor, context, offsets, hashes, resolved in pdf[["anchor", "context", "offsets", "hashes", "resolved"]].itertuples(index=False):
+            open_ = ~np.asarray(resolved, dtype=bool)
+            mine = np.asarray(hashes, dtype=np.int64)[open_]
+            twice = np.searchsorted(every, mine, side="right") - np.searchsorted(every, mine, side="left") > 1
+            if twice.any():
+                out.append((anchor, context, _runs(np.sort(np.asarray(offsets)[open_][twice]))))
+        return pd.DataFrame(out, columns=["anchor", "context", "spans"])
 
-    met = strings.groupBy("bucket").applyInPandas(run, "anchor long, context long, offsets int")
-    one = F.struct(F.col("offsets").alias("lo"), F.col("offsets").alias("hi"))
-    return met.groupBy("anchor", "context").agg(F.collect_list(one).alias("spans"))
+    salted = salted.select("anchor", "context", "bucket", "x.offsets", "x.hashes", "x.resolved")
+    return salted.groupBy("bucket").applyInPandas(run, "anchor long, context long, spans array<struct<lo:int,hi:int>>")
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
@@ -338,10 +350,15 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     )
     kinds = contexts.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
     contexts = materialise(contexts.join(kinds, "anchor").select("anchor", "context", "n", "where.*"), "suffix-contexts")
-    # a string with a twin shares half of it, on one side of the anchor at least
+    # a string with a twin shares half of it, on one side of the anchor at least; written, so
+    # that Spark can split the joins on the halves that very many contexts share
+    halves = contexts.select("n", F.explode(F.array("left", "right")).alias("half")).where("half <> 0")
+    shared = materialise(halves.groupBy("half").agg(F.sum("n").alias("m")).where("m > 1").select("half"), "suffix-halves")
     for side in ("left", "right"):
-        shared = contexts.where(f"{side} <> 0").groupBy(side).agg(F.sum("n").alias("m")).where("m > 1").select(F.col(side).alias("_h"), F.lit(True).alias(f"on_{side}"))
-        contexts = contexts.join(shared, F.col(side) == F.col("_h"), "left").drop("_h")
+        # a context too short on this side looks for itself, so that such don't meet in one task
+        key = F.when(F.col(side) != 0, F.col(side)).otherwise(F.col("context"))
+        found = shared.select(F.col("half").alias("_h"), F.lit(True).alias(f"on_{side}"))
+        contexts = contexts.withColumn("_k", key).join(found, F.col("_k") == F.col("_h"), "left").drop("_h", "_k")
     twins = contexts.where("on_left or on_right")
     kinds = twins.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     contexts = materialise(twins.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "doc_id", "digest", "first", "last"), "suffix-twins")
@@ -356,7 +373,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     if (salted or 0) > HOT:
         with arrow_rows(spark, 1024):
             found = materialise(found, "suffix-found")
-        found = found.select("anchor", "context", "spans").unionByName(_merge_shards(found, shards))
+        found = found.select("anchor", "context", "spans").unionByName(_merge_shards(found))
     copies = F.array(F.struct(F.lit(0).alias("lo"), (F.col("last") - F.col("first")).cast("int").alias("hi")))
     within = found.where(F.size("spans") > 0).select("anchor", "context", "spans")
     within = within.unionByName(contexts.where("n > 1").select("anchor", "context", copies.alias("spans")))

@@ -33,3 +33,22 @@ def stream_latest_handoff(spark: SparkSession, d: str) -> DataFrame:
     top = F.max(F.struct("ts", "event_id", "event_type")).alias("x")
     found = Q.latest_per_group(Q.event_stream(spark, d, "events"), ["user_id"], top)
     return Q.run_available(found.select("user_id", "x.event_id", "x.event_type"), "complete")
+
+
+@register(
+    "stream_first_replies",
+    "with r as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'assistant') select conv_id, not contains(lower(text), 'handoff') as violation from r where n = 1",
+)
+def stream_first_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Keyed state per session: whether its first reply took up the handoff."""
+    stream = Q.table_stream(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return Q.run_available(Q.first_replies(stream, "handoff"), "append")
+
+
+@register("stream_expired_leases", "select o_orderkey as job_id from orders where o_orderstatus = 'P' and o_orderdate + to_seconds(2 * cast(o_totalprice as int)) < timestamp '1996-06-01'")
+def stream_expired_leases(spark: SparkSession, d: str) -> DataFrame:
+    """Running jobs of a stream whose lease ran out."""
+    jobs = Q.table_stream(spark, d, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("claimed_at"), F.bround("o_totalprice").cast("int").alias("timeout_seconds")
+    )
+    return Q.run_available(Q.expired_leases(jobs, "1996-06-01 00:00:00").select("job_id"), "append")

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def table_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
+    """The Parquet table as a stream."""
+    schema = spark.read.parquet(f"{path}/{table_name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(path)
 
 
 def event_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
     """The Parquet table as a stream, its wall-clock times as UTC instants."""
-    schema = spark.read.parquet(f"{path}/{table_name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, path, table_name).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
@@ -36,3 +43,35 @@ def session_windows(stream: DataFrame, keys: list[str], gap: str, *aggregates: C
 def latest_per_group(stream: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
     """Running latest row per group."""
     return stream.groupBy(*keys).agg(*columns)
+
+
+def first_replies(stream: DataFrame, keyword: str, keep_ms: int | None = None) -> DataFrame:
+    """(conv_id, violation) once per session, when its first reply comes: it does not take up ``keyword``.
+
+    ``stream`` has conv_id, turn, role, text. A session's state is whether its reply was
+    judged. With ``keep_ms`` it is dropped after so long without messages, by processing
+    time; that suits a query that keeps running, as such timers never let one end by itself.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        judged = state.get[0] if state.exists else False
+        for batch in batches:
+            replies = batch[batch["role"] == "assistant"].sort_values("turn")
+            if not judged and len(replies):
+                judged = True
+                yield pd.DataFrame({"conv_id": [key[0]], "violation": [keyword not in (replies["text"].iloc[0] or "").lower()]})
+        state.update((judged,))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("conv_id").applyInPandasWithState(judge, "conv_id long, violation boolean", "judged boolean", "append", timeout)
+
+
+def expired_leases(stream: DataFrame, until: str) -> DataFrame:
+    """Jobs (job_id, claimed_at, timeout_seconds) whose lease of twice their timeout ended before the time ``until``."""
+    end = F.col("claimed_at") + F.make_dt_interval(secs=(2 * F.col("timeout_seconds")).cast("decimal(18,6)"))
+    return stream.where(end < F.lit(until).cast("timestamp"))

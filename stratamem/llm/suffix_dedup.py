@@ -218,7 +218,7 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> tuple[np.nda
 
 
 #: Bytes of text that one pass over a block of texts takes; a longer text is cut into overlapping blocks.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _ANCHORS = "{id}, digest long, anchor long, context long, first int, last int, left long, right long"
 _CONTEXTS = "shard long, salted boolean, anchor long, context long, body binary"
@@ -348,8 +348,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     contexts = table.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "first", "last", "left", "right")).alias("where")
     )
-    kinds = contexts.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
-    contexts = materialise(contexts.join(kinds, "anchor").select("anchor", "context", "n", "where.*"), "suffix-contexts")
+    # what is joined to rows by anchor is written first, so that Spark can split a hot anchor's rows
+    often = materialise(table.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor"), "suffix-often")
+    contexts = materialise(contexts.join(often, "anchor").select("anchor", "context", "n", "where.*"), "suffix-contexts")
     # a string with a twin shares half of it, on one side of the anchor at least; written, so
     # that Spark can split the joins on the halves that very many contexts share
     halves = contexts.select("n", F.explode(F.array("left", "right")).alias("half")).where("half <> 0")
@@ -359,9 +360,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
         key = F.when(F.col(side) != 0, F.col(side)).otherwise(F.col("context"))
         found = shared.select(F.col("half").alias("_h"), F.lit(True).alias(f"on_{side}"))
         contexts = contexts.withColumn("_k", key).join(found, F.col("_k") == F.col("_h"), "left").drop("_h", "_k")
-    twins = contexts.where("on_left or on_right")
-    kinds = twins.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    contexts = materialise(twins.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "doc_id", "digest", "first", "last"), "suffix-twins")
+    twins = materialise(contexts.where("on_left or on_right").select("anchor", "context", "n", "doc_id", "digest", "first", "last"), "suffix-twins")
+    kinds = materialise(twins.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
+    contexts = twins.join(kinds, "anchor")
     mixed = contexts.where("kinds > 1")
     size, salted = mixed.agg(F.sum(F.col("last") - F.col("first") + length), F.max("kinds")).first()
     shards = max(1, -(-(size or 0) // SHARD))

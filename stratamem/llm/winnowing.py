@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 #: Rows of a range of ids, about, and ranges at most: their heads are literals of the plan.
-RANGE_ROWS, RANGES = 2048, 4096
+RANGE_ROWS, RANGES = 512, 4096
 
 
 def range_heads(docs: DataFrame, id_col: str = "doc_id") -> list:
@@ -133,7 +133,7 @@ def with_next(rows: DataFrame, heads: list, columns: dict[str, Column]) -> DataF
     places = F.when(F.array_contains(bounds, F.col("doc_id")), F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")), F.struct(before.alias("range"), F.lit(True).alias("guest"))))
     places = F.explode(places.otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")))))
     dealt = rows.withColumn("place", places).select(*rows.columns, "place.*")
-    tasks = max(len(heads), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(len(heads) // 8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # several ranges a task even them out
     dealt = dealt.repartition(tasks, "range").withColumns(columns)
     # the first id of all comes last where it is a guest
     order = Window.partitionBy("range").orderBy(F.col("guest") & (F.col("doc_id") == F.lit(heads[0])), "doc_id", "text", "guest")

@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.llm.shared import fresh
+
 #: Tasks over which the copies of one text are spread; one bit each of a long.
 SALTS = 64
 
@@ -79,5 +81,6 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Edge cases as in ``assign_groups``.
     """
-    kept = assign_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    key = fresh("kept")
+    kept = assign_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamem.llm.components import components
-from stratamem.llm.shared import arrow_rows, materialise
+from stratamem.llm.shared import arrow_rows, fresh, materialise
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -43,7 +43,7 @@ class _Codes(dict):
     """Word -> 64-bit hash, with a memo that starts anew when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
@@ -288,5 +288,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Edge cases as in ``near_duplicates``; rows with null ids stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    key = fresh("kept")
+    kept = near_duplicates(docs, id_col, text_col).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import materialise, unit_hash
+from stratamem.llm.shared import fresh, materialise, unit_hash
 
 #: Documents that one fold pairs; also the arity of the reduction tree.
 BLOCK = 128
@@ -161,7 +161,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Edge cases as in ``mix``; rows of size 0 are not taken, nor are rows without an id.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_mix_id"), "_copies")
-    repeated = docs.join(taken, F.col(id_col) == F.col("_mix_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    key, times = fresh("id"), fresh("copies")
+    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    repeated = docs.join(taken, F.col(id_col) == F.col(key)).withColumn(fresh("copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -70,6 +70,6 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def null_safe(left: Column, right: Column) -> Column:
-    """Equality under which null equals null, in a form that still hashes."""
-    return left.eqNullSafe(right)
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex}"

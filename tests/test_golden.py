@@ -55,13 +55,13 @@ def test_truth_boost(spark, truth, score, wanted):
     assert frame.select(S.boosted(F.col("s"), F.col("t"), F.col("d")).alias("x")).first()["x"] == pytest.approx(wanted)
 
 
-@pytest.mark.parametrize(("text", "slug"), [("Foundry Inc.", "foundry-inc"), ("X Æ A-12", "x-a-12"), ("a" * 200, "a" * 80)])
+@pytest.mark.parametrize(("text", "slug"), [("Quarry Inc.", "quarry-inc"), ("X Æ A-12", "x-a-12"), ("a" * 200, "a" * 80)])
 def test_slugs(spark, text, slug):
     assert one(spark, T.slugify(F.col("t")), t=text) == slug
     assert extract.slug(text) == slug
 
 
-@pytest.mark.parametrize(("slug", "valid"), [("-foo", False), ("Foundry", False), ("foo bar", False), ("a" * 81, False), ("a-1", True)])
+@pytest.mark.parametrize(("slug", "valid"), [("-foo", False), ("Quarry", False), ("foo bar", False), ("a" * 81, False), ("a-1", True)])
 def test_slug_validity(spark, slug, valid):
     assert one(spark, T.is_slug(F.col("t")), t=slug) is valid
 
@@ -74,10 +74,10 @@ def test_tokens_have_three_characters(spark):
 @pytest.mark.parametrize(
     ("query", "intent"),
     [
-        ("decisions in Catalyst that affected Astack last week", "multi_hop"),
+        ("decisions in Harbor that affected Lantern last week", "multi_hop"),
         ("decisions last week", "temporal"),
-        ("meeting about Foundry", "event"),
-        ("show me Foundry overview", "entity"),
+        ("meeting about Quarry", "event"),
+        ("show me Quarry overview", "entity"),
         ("what led to it", "general"),
         ("", "general"),
         ("since 2024-01-01", "temporal"),
@@ -123,10 +123,10 @@ def test_abuse(spark):
 
 
 def test_edges():
-    found = extract.typed_edges("David Wright founded Navi Systems in 2024.")
-    assert ("david-wright", "FOUNDED", "navi-systems") in [e[:3] for e in found]
-    found = extract.typed_edges("[DECISION] Decided to use Postgres.", "decision", "navi")
-    assert ("navi", "DECIDED_ON", "postgres") in [e[:3] for e in found]
+    found = extract.typed_edges("Ada Vale founded Harbor Labs in 2024.")
+    assert ("ada-vale", "FOUNDED", "harbor-labs") in [e[:3] for e in found]
+    found = extract.typed_edges("[DECISION] Decided to use Postgres.", "decision", "harbor")
+    assert ("harbor", "DECIDED_ON", "postgres") in [e[:3] for e in found]
     assert max(e[3] for e in found) <= 0.95
     assert extract.typed_edges(None) == []
 

@@ -38,18 +38,19 @@ def personalised_pagerank(
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = both.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    both = both.join(degree, "src").persist()
     seeds = seeds.join(known, "id", "left_semi").distinct()
     restart = seeds.withColumn("restart", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("query_id"))).persist()
+    # a seed without edges hands its mass to the seeds of its query, as if by edges of that query alone
+    bare = restart.join(degree, F.col("id") == F.col("src"), "left_anti").select(F.col("query_id").alias("only"), F.col("id").alias("src"))
+    back = bare.join(restart, F.col("only") == F.col("query_id")).select("only", "src", F.col("id").alias("dst"), F.col("restart").alias("share"))
+    none = F.lit(None).cast(restart.schema["query_id"].dataType).alias("only")
+    steps = both.join(degree, "src").select(none, "src", "dst", (1.0 / F.col("degree")).alias("share")).unionByName(back).persist()
     mass = restart.select("query_id", "id", F.col("restart").alias("mass"))
+    home = restart.select("query_id", "id", ((1 - alpha) * F.col("restart")).alias("mass"))
     for n in range(1, rounds + 1):
-        moved = mass.join(both, F.col("id") == F.col("src")).groupBy("query_id", F.col("dst").alias("id")).agg(F.sum(F.col("mass") / F.col("degree")).alias("moved"))
-        kept = moved.groupBy("query_id").agg(F.sum("moved").alias("kept"))
-        spread = moved.join(restart, ["query_id", "id"], "full").join(kept, "query_id", "left")
-        lost = 1.0 - F.coalesce("kept", F.lit(0.0))
-        mass = spread.select(
-            "query_id", "id", (alpha * F.coalesce("moved", F.lit(0.0)) + (1 - alpha + alpha * lost) * F.coalesce("restart", F.lit(0.0))).alias("mass")
-        )
+        along = (F.col("id") == F.col("src")) & (F.col("only").isNull() | (F.col("only") == F.col("query_id")))
+        moved = mass.join(steps, along).select("query_id", F.col("dst").alias("id"), (alpha * F.col("mass") * F.col("share")).alias("mass"))
+        mass = moved.unionByName(home).groupBy("query_id", "id").agg(F.sum("mass").alias("mass"))
         if n % checkpoint_every == 0 and n < rounds and mass.sparkSession.sparkContext.getCheckpointDir():
             mass = mass.checkpoint()
     return mass

@@ -171,6 +171,19 @@ def test_pagerank_keeps_mass_and_drops_unknown_ends(spark):
     assert sum(mass.values()) == pytest.approx(1)
 
 
+def test_pagerank_mass_of_a_lone_seed_returns_to_the_seeds(spark):
+    vertices = spark.createDataFrame([(x,) for x in ("a", "b", "lone")], "id string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    seeds = spark.createDataFrame([(1, "a"), (1, "lone"), (2, "b")], "query_id int, id string")
+    found = graph.personalised_pagerank(vertices, edges, seeds, rounds=30).collect()
+    mass = {(r["query_id"], r["id"]): r["mass"] for r in found}
+    assert sum(m for (q, _), m in mass.items() if q == 1) == pytest.approx(1)
+    assert sum(m for (q, _), m in mass.items() if q == 2) == pytest.approx(1)
+    # lone = .15 / 2 + .85 * lone / 2, as its mass goes to both seeds alike
+    assert mass[1, "lone"] == pytest.approx(0.075 / 0.575, rel=1e-3)
+    assert (2, "lone") not in mass
+
+
 def test_lifecycle(spark):
     schema = "uuid int, lifecycle_status string, t_expired timestamp, valid_to timestamp"
     ended = dt.datetime(2024, 1, 1)

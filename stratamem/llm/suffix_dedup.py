@@ -266,7 +266,11 @@ def _anchor_table(rows: DataFrame, id_type: str, length: int) -> DataFrame:
 
 
 def _cut_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted context, cut from the one text chosen to give it."""
+    """The bytes of each wanted context, cut from the text chosen to give it.
+
+    Rows that repeat an id and its text each give their contexts; all strings of those are
+    repeats anyway.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -280,7 +284,7 @@ def _cut_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     cuts = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("shard", "salted", "anchor", "context", "first", "last")).alias("cuts"))
     keys = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("digest") == F.col("_digest")]
     cuts = cuts.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    return rows.dropDuplicates(["doc_id", "digest"]).join(cuts, keys).select("body", "cuts").mapInPandas(run, _CONTEXTS)
+    return rows.join(cuts, keys).select("body", "cuts").mapInPandas(run, _CONTEXTS)
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.llm.segments import NO_SPACE, Memo, load
+from stratamem.llm.segments import NO_SPACE, Memo, load, lowered
 from stratamem.llm.shared import arrow_rows, materialise
 
 CAPACITY = 4096
@@ -29,7 +29,7 @@ def _memo(path: str) -> Memo:
 def ids_batch(path: str, texts: list[str]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
     memo = _memo(path)
-    segmented = [NO_SPACE.findall(t) for t in texts]
+    segmented = [NO_SPACE.findall(lowered(t)) for t in texts]
     memo.learn(segmented)
     joined = [b"".join(map(memo.__getitem__, s)) for s in segmented]
     memo.trim(segmented)

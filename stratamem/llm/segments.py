@@ -14,7 +14,7 @@ from functools import lru_cache
 from itertools import chain
 
 #: Entries of a memo; beyond that it starts anew.
-MEMO = 1_000_000
+MEMO = 700_000
 #: Longer segments are not kept.
 LONGEST = 64
 
@@ -23,6 +23,8 @@ _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?![A-Za-z]|[^\\x00-\\x7f])"
 WITH_SPACE = re.compile(f"[ \\n]*{_LETTERS}|[ \\n]*[^ \\n]+|[ \\n]+")
 #: For vocabularies that drop white space.
 NO_SPACE = re.compile(f"{_LETTERS}|[^ \\n]+")
+#: A character beyond Latin-1; elsewhere Python lower-cases as the library does.
+WIDE = re.compile("[^\x00-\xff]")
 #: White space other than the two characters at which texts are cut.
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -43,6 +45,11 @@ def load(path: str):
 ONE_PRETOKEN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+def lowered(text: str) -> str:
+    """The text in lower case where that can't change its ids in a vocabulary that lower-cases: fewer distinct segments."""
+    return text if "<|" in text or WIDE.search(text) else text.lower()
+
+
 def _byte_letters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

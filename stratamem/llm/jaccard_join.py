@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamem.llm.components import components
-from stratamem.llm.shared import arrow_rows, fresh, materialise
+from stratamem.llm.shared import arrow_rows, fresh, lean, materialise
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -43,7 +43,7 @@ class _Codes(dict):
     """Word -> 64-bit hash, with a memo that starts anew when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
@@ -213,7 +213,7 @@ def _described(rows: DataFrame, id_type: str) -> DataFrame:
             made = pd.DataFrame(out, columns=["doc_id", "code", "high", "low", "chars", "bands"])
             yield made.astype({"high": "Int64", "low": "Int64"})
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, code long, high long, low long, chars long, bands array<bigint>")
+    return rows.mapInPandas(lean(run), f"doc_id {id_type}, code long, high long, low long, chars long, bands array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.llm.shared import lean, small_batches
+
 
 #: Labelled documents of a language that training reads, about; they are chosen by hash.
 TRAIN_DOCS = 1500
@@ -180,7 +182,8 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, id_col: st
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, mixture map<string,double>")
+    small_batches(docs.sparkSession)
+    return rows.mapInPandas(lean(run), f"doc_id {kind}, lang_pred string, score double, mixture map<string,double>")
 
 
 def identify(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamem.llm.segments import NO_SPACE, Memo, load, lowered
-from stratamem.llm.shared import arrow_rows, materialise
+from stratamem.llm.shared import arrow_rows, lean, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 yield pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = rows.mapInPandas(run, "row long, doc_id string, piece int, start long, length long, ids binary")
+    cut = rows.mapInPandas(lean(run), "row long, doc_id string, piece int, start long, length long, ids binary")
     cut = cut.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
     with arrow_rows(docs.sparkSession, 1024):
         return materialise(cut, "pack-pieces")

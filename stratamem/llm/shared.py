@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +65,31 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+#: Rows of an Arrow batch; texts may be long.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows, for results that are computed later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def lean(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """``run`` over batches, after which the worker, which lives on, hands free memory back to the system."""
+
+    def held(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not on every C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import arrow_rows, materialise
+from stratamem.llm.shared import arrow_rows, lean, materialise, small_batches
 
 LENGTH = 400
 #: Bytes that an anchor's hash covers (a power of two).
@@ -262,7 +262,7 @@ def _anchor_table(rows: DataFrame, id_type: str, length: int) -> DataFrame:
                     own = batch.iloc[np.array(which)[piece]][["doc_id", "digest"]].reset_index(drop=True)
                     yield own.join(found.assign(first=found["first"] + shift, last=found["last"] + shift))
 
-    return rows.mapInPandas(run, _ANCHORS.format(id=f"doc_id {id_type}"))
+    return rows.mapInPandas(lean(run), _ANCHORS.format(id=f"doc_id {id_type}"))
 
 
 def _cut_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _cut_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     cuts = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("shard", "salted", "anchor", "context", "first", "last")).alias("cuts"))
     keys = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("digest") == F.col("_digest")]
     cuts = cuts.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    return rows.join(cuts, keys).select("body", "cuts").mapInPandas(run, _CONTEXTS)
+    return rows.join(cuts, keys).select("body", "cuts").mapInPandas(lean(run), _CONTEXTS)
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -421,4 +421,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     starts = starts.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
     joined = rows.join(starts, [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("digest") == F.col("_digest")], "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "body", "starts").mapInPandas(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    small_batches(docs.sparkSession)
+    return joined.select("doc_id", "body", "starts").mapInPandas(lean(run), f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

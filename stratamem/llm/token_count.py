@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamem.llm.segments import OTHER_SPACE, WITH_SPACE, Memo, load
+from stratamem.llm.shared import lean, small_batches
 
 #: Characters of a chunk; longer documents are encoded in chunks.
 CHUNK = 32_768
@@ -106,4 +107,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    small_batches(docs.sparkSession)
+    return rows.mapInPandas(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long")

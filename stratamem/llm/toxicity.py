@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.llm.shared import lean, small_batches
+
 #: Labelled documents that training reads, about, of each label; they are chosen by hash.
 TRAIN_DOCS = 3000
 #: Terms of the lexicon at most; stems end in an asterisk.
@@ -299,7 +301,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": shared.value.scores(batch["text"].fillna("").tolist())})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    small_batches(docs.sparkSession)
+    return rows.mapInPandas(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, training) -> tuple[Model, DataFrame]:
@@ -324,7 +327,10 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(position).to_pylist()]
-            yield batch.filter(pa.array(shared.value.scores(texts) < limit))
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = [t or "" for t in part.column(position).to_pylist()]
+                yield part.filter(pa.array(shared.value.scores(texts) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -109,25 +109,45 @@ def mix(
     about ``BLOCK`` items.
 
     Edge cases: null text has size 0; documents of size 0 take no words; null is a source of
-    its own; rows that share an id, source and size are decided together; an empty table
-    gives an empty result; other columns are ignored, whatever their names.
+    its own; rows that share an id, source and size are decided together, and rows without an
+    id are told apart by their texts; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
+    found = _decide(docs, id_col, text_col, source_col, weights, cap, seed)
+    return found.select("doc_id", "size", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """What stands for a row's id: the id, or a hash of the text where there is none."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
+
+
+def _decide(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``key``, ``size``, ``source``, ``source_size``, ``target``, ``copies``.
+
+    Rows that agree in key, source and size have the same copies.
+    """
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        _key(F.col(id_col), F.col(text_col)).alias("key"),
+        word_count(F.col(text_col)).alias("size"),
+        F.col(source_col).alias("source"),
+    )
     rows = materialise(rows, "mix-items")
     targets = materialise(source_targets(rows, weights, cap), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumnRenamed("source", "_s")
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "doc_id", "size", "source", "source_size", "target", ratio.alias("ratio")
+        "doc_id", "key", "size", "source", "source_size", "target", ratio.alias("ratio")
     )
     base, part = F.floor("ratio"), F.col("ratio") - F.floor("ratio")
-    alike = rows.where((F.col("size") > 0) & (part > 0)).groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"), F.max(part).alias("p"))
-    items = alike.select("source", F.col("doc_id").alias("id"), F.col("size").alias("own"), (F.col("size") * F.col("rows")).alias("size"), "p")
+    alike = rows.where((F.col("size") > 0) & (part > 0)).groupBy("source", "key", "size").agg(F.count(F.lit(1)).alias("rows"), F.max(part).alias("p"))
+    items = alike.select("source", F.col("key").alias("id"), F.col("size").alias("own"), (F.col("size") * F.col("rows")).alias("size"), "p")
     decided = _round(items, seed)
     keyed = decided.select(F.col("source").alias("_s"), F.col("id").alias("_id"), F.col("own").alias("_own"), "extra")
-    out = rows.join(keyed, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_own")), "left")
+    out = rows.join(keyed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_id")) & (F.col("size") == F.col("_own")), "left")
     copies = F.when(F.col("size") > 0, base + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("doc_id", "key", "size", "source", "source_size", "target", copies.alias("copies"))
 
 
 def _round(items: DataFrame, seed: int) -> DataFrame:
@@ -156,13 +176,24 @@ def _round(items: DataFrame, seed: int) -> DataFrame:
         level += 1
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    cap: int = MAX_COPIES,
+    seed: int = 17,
+) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it, with all their columns.
 
-    Edge cases as in ``mix``; rows of size 0 are not taken, nor are rows without an id.
+    A row meets its copies by what ``mix`` decides by: id (or text), source and size. Edge cases
+    as in ``mix``; rows of size 0 are not taken.
     """
-    key, times = fresh("id"), fresh("copies")
-    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
-    repeated = docs.join(taken, F.col(id_col) == F.col(key)).withColumn(fresh("copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    key, size, source, times = fresh("key"), fresh("size"), fresh("source"), fresh("copies")
+    taken = _decide(docs, id_col, text_col, source_col, weights, cap, seed).where("copies > 0")
+    taken = taken.select(F.col("key").alias(key), F.col("size").alias(size), F.col("source").alias(source), F.col("copies").alias(times)).distinct()
+    mine = (_key(F.col(id_col), F.col(text_col)) == F.col(key)) & (word_count(F.col(text_col)) == F.col(size))
+    met = docs.join(taken, mine & F.col(source_col).eqNullSafe(F.col(source)))
+    repeated = met.withColumn(fresh("copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -93,3 +93,33 @@ def test_mixed_rows_repeat(spark):
     assert mixed.columns == source.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: n for i, n in copies.items() if n})
     assert mixing.mixed_rows(cases.empty(spark)).count() == 0
+
+
+def test_mixed_rows_follow_the_mix_under_null_and_repeated_ids(spark):
+    rows = [(None, f"n{i} " * (1 + i % 9), "ab"[i % 2]) for i in range(60)]
+    rows += [(i % 5, f"t{i} " * (1 + i % 7), "abc"[i % 3]) for i in range(90)]
+    rows += [(7, "same text", None), (7, "same text", None), (None, "twice the same", None), (None, "twice the same", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    decided = Counter()
+    for r in mixing.mix(frame).collect():
+        decided[(r["doc_id"], r["size"], r["target"])] += r["copies"]
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    target = brute_targets(dict(sizes))
+    taken = mixing.mixed_rows(frame).collect()
+    got = Counter((r["doc_id"], len(r["text"].split()), r["source"]) for r in taken)
+    wanted = {(i, n, s): c for (i, n, t), c in decided.items() for s in target if t == pytest.approx(target[s]) and c}
+    assert got == wanted
+    assert any(i is None for i, _, _ in got)
+    for s, words in target.items():
+        assert abs(sum(n * c for (_, n, of), c in got.items() if of == s) - words) <= 9
+
+
+def test_a_row_not_taken_is_not_taken_under_a_repeated_id(spark):
+    rows = [(1, "w " * 3, "a"), (1, "w " * 5, "b"), (2, "w " * 40, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = {r["size"]: r["copies"] for r in mixing.mix(frame, weights=(1, 20)).collect()}
+    got = Counter(len(r["text"].split()) for r in mixing.mixed_rows(frame, weights=(1, 20)).collect())
+    assert len({copies[3], copies[5]}) == 2
+    assert got == Counter({n: c for n, c in copies.items() if c})

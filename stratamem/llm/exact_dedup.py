@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import fresh
+from stratamem.llm.shared import fresh, materialise
 
 #: Tasks over which the copies of one text are spread; one bit each of a long.
 SALTS = 64
@@ -76,11 +76,36 @@ def _bit(n) -> Column:
     return F.expr("shiftleft(1L, salt)") if isinstance(n, str) else F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(normalised(text), 256)
+
+
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; those with a null id stay too.
+    """The rows of ``docs`` whose verdict is ``kept``, with all their columns.
+
+    Edge cases as in ``assign_groups``: rows that repeat an id and its text all stay, and so
+    does a group of null ids alone. ``one_of_each`` leaves one row of each text.
+    """
+    key, digest = fresh("kept"), fresh("digest")
+    kept = assign_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (_digest(F.col(text_col)) == F.col(digest)), "left_semi")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each text, with all its columns: that of the largest id, nulls last.
 
-    Edge cases as in ``assign_groups``.
+    Rows that repeat an id and its text, and rows of a group of null ids alone, come down to the
+    first by their JSON; each input partition passes on one of them. Only ids and digests say
+    which rows these are, and a table without such rows is not read for them.
     """
-    key = fresh("kept")
-    kept = assign_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    key, digest, row = fresh("kept"), fresh("digest"), fresh("row")
+    kept = assign_groups(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(kept, "exact-kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest), "n")
+    alone, repeated = kept.where("n = 1").drop("n"), kept.where("n > 1").drop("n")
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (_digest(F.col(text_col)) == F.col(digest))
+    out = docs.join(alone, same, "left_semi")
+    if not repeated.limit(1).count():
+        return out
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = docs.join(repeated, same).groupBy(digest).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return out.unionByName(first.select(f"{row}.*"))

@@ -286,8 +286,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their class, with all columns: one document of each class.
 
-    Edge cases as in ``near_duplicates``; rows with null ids stay.
+    Edge cases as in ``near_duplicates``; rows with null ids stay, and so do all rows of an id
+    that names a class. ``one_of_each`` leaves one row of each class.
     """
     key = fresh("kept")
     kept = near_duplicates(docs, id_col, text_col).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class of near copies, with all its columns: that of the least id, nulls last.
+
+    Every row is a document of its own here, under a key that is written with it, so neither
+    null ids nor ids that repeat hide copies or tie texts together. A row without words stays.
+    """
+    key, doc_id, kept = fresh("key"), fresh("id"), fresh("kept")
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard-keyed")
+    classes = near_duplicates(keyed, key, text_col).select(F.col("doc_id").alias(kept), "class_id")
+    named = classes.join(keyed.select(key, F.col(id_col).alias(doc_id)).hint("merge"), F.col(kept) == F.col(key))
+    least = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(kept).alias("key")))
+    firsts = named.groupBy("class_id").agg(least.alias("least")).select(F.col("least.key").alias(kept))
+    return keyed.join(firsts, F.col(key) == F.col(kept), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamem.functions.text import content_hash
+from stratamem.operators import vector
 
 
 def exact(records: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -16,22 +18,37 @@ def exact(records: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return hashed.withColumn("keeper", F.first("uuid").over(group)).withColumn("duplicate", F.col("uuid") != F.col("keeper"))
 
 
-def greedy_merge(pairs: DataFrame) -> DataFrame:
-    """(group, uuid, merged_into): the sequential pass over near pairs (group, uuid, other, similarity, pos).
+def greedy_merge(memories: DataFrame, least: float) -> DataFrame:
+    """(group, uuid, merged_into): the sequential pass over memories (group, uuid, vector, pos), with no limit on neighbours.
 
-    In order of position each memory that is still there takes in its neighbours that are.
-    The pass runs within connected groups, each in one task.
+    In order of position each memory that is still there takes in all later ones of its group
+    that are and whose similarity is ``least`` or more. A group is one task; its memories are
+    compared in blocks with those still there, and no pair becomes a row.
     """
+    size = vector.BLOCK
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: dict[int, int] = {}
-        group = pdf["group"].iloc[0]
-        for uuid, own in pdf.sort_values(["pos", "similarity", "other"], ascending=[True, False, True]).groupby("uuid", sort=False):
-            if uuid in gone:
-                continue
-            for other in own["other"]:
-                if other not in gone and other != uuid:
-                    gone[other] = uuid
-        return pd.DataFrame([(group, u, k) for u, k in gone.items()], columns=["group", "uuid", "merged_into"])
-
-    return pairs.groupBy("group").applyInPandas(run, "group long, uuid long, merged_into long")
+        pdf = pdf.sort_values(["pos", "uuid"], ignore_index=True)
+        uuid, unit = pdf["uuid"].to_numpy(), vector.unit(pdf["vector"].tolist())
+        left, out = np.arange(len(pdf)), []
+        while len(left):
+            block, left = left[:size], left[size:]
+            near, into = vector.alike(unit[block], unit[block]) >= least, np.full(len(block), -1)
+            for i in range(len(block)):
+                if into[i] < 0:
+                    taken = np.flatnonzero(near[i, i + 1 :] & (into[i + 1 :] < 0)) + i + 1
+                    into[taken] = i
+            out += [(uuid[block[j]], uuid[block[into[j]]]) for j in np.flatnonzero(into >= 0)]
+            keepers, rest = block[into < 0], []
+            for first in range(0, len(left), 8 * size):
+                later = left[first : first + 8 * size]
+                near = vector.alike(unit[keepers], unit[later]) >= least
+                met, keeper = near.any(axis=0), near.argmax(axis=0)
+                out += zip(uuid[later[met]], uuid[keepers[keeper[met]]], strict=True)
+                rest.append(later[~met])
+            left = np.concatenate(rest) if rest else left
+        found = pd.DataFrame(out, columns=["uuid", "merged_into"])
+        found.insert(0, "group", pdf["group"].iloc[0])
+        return found
+
+    return memories.groupBy("group").applyInPandas(run, "group long, uuid long, merged_into long")

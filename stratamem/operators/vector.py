@@ -34,17 +34,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0,
 
 def _block(queries: pd.DataFrame, vectors: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
     names = queries["query_id"].to_numpy(dtype=np.int64)
-    matrix = _unit(queries["vector"].tolist())
+    matrix = unit(queries["vector"].tolist())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch) or not len(names):
                 continue
             ids = batch["id"].to_numpy(dtype=np.int64)
-            alike = np.round(np.maximum(0.0, 1 - (1 - _unit(batch["vector"].tolist()) @ matrix.T) / 2), 9)
-            order = np.lexsort((np.broadcast_to(ids[:, None], alike.shape), -alike), axis=0)[: k + (not include_self)]
+            near = alike(unit(batch["vector"].tolist()), matrix)
+            order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[: k + (not include_self)]
             column = np.broadcast_to(np.arange(len(names)), order.shape)
-            out = pd.DataFrame({"query_id": names[column.ravel()], "id": ids[order.ravel()], "similarity": alike[order, column].ravel()})
+            out = pd.DataFrame({"query_id": names[column.ravel()], "id": ids[order.ravel()], "similarity": near[order, column].ravel()})
             if not include_self:
                 out = out[out["query_id"] != out["id"]]
             yield out[out["similarity"] >= least]
@@ -52,7 +52,12 @@ def _block(queries: pd.DataFrame, vectors: DataFrame, k: int, least: float, incl
     return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(run, "query_id long, id long, similarity double")
 
 
-def _unit(rows: list) -> np.ndarray:
+def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Similarity (1 + cos) / 2 of each unit vector on the left to each on the right, to 9 digits."""
+    return np.round(np.maximum(0.0, 1 - (1 - left @ right.T) / 2), 9)
+
+
+def unit(rows: list) -> np.ndarray:
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm == 0, 1, norm)

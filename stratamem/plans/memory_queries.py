@@ -95,11 +95,11 @@ def semantic_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("semantic_greedy_merge")
 def semantic_greedy_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The sequential merge of near memories, one task per label."""
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("uuid"), F.col("label").cast("long").alias("group"))
-    pairs = _near(spark, d, 0.6).select(F.col("query_id").alias("uuid"), F.col("id").alias("other"), "similarity")
-    met = pairs.join(labels, "uuid").join(labels.select(F.col("uuid").alias("other"), F.col("group").alias("g")), "other").where("group = g")
-    return compaction.greedy_merge(met.select("group", "uuid", "other", "similarity", F.col("uuid").alias("pos")))
+    """The sequential merge of near memories, all neighbours of the label, one task per label."""
+    memories = table(spark, d, "embeddings").select(
+        F.col("label").cast("long").alias("group"), F.col("vec_id").cast("long").alias("uuid"), F.col("embedding").alias("vector"), F.col("vec_id").alias("pos")
+    )
+    return compaction.greedy_merge(memories.where("group is not null"), 0.6)
 
 
 _STATES = "case o_orderstatus when 'F' then 'archived' when 'P' then 'outdated' else null end"

@@ -28,12 +28,8 @@ def _memo(path: str) -> Memo:
 
 def ids_batch(path: str, texts: list[str]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
-    memo = _memo(path)
-    segmented = [NO_SPACE.findall(lowered(t)) for t in texts]
-    memo.learn(segmented)
-    joined = [b"".join(map(memo.__getitem__, s)) for s in segmented]
-    memo.trim(segmented)
-    return joined
+    ids_of = _memo(path).__getitem__
+    return [b"".join(map(ids_of, NO_SPACE.findall(lowered(t)))) for t in texts]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 #: Entries of a memo; beyond that it starts anew.
 MEMO = 700_000
@@ -61,41 +60,30 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class Memo(dict):
-    """Segment -> ``value(ids)``, filled in batches.
+    """Segment -> ``value(ids)``, filled as segments are asked for.
 
     A segment that is one pre-token goes straight to the library's model, in the letters
-    that the vocabulary uses for bytes; any other goes through the whole library.
+    that the vocabulary uses for bytes; any other goes through the whole library. Long
+    segments are not kept, and a full memo starts anew.
     """
 
     def __init__(self, tokenizer, value, lower: bool):
         super().__init__()
         self.tokenizer, self.value, self.lower = tokenizer, value, lower
-        self.model = tokenizer.model
-
-    def learn(self, segmented: list[list[str]]) -> None:
-        """Encode the segments that are missing."""
-        missing = set(chain.from_iterable(segmented)).difference(self)
-        whole, tokenize, value = ONE_PRETOKEN.fullmatch, self.model.tokenize, self.value
-        new = []
-        for s in missing:
-            if whole(s):
-                word = s.lower() if self.lower else s
-                if word.isascii():
-                    letters = f"{_BYTE_LETTERS[32]}{word[1:]}" if word[0] == " " else word
-                else:
-                    letters = "".join([_BYTE_LETTERS[b] for b in word.encode()])
-                self[s] = value([t.id for t in tokenize(letters)])
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, segment: str):
+        if ONE_PRETOKEN.fullmatch(segment):
+            word = segment.lower() if self.lower else segment
+            if word.isascii():
+                letters = f"{_BYTE_LETTERS[32]}{word[1:]}" if word[0] == " " else word
             else:
-                new.append(s)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[s] = value(e.ids)
-
-    def trim(self, segmented: list[list[str]]) -> None:
-        """Forget what must not be kept."""
-        if len(self) > MEMO:
-            self.clear()
-            return
-        for s in {s for s in chain.from_iterable(segmented) if len(s) > LONGEST}:
-            self.pop(s, None)
+                letters = "".join([_BYTE_LETTERS[b] for b in word.encode()])
+            found = self.value([t.id for t in self.tokenize(letters)])
+        else:
+            found = self.value(self.tokenizer.encode(segment, add_special_tokens=False).ids)
+        if len(segment) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[segment] = found
+        return found

@@ -74,13 +74,8 @@ def _memo(path: str) -> Memo:
 
 def count_batch(path: str, texts: list[str]) -> list[int]:
     """Tokens of each text."""
-    memo, tokenizer = _memo(path), load(path)
-    plain = [None if len(t) > CHUNK or OTHER_SPACE.search(t) else WITH_SPACE.findall(t) for t in texts]
-    known = [s for s in plain if s is not None]
-    memo.learn(known)
-    counts = [count_spliced(tokenizer, t) if s is None else sum(map(memo.__getitem__, s)) for t, s in zip(texts, plain, strict=True)]
-    memo.trim(known)
-    return counts
+    tokens_of, tokenizer = _memo(path).__getitem__, load(path)
+    return [count_spliced(tokenizer, t) if len(t) > CHUNK or OTHER_SPACE.search(t) else sum(map(tokens_of, WITH_SPACE.findall(t))) for t in texts]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

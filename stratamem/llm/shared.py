@@ -44,13 +44,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{scratch_root(df.sparkSession)}/stratamem/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that reads them has been written itself."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the written tables of all operators, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/stratamem")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/stratamem")
 
 
 @contextmanager

@@ -190,3 +190,74 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, cases.text(5)), (13, other), (None, cases.text(11)), (None, "")], key=str)
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(0, n) for n in range(500, 700)]
+    root = list(range(700))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {x: find(x) for pair in pairs for x in pair}
+
+
+def test_links_among_hubs_follow_the_texts(spark):
+    rng = random.Random(4)
+    met = [(text, rng.randrange(0, 20)) for text in range(100, 300) for _ in range(42)]
+    links = jaccard_join._hub_links(spark.createDataFrame(met, "rep long, hub long"))
+    assert links.count() <= 200 + 20 * 20
+    assert set(components.components(links).select("component").distinct().toPandas()["component"]) == {0}
+
+
+def test_keep_one_knows_an_id_by_its_text(spark):
+    a, b = cases.text(5), cases.text(8)
+    kept = jaccard_join.keep_one(spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (5, b)]
+
+
+def shared_passages(texts, length=51):
+    """Maximal runs of words covered by runs of ``length`` words that another document has too."""
+    holders = defaultdict(set)
+    words = [re.findall(rb"[^\x00-\x20]+", (t or "").encode()) for t in texts]
+    for k, w in enumerate(words):
+        for i in range(len(w) - length + 1):
+            holders[tuple(w[i : i + length])].add(k)
+    out = []
+    for w in words:
+        covered = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if len(holders[tuple(w[i : i + length])]) > 1:
+                covered[i : i + length] = b"\1" * length
+        out.append([m.span() for m in re.finditer(b"\1+", bytes(covered))])
+    return out
+
+
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_shared_passages_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 500)
+    rng = random.Random(hot)
+
+    def some(n):
+        return [f"{rng.choice('abcdefgé')}{rng.randrange(60)}" for _ in range(n)]
+
+    passage, short = some(51), some(50)
+    texts = [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").collect()]
+    texts += [" ".join(some(rng.randint(0, 90)) + passage + some(rng.randint(0, 90))) for _ in range(12)]
+    texts += [" ".join(some(30) + short + some(30)) for _ in range(3)]
+    twice = some(70)
+    texts += [" ".join(twice + some(9) + twice), " ".join(some(5) + twice[10:65] + passage[:20]), "\t".join(passage) + "\n", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["passages"]] for r in suffix_dedup.remove_repeats(frame).collect()}
+    wanted = shared_passages(texts)
+    assert [found[i] for i in range(len(texts))] == wanted
+    assert sum(map(len, wanted)) > 20

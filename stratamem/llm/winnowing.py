@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import bind
+from stratamem.llm.shared import bind, materialise
 
 #: Tokens of a k-gram.
 K = 5
@@ -105,40 +105,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), fingerprint(text).alias("prints"))
 
 
-#: Rows of a range of ids, about, and ranges at most: their heads are literals of the plan.
-RANGE_ROWS, RANGES = 512, 4096
+#: Documents of a range of ids, about.
+RANGE_ROWS = 1 << 16
 
 
-def range_heads(docs: DataFrame, id_col: str = "doc_id") -> list:
-    """The least id of each range when the distinct ids are cut into ranges of about ``RANGE_ROWS``, ``RANGES`` at most."""
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    count = ids.count()
-    ranges = max(1, min(RANGES, -(-count // RANGE_ROWS)))
-    dealt = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("head"))
-    return sorted(r["head"] for r in dealt.collect())
+def in_order(keys: DataFrame) -> DataFrame:
+    """(doc_id, tie, before_id, before_tie, before_chars) of distinct keys (doc_id, tie, n_chars): the key before each, in a ring.
 
-
-def with_next(rows: DataFrame, heads: list, columns: dict[str, Column]) -> DataFrame:
-    """``rows`` with columns computed from each row and, as ``next_<name>``, those of the row after it by ``doc_id``.
-
-    The last row's next is the first. Rows are dealt by range once; the head of a range is
-    dealt to the range before it too, so that its last row can look ahead.
+    Only keys move, into as many ranges as they need; a range looks ahead by itself, and its
+    last key to the head of the next range. There is one head for each ``RANGE_ROWS`` keys.
     """
-    if not heads:
-        heads = [None]
-    spark = rows.sparkSession
-    bounds = F.array(*(F.lit(h) for h in heads))
-    own = F.greatest(F.size(F.filter(bounds, lambda h: h <= F.col("doc_id"))), F.lit(1)) - 1
-    before = F.pmod(own - 1 + len(heads), F.lit(len(heads)))
-    places = F.when(F.array_contains(bounds, F.col("doc_id")), F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")), F.struct(before.alias("range"), F.lit(True).alias("guest"))))
-    places = F.explode(places.otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")))))
-    dealt = rows.withColumn("place", places).select(*rows.columns, "place.*")
-    tasks = max(len(heads) // 8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # several ranges a task even them out
-    dealt = dealt.repartition(tasks, "range").withColumns(columns)
-    # the first id of all comes last where it is a guest
-    order = Window.partitionBy("range").orderBy(F.col("guest") & (F.col("doc_id") == F.lit(heads[0])), "doc_id", "text", "guest")
-    ahead = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *columns)})
-    return ahead.where(~F.col("guest")).drop("range", "guest")
+    ranges = max(1, -(-keys.count() // RANGE_ROWS))
+    dealt = keys.repartitionByRange(ranges, "doc_id", "tie").withColumn("range", F.spark_partition_id())
+    dealt = materialise(dealt, "winnow-ranges")
+    heads = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
+    by_range = Window.orderBy("range")
+    first = F.min(F.struct("range", "head")).over(Window.partitionBy())["head"]
+    heads = heads.select(F.col("range").alias("_r"), F.coalesce(F.lead("head").over(by_range), first).alias("head"))
+    ahead = F.lead(F.struct("doc_id", "tie")).over(Window.partitionBy("range").orderBy("doc_id", "tie"))
+    met = dealt.withColumn("ahead", ahead).join(heads, F.col("range") == F.col("_r")).withColumn("ahead", F.coalesce("ahead", "head"))
+    return met.select("ahead.doc_id", "ahead.tie", *(F.col(c).alias(f"before_{n}") for c, n in (("doc_id", "id"), ("tie", "tie"), ("n_chars", "chars"))))
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, tie, text, prints) with ``start`` and ``next_hashes`` of the row after each: as much of its text as an edit takes, and its hashes.
+
+    Rows move once, by key, with their fingerprints, so these are made once; from there each
+    gives what the row before it needs. Rows with one key have one next; rows without an id
+    have an empty one. Both joins name their keys alike, null-safe, so that Spark makes the
+    exchange of texts once and reads it twice.
+    """
+    keys = materialise(rows.where("doc_id is not null").groupBy("doc_id", "tie").agg(F.first(F.length("text")).alias("n_chars"), F.count(F.lit(1)).alias("n")), "winnow-keys")
+    order = in_order(keys.select("doc_id", "tie", "n_chars")).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}).hint("merge")
+    givers = rows.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    givers = givers.select(
+        "before_id", "before_tie", F.left("text", F.floor(F.col("before_chars") / 4).cast("int")).alias("start"), hashes(F.col("prints")).alias("next_hashes")
+    )
+    if keys.where("n > 1").limit(1).count():
+        givers = givers.dropDuplicates(["before_id", "before_tie"])
+    met = rows.join(givers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("before_id")) & (F.col("tie") == F.col("before_tie")), "left")
+    empty = {"start": F.lit(""), "next_hashes": F.array().cast("array<int>")}
+    return met.select(*rows.columns, *(F.coalesce(name, value).alias(name) for name, value in empty.items()))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -151,23 +158,21 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row of ``docs``: its fingerprint, that of its edited text, and how alike they and the next one's are.
 
     Columns ``doc_id``, ``n_chars``, ``edited_sha256``, ``prints``, ``edited_prints``,
-    ``near_edited``, ``near_next``. Texts move once, to ranges of ids.
+    ``near_edited``, ``near_next``. Texts move once; documents with the same id follow each
+    other by a hash of their texts.
 
-    Edge cases: as in ``fingerprints``; a table of one row is its own next; rows that share
-    an id follow each other by text; a null id has no next document (an empty one stands in).
+    Edge cases: as in ``fingerprints``; a table of one row is its own next; rows that repeat
+    an id and its text are one document in the order of ids, and each has its next; a null
+    id has no next document (an empty one stands in).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    own = {"prints": fingerprint(F.col("text"))}
-    named = with_next(rows.where("doc_id is not null"), range_heads(docs, id_col), own)
-    empty = F.array().cast("array<bigint>")
-    unnamed = rows.where("doc_id is null").withColumns({**own, "next_text": F.lit(""), "next_prints": empty})
-    met = named.unionByName(unnamed).select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).withColumn("prints", fingerprint(F.col("text")))
+    met = with_next(rows).select(
         "doc_id",
         "prints",
         F.length("text").cast("long").alias("n_chars"),
-        edited(F.col("text"), F.col("next_text")).alias("edited"),
-        hashes(F.col("next_prints")).alias("next_hashes"),
+        edited(F.col("text"), F.col("start")).alias("edited"),
+        "next_hashes",
     )
 
     def compared(own: Column) -> Column:

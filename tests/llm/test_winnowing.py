@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -89,3 +91,50 @@ def test_many_ranges(spark, monkeypatch):
     check(spark, W.compare_with_edits(spark.createDataFrame(list(rows.items()), "doc_id long, text string")), rows)
     lone = spark.createDataFrame([(1, cases.text(3))], "doc_id long, text string")
     assert W.compare_with_edits(lone).first()["near_next"] == 1.0
+
+
+def slow_prints(text):
+    """Winnowing, plainly: tokens, polynomial hashes, the rightmost least hash of each window."""
+    single = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]"
+    letter = rf"(?:(?!{single})[\p{{L}}\p{{M}}\p{{N}}])"
+    tokens = [m[0] for m in regex.finditer(rf"{letter}{{1,24}}+(?!{letter})|\S", text.lower())]
+    codes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    codes = [(c - (1 << 64) if c >> 63 else c) % W.PRIME for c in codes]
+    grams = []
+    for i in range(max(1, len(codes) - W.K + 1) if codes else 0):
+        value = 0
+        for c in codes[i : i + W.K]:
+            value = (value * W.BASE + c) % W.PRIME
+        grams.append(xxhash.xxh64_intdigest(value.to_bytes(8, "little"), 42) >> 33)
+    places = set()
+    for i in range(max(1, len(grams) - W.WINDOW + 1) if grams else 0):
+        window = list(enumerate(grams[i : i + W.WINDOW], i))
+        places.add(min(window, key=lambda x: (x[1], -x[0]))[0])
+    return [(grams[i], i) for i in sorted(places)]
+
+
+def near(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_query_matches_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r["text"] or "" for r in table(spark, d, "documents").collect()}
+    found = {r["doc_id"]: r for r in entry.queries()["op6_winnowing"](spark, d).collect()}
+    ids = sorted(rows)
+    for n, i in enumerate(ids):
+        body, following = rows[i], rows[ids[(n + 1) % len(ids)]]
+        tail = len(body) // 4
+        own, changed, ahead = map(slow_prints, (body, body[: len(body) - tail] + following[:tail], following))
+        assert found[i]["fingerprint"] == ",".join(f"{h:x}:{k}" for h, k in own)
+        assert found[i]["edited_fingerprint"] == ",".join(f"{h:x}:{k}" for h, k in changed)
+        assert abs(found[i]["near_edited"] - near(own, changed)) < 1e-12
+        assert abs(found[i]["near_next"] - near(own, ahead)) < 1e-12
+
+
+def test_rows_of_one_id_have_a_next_each(spark):
+    rows = [(1, cases.text(3)), (1, cases.text(4)), (1, cases.text(4)), (2, cases.text(5))]
+    found = W.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 1, 1, 2]
+    assert len({r["edited_sha256"] for r in found}) == 3

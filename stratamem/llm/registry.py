@@ -6,15 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import op_queries
+from stratamem.llm import op_queries, stages
 from stratamem.llm.op_sql import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten operators over their whole tables, and the pipeline."""
-    import corpus_pipeline
-
-    return {**op_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    return {**op_queries.QUERIES, "pipeline": stages.run}
 
 
 def oracles() -> dict[str, str]:

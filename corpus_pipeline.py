@@ -1,59 +1,8 @@
-"""Corpus preparation: five stages, each a written table that the next one reads.
+"""The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, mixing, best-fit packing."""
 
-Toxic documents go, then exact copies, then near copies; what stays is mixed to target
-weights, each document as often as the mix takes it, and packed into sequences.
-"""
+from stratamem.llm.stages import STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from stratamem.llm import exact_dedup, jaccard_join, mixing, op_queries, toxicity
-from stratamem.llm.shared import materialise
-from stratamem.sources.tables import table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half, learned from all labels; null ids are judged by text too."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.keep_clean(docs, model)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.one_of_each(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return jaccard_join.one_of_each(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it does."""
-    return mixing.mixed_rows(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and copy, in sequences."""
-    return op_queries.packed_digests(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("jaccard_join", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
 #: Learned scores, near copies, rounding and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -216,6 +216,14 @@ def _described(rows: DataFrame, id_type: str) -> DataFrame:
     return rows.mapInPandas(lean(run), f"doc_id {id_type}, code long, high long, low long, chars long, bands array<bigint>")
 
 
+def _hub_links(met: DataFrame) -> DataFrame:
+    """(a, b) that connect all texts (rep) with all their hubs: at most one link a text, and those among hubs."""
+    hubs = met.groupBy("rep").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))  # a hub a band at most
+    own = hubs.select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    among = hubs.select(F.explode("hubs").alias("a"), F.col("least").alias("b"))
+    return own.unionByName(among).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``class_id`` and ``n_links``.
 
@@ -224,8 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the least id that links lead to.
 
     Documents of one shingle set are one text with copies. Texts that share a band of
-    MinHash values are joined into clusters, through the least text of each bucket, so a
-    bucket of n texts makes n rows. The texts of a cluster meet in one task, or in blocks
+    MinHash values are joined into clusters through the least text of each bucket, its hub:
+    a text is linked to the least of its hubs, and its other hubs to that one, each pair of
+    hubs once; so the links follow the texts, not texts times bands. The texts of a cluster meet in one task, or in blocks
     of ``BLOCK``, two by two, if there are many; no pair becomes a row. A task compares
     MinHash values step by step and drops pairs whose posterior falls below ``TOLERANCE``,
     and verifies the others on their full sets; what it returns is linear in its texts.
@@ -235,6 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id are documents of their own with one class; rows with null ids have a null
     class and no links; an empty table gives an empty result; other columns are ignored.
     """
+    return _classified(docs, id_col, text_col).drop("code")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with ``code``, the hash of each row's text."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("code"), text.alias("text"))
@@ -249,8 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = named.join(texts, (F.col("doc_id") == F.col("rep")) & (F.col("code") == F.col("own")))
     banded = banded.select("rep", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("key", "hub").hint("merge")
-    candidates = banded.join(hubs, "key").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(candidates)
+    clusters = components(_hub_links(banded.join(hubs, "key").select("rep", "hub")))
     members = clusters.join(sets, F.col("node") == F.col("rep")).select("rep", "own", "component", "copies", "chars")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_CHARS))
@@ -278,6 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unnamed = F.col("doc_id").isNull()
     return out.select(
         "doc_id",
+        "code",
         F.when(~unnamed, F.coalesce("root", "doc_id")).alias("class_id"),
         F.when(unnamed, F.lit(0)).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
@@ -286,12 +300,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their class, with all columns: one document of each class.
 
-    Edge cases as in ``near_duplicates``; rows with null ids stay, and so do all rows of an id
-    that names a class. ``one_of_each`` leaves one row of each class.
+    Edge cases as in ``near_duplicates``; rows with null ids stay, and so do rows that repeat
+    an id and its text. ``one_of_each`` leaves one row of each class.
     """
-    key = fresh("kept")
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    key, code = fresh("kept"), fresh("code")
+    kept = _classified(docs, id_col, text_col).where("doc_id is null or doc_id = class_id")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("code").alias(code)).distinct()
+    mine = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(code)
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & mine, "left_semi")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,8 +11,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-import corpus_pipeline
-from stratamem.llm import components, jaccard_join, suffix_dedup
+from stratamem.llm import components, jaccard_join, stages, suffix_dedup
 from stratamem.sources.tables import table
 from tests.llm import cases
 
@@ -188,7 +187,7 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
     near, other = " ".join(near), cases.text(8)
     rows = [(5, cases.text(5)), (13, near), (13, other), (13, other), (None, cases.text(5)), (None, cases.text(11)), (None, cases.text(11)), (None, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    got = stages.drop_near_copies(spark, frame, "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, cases.text(5)), (13, other), (None, cases.text(11)), (None, "")], key=str)
 
 

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import lean, small_batches
+from stratamem.llm.shared import lean, materialise, small_batches
 
 
 #: Labelled documents of a language that training reads, about; they are chosen by hash.
 TRAIN_DOCS = 1500
 #: Buckets of the trigram table.
 BUCKETS = 1 << 15
+#: Languages up to which their sizes go to every task instead of the texts going to the sizes.
+FEW_LANGUAGES = 10_000
 SMOOTH = 0.05
 ITERATIONS = 12
 #: Weight of log(words) that a further language must gain in log likelihood.
@@ -117,10 +119,14 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str
     """(languages, table): log probabilities of trigram buckets by language, from (doc_id, text, lang).
 
     Reads about ``per_language`` documents of each language, chosen by a hash of the id, so
-    the counts sent to the driver are at most ``BUCKETS`` numbers a language.
+    the counts sent to the driver are at most ``BUCKETS`` numbers a language. The sizes of
+    the languages, one row each, are broadcast once they are known to be few, so texts are
+    chosen where they are read.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang")
+    sizes = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang"), "language-sizes")
+    if sizes.count() <= FEW_LANGUAGES:
+        sizes = F.broadcast(sizes)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) / 1e6
     sample = labelled.join(sizes, F.col("lang") == F.col("_lang")).where(chance * F.col("n") < per_language).select("lang", "text")
 

@@ -17,10 +17,10 @@ from stratamem.llm.shared import lean, small_batches
 
 #: Labelled documents that training reads, about, of each label; they are chosen by hash.
 TRAIN_DOCS = 3000
-#: Terms of the lexicon at most; stems end in an asterisk.
-MAX_TERMS = 400
-#: Distinct training texts that a new term must explain.
+#: Distinct training texts that a new term must explain; so a lexicon has a third as many terms as there are toxic ones, at most.
 MIN_GAIN = 3
+#: Share of the toxic training texts that have a word which counts although other terms explain them.
+OFTEN = 0.05
 #: Share of toxic texts among those that have the term, as if both labels were as frequent and
 #: DOUBT more clean texts had it.
 MIN_PRECISION, DOUBT = 0.9, 3
@@ -174,7 +174,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
     Terms are counted text by text; only those of toxic texts are held, and of them only the
     frequent ones after the first pass.
 
-    Candidates are words, and stems of ``STEM`` letters or more. A term is taken while it
+    Candidates are words, and stems (they end in an asterisk) of ``STEM`` letters or more. A term is taken while it
     explains ``MIN_GAIN`` texts that no earlier term does, so words that merely come along
     with the copies of one text add nothing. A weight is the squared log odds of the term's
     precision over 25, 1 at most, so one chance hit of a doubtful term is little evidence.
@@ -198,7 +198,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
             for t in _terms(text).intersection(precise):
                 covers.setdefault(t, set()).add(k)
     lexicon: dict[str, float] = {}
-    while covers and len(lexicon) < MAX_TERMS:
+    while covers:
         # of equal cover the plain word, then the longer term, then by name
         term = max(covers, key=lambda t: (len(covers[t]), not t.endswith("*"), len(t), t))
         if len(covers[term]) < MIN_GAIN:
@@ -210,8 +210,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
             if len(covers[t]) < MIN_GAIN:
                 del covers[t]
     # a word that is as precise by itself also counts where others explained its texts
-    often = [t for t in precise if not t.endswith("*") and bad[t] >= 0.05 * n_bad and t not in lexicon]
-    lexicon.update({t: precise[t] for t in often[: MAX_TERMS - len(lexicon)]})
+    lexicon.update({t: p for t, p in precise.items() if not t.endswith("*") and bad[t] >= OFTEN * n_bad and t not in lexicon})
     return {t: min(1.0, (math.log(p / (1 - p)) / 5) ** 2) if p < 1 else 1.0 for t, p in lexicon.items()}
 
 
@@ -294,7 +293,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows get equal scores; null ids pass through; an empty table gives an empty result;
     only the text is an input.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of the bounded training sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -79,7 +79,7 @@ def prose(text: Column) -> Column:
         letters = F.length(F.regexp_replace(bare, r"\P{L}", ""))
         code = F.lit(False)
         for pattern in V.CODE_PATTERNS:
-            code = code | line.rlike(pattern)
+            code = code | line.rlike(f"^(?:{pattern})")
         sparse = (F.length(bare) > 5) & (letters / F.greatest(F.length(bare), F.lit(1)) < 0.4)
         return (bare != "") & ~sparse & ~code
 

@@ -173,7 +173,7 @@ def hall_map(spark: SparkSession, d: str) -> DataFrame:
 #: Texts in English made from rows, as the documents' prose is invented.
 _NOTE = {
     "purchase": "[DECISION] Decided to use Plan {0}. It shipped on 2024-01-05 because the result was great",
-    "login": "User prefers short replies; always use metric units. This works at scale, see Handbook for {0}",
+    "signup": "User prefers short replies; always use metric units. This works at scale, see Handbook for {0}",
     "click": "We noticed the error and it is broken: we wonder what to do about it, question {0}",
     "view": "The team learned a lesson and fixed the outage. Group {0} met with Ada Vale at Harbor Labs",
 }
@@ -253,7 +253,7 @@ def typed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @register("entity_refs")
 def entity_refs(spark: SparkSession, d: str) -> DataFrame:
-    """The named entities of each text."""
+    """The named entities of each text that tells of the world, with what they are."""
     return extract.entity_references(_notes(spark, d))
 
 
@@ -505,7 +505,7 @@ def entity_page_match(spark: SparkSession, d: str) -> DataFrame:
     return tok.join(parts, "token").distinct()
 
 
-_CITED = "concat(case event_type when 'click' then 'see [cite: ] now' when 'view' then 'see episode abc and on' when 'login' then 'text [cite: open' else 'plain ' end, ' ', user_id{0})"
+_CITED = "concat(case event_type when 'click' then 'see [cite: ] now' when 'view' then 'see episode abc and on' when 'signup' then 'text [cite: open' else 'plain ' end, ' ', user_id{0})"
 _CITATIONS = ", ".join(f"case when regexp_matches(t, '{p}') then '{k}' end" for k, p in V.CITATION_PATTERNS.items())
 
 
@@ -531,7 +531,7 @@ def abuse_audit(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("uuid", T.abuse_reason(F.col("content")).alias("reason"), T.group_id_reason(F.col("agent_id")).alias("group_reason"))
 
 
-_CODE = " or ".join("regexp_matches(x, '" + p.replace("'", "''") + "')" for p in V.CODE_PATTERNS)
+_CODE = " or ".join("regexp_matches(x, '^(?:" + p.replace("'", "''") + ")')" for p in V.CODE_PATTERNS)
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratamem.functions import fixed as V
 from stratamem.functions import guard as G
 from stratamem.functions import text as T
 from stratamem.operators import sessions
@@ -145,10 +146,10 @@ def cut_commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("uuid"), G.cut_command(F.col("text")).alias("cmd"))
 
 
-@register("protected_jobs", "with n as (select event_id as job_id, case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'login' then 'compact__daily' else event_type end as name from events) select job_id, regexp_replace(lower(trim(name)), '[\\s_\\-]+', '-', 'g') in ('shell', 'bash', 'sh', 'exec', 'subprocess', 'system', 'python', 'python3', 'command', 'script') as protected from n")
+@register("protected_jobs", "with n as (select event_id as job_id, case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'signup' then 'compact__daily' when 'error' then 'shell_exec' else event_type end as name from events) select job_id, regexp_replace(lower(trim(name)), '[\\s_\\-]+', '-', 'g') in ('shell', 'bash', 'sh', 'exec', 'subprocess', 'system', 'python', 'python3', 'command', 'script') as protected from n")
 def protected_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Job names that must not come from outside."""
-    name = F.expr("case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'login' then 'compact__daily' else event_type end")
+    name = F.expr("case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'signup' then 'compact__daily' when 'error' then 'shell_exec' else event_type end")
     return table(spark, d, "events").select(F.col("event_id").alias("job_id"), G.is_protected(name).alias("protected"))
 
 
@@ -159,7 +160,7 @@ def handoff_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", key.alias("fingerprint"))
 
 
-_SUMMARY = " ".join("when " + " or ".join(f"contains(low, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + f" then '{k}'" for k, words in G.SUMMARY_KEYWORDS.items())
+_SUMMARY = " ".join("when " + " or ".join(f"contains(low, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + f" then '{k}'" for k, words in V.SUMMARY_KEYWORDS.items())
 
 
 @register("summary_lists", f"with l as (select conv_id, turn, lower(text) as low from conversations), k as (select conv_id, case {_SUMMARY} end as kind from l) select conv_id, kind, count(*) as lines from k where kind is not null group by 1, 2")
@@ -176,7 +177,7 @@ def other_systems(spark: SparkSession, d: str) -> DataFrame:
     return o.where(G.from_other_system(F.concat(F.lit("hook:"), "o_orderpriority"), F.col("o_orderstatus"), "hook:1", "p")).select(F.col("o_orderkey").alias("uuid"))
 
 
-@register("heartbeat_sessions", "with m as (select conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from conversations) select conv_id, bool_and(t = '' or t = 'HEARTBEAT_OK' or contains(lower(t), 'read heartbeat.md if it exists')) as only_heartbeats, count(*) as n from m group by 1")
+@register("heartbeat_sessions", "with m as (select conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from conversations) select conv_id, bool_and(t = '' or t = 'HEARTBEAT_OK' or contains(lower(t), 'read heartbeat.md if it exists') or contains(lower(t), 'when reading heartbeat.md, use workspace file') or contains(lower(t), 'do not infer or repeat old tasks from prior chats')) as only_heartbeats, count(*) as n from m group by 1")
 def heartbeat_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that only keep alive."""
     rows = table(spark, d, "conversations").groupBy("conv_id")

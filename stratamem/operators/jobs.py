@@ -1,11 +1,61 @@
-"""Job queue as batch state transitions."""
+"""Job queue as batch state transitions: each operator answers for all requests of a batch at once.
+
+Jobs have job_id, name, queue, status, attempts, max_attempts, priority, created_at,
+scheduled_at, claimed_at, worker_id, parent_id, depth, idempotency_key, timeout_seconds,
+failed_at, completed_at, failure_reason, result; an operator reads the columns it names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratamem.functions import fixed as V
+from stratamem.functions.guard import retry_wait
 from stratamem.operators.rank import top_k
+from stratamem.operators.trees import descendants
+
+
+def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """What becomes of ``requests`` (job_id, name, idempotency_key, parent_id, priority, timeout_seconds, max_attempts, scheduled_at).
+
+    Per request ``job_id`` (an existing job's where name and key were known, the first
+    request's of a batch), ``reason`` (null if in order), ``created``, ``depth`` and
+    ``scheduled_at``. The first of these reasons is given: ``name``, ``timeout_seconds``,
+    ``max_attempts``, ``parent_id`` (unknown), ``depth`` (over ``MAX_DEPTH``), ``children``
+    (the parent has ``MAX_CHILDREN``, those before in the batch by job_id included).
+    Requests whose parent comes in the same batch belong in the next one.
+    """
+    counts = jobs.where("parent_id is not null").groupBy("parent_id").agg(F.count(F.lit(1)).alias("_children"))
+    parents = jobs.select(F.col("job_id").alias("_p"), F.col("depth").alias("_depth"))
+    known = jobs.where("idempotency_key is not null").groupBy(F.col("name").alias("_name"), F.col("idempotency_key").alias("_key")).agg(F.min("job_id").alias("_existing"))
+    met = requests.join(parents, F.col("parent_id") == F.col("_p"), "left").join(counts.withColumnRenamed("parent_id", "_q"), F.col("parent_id") == F.col("_q"), "left")
+    met = met.join(known, (F.col("name") == F.col("_name")) & (F.col("idempotency_key") == F.col("_key")), "left")
+    depth = F.when(F.col("parent_id").isNull(), 0).otherwise(F.col("_depth") + 1)
+    reason = (
+        F.when(F.coalesce("name", F.lit("")) == "", F.lit("name"))
+        .when(F.col("timeout_seconds") <= 0, F.lit("timeout_seconds"))
+        .when(F.col("max_attempts") < 1, F.lit("max_attempts"))
+        .when(F.col("parent_id").isNotNull() & F.col("_p").isNull(), F.lit("parent_id"))
+        .when(depth > V.MAX_DEPTH, F.lit("depth"))
+        .when(F.coalesce("_children", F.lit(0)) >= V.MAX_CHILDREN, F.lit("children"))
+    )
+    judged = met.withColumns({"depth": depth, "reason": reason})
+    # in a batch the first of each name and key is the job, and later ones are that one
+    same = Window.partitionBy("name", "idempotency_key", F.col("reason").isNull())
+    keyed = F.col("idempotency_key").isNotNull() & F.col("reason").isNull()
+    first = F.when(keyed, F.coalesce("_existing", F.min("job_id").over(same))).otherwise(F.col("job_id"))
+    judged = judged.withColumn("_first", first).withColumn("_new", F.col("reason").isNull() & (F.col("_first") == F.col("job_id")) & ~(keyed & F.col("_existing").isNotNull()))
+    before = F.sum(F.col("_new").cast("int")).over(Window.partitionBy("parent_id").orderBy("job_id"))
+    full = F.col("_new") & F.col("parent_id").isNotNull() & (F.coalesce("_children", F.lit(0)) + before > V.MAX_CHILDREN)
+    return judged.withColumn("_full", full).select(
+        F.col("job_id").alias("request_id"),
+        F.when(F.col("reason").isNull() & ~F.col("_full"), F.col("_first")).alias("job_id"),
+        F.when(F.col("_full"), F.lit("children")).otherwise(F.col("reason")).alias("reason"),
+        (F.col("_new") & ~F.col("_full")).alias("created"),
+        F.when(F.col("reason").isNull() & ~F.col("_full"), F.col("depth")).alias("depth"),
+        F.coalesce("scheduled_at", now).alias("scheduled_at"),
+    )
 
 
 def claim(jobs: DataFrame, now: Column, n: int, keys: list[str]) -> DataFrame:
@@ -14,19 +64,89 @@ def claim(jobs: DataFrame, now: Column, n: int, keys: list[str]) -> DataFrame:
     return top_k(due, keys, n, F.desc("priority"), F.asc("scheduled_at"), F.asc("job_id"))
 
 
-def stalled(jobs: DataFrame, now: Column) -> DataFrame:
-    """Running jobs that were claimed more than twice their timeout ago."""
+def claimed(jobs: DataFrame, now: Column, n: int, keys: list[str], worker_id: Column) -> DataFrame:
+    """All ``jobs`` after the claim: those claimed belong to the worker, with one more attempt."""
+    taken = claim(jobs, now, n, keys).select(F.col("job_id").alias("_taken"))
+    met, mine = jobs.join(taken, F.col("job_id") == F.col("_taken"), "left"), F.col("_taken").isNotNull()
+    changes = {"status": F.lit("claimed"), "claimed_at": now, "worker_id": worker_id, "attempts": F.col("attempts") + 1}
+    return met.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in changes.items()}).drop("_taken")
+
+
+def complete(jobs: DataFrame, results: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(jobs, inbox) after ``results`` (job_id, result): claimed jobs are complete, and their parents' inbox
+    (parent_id, child_id, result, completed_at) has a row for each. Other jobs stay as they are."""
+    asked = results.select(F.col("job_id").alias("_id"), F.col("result").alias("_result"))
+    met = jobs.join(asked, F.col("job_id") == F.col("_id"), "left").withColumn("_done", F.col("_id").isNotNull() & (F.col("status") == "claimed"))
+    changes = {"status": F.lit("complete"), "completed_at": now, "result": F.col("_result")}
+    out = met.withColumns({c: F.when(F.col("_done"), v).otherwise(F.col(c)) for c, v in changes.items()})
+    inbox = out.where("_done and parent_id is not null").select("parent_id", F.col("job_id").alias("child_id"), "result", "completed_at")
+    return out.drop("_id", "_result", "_done"), inbox
+
+
+def collected(inbox: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(taken, left): the inbox rows of ``parents`` (parent_id), and the inbox without them."""
+    return inbox.join(parents, "parent_id", "left_semi"), inbox.join(parents, "parent_id", "left_anti")
+
+
+def fail(jobs: DataFrame, failures: DataFrame, now: Column, longest: int = 500) -> DataFrame:
+    """All ``jobs`` after ``failures`` (job_id, reason, retriable) of claimed ones.
+
+    A retriable job with attempts left is pending again after a growing pause; without, it
+    is ``dead``; one that is not retriable is ``failed``.
+    """
+    asked = failures.select(F.col("job_id").alias("_id"), F.left("reason", F.lit(longest)).alias("_reason"), F.col("retriable").alias("_again"))
+    met = jobs.join(asked, F.col("job_id") == F.col("_id"), "left").withColumn("_mine", F.col("_id").isNotNull() & (F.col("status") == "claimed"))
+    again = F.col("_mine") & F.col("_again") & (F.col("attempts") < F.col("max_attempts"))
+    ended = F.col("_mine") & ~again
+    wait = F.make_dt_interval(secs=retry_wait(F.greatest("attempts", F.lit(1))).cast("decimal(18,6)"))
+    met = met.withColumns({"_retry": again, "_ended": ended})
+    return met.withColumns(
+        {
+            "status": F.when(F.col("_retry"), "pending").when(F.col("_ended"), F.when(F.col("_again"), "dead").otherwise("failed")).otherwise(F.col("status")),
+            "scheduled_at": F.when(F.col("_retry"), now + wait).otherwise(F.col("scheduled_at")),
+            "claimed_at": F.when(~F.col("_retry"), F.col("claimed_at")),
+            "worker_id": F.when(~F.col("_retry"), F.col("worker_id")),
+            "failed_at": F.when(F.col("_ended"), now).otherwise(F.col("failed_at")),
+            "failure_reason": F.when(F.col("_mine"), F.col("_reason")).otherwise(F.col("failure_reason")),
+        }
+    ).drop("_id", "_reason", "_again", "_mine", "_retry", "_ended")
+
+
+def cancel(jobs: DataFrame, asked: DataFrame, now: Column, cascade: bool = True) -> DataFrame:
+    """All ``jobs`` after the cancelling of ``asked`` (job_id) and, with ``cascade``, of all below them; ended ones stay."""
+    tops = asked.select(F.col("job_id").alias("id"))
+    gone = descendants(jobs.select(F.col("job_id").alias("id"), F.col("parent_id").alias("parent")), tops) if cascade else tops.distinct()
+    met = jobs.join(gone.select(F.col("id").alias("_id")), F.col("job_id") == F.col("_id"), "left")
+    met = met.withColumn("_gone", F.col("_id").isNotNull() & ~F.col("status").isin(*V.TERMINAL_STATES))
+    changes = {"status": F.lit("cancelled"), "failed_at": now, "failure_reason": F.lit("cancelled")}
+    return met.withColumns({c: F.when(F.col("_gone"), v).otherwise(F.col(c)) for c, v in changes.items()}).drop("_id", "_gone")
+
+
+def renew(jobs: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
+    """All ``jobs`` after the renewal of ``leases`` (job_id, worker_id) by the workers that still hold them."""
+    asked = leases.select(F.col("job_id").alias("_id"), F.col("worker_id").alias("_worker")).distinct()
+    met = jobs.join(asked, (F.col("job_id") == F.col("_id")) & (F.col("worker_id") == F.col("_worker")), "left")
+    held = F.col("_id").isNotNull() & (F.col("status") == "claimed")
+    return met.withColumn("claimed_at", F.when(held, now).otherwise(F.col("claimed_at"))).drop("_id", "_worker")
+
+
+def log_lines(lines: DataFrame, now: Column, longest: int = 2000) -> DataFrame:
+    """(job_id, ts, level, message) to append to the log, of (job_id, level, message)."""
+    return lines.select("job_id", now.alias("ts"), F.upper("level").alias("level"), F.left("message", F.lit(longest)).alias("message"))
+
+
+def stalled(jobs: DataFrame, now: Column, status: str = "running") -> DataFrame:
+    """Jobs at work that were claimed more than twice their timeout ago."""
     limit = F.col("claimed_at") + F.make_dt_interval(secs=(2 * F.col("timeout_seconds")).cast("decimal(18,6)"))
-    return jobs.where((F.col("status") == "running") & (limit < now))
+    return jobs.where((F.col("status") == status) & (limit < now))
 
 
 def retry(jobs: DataFrame, now: Column) -> DataFrame:
     """Failed jobs with their next state: pending again after a growing pause, or dead."""
-    wait = F.least(F.lit(3600.0), 5 * F.pow(F.lit(2.0), F.col("attempts") - 1)).cast("long")
     again = F.col("attempts") < F.col("max_attempts")
     return jobs.withColumns(
         {
             "next_status": F.when(again, F.lit("pending")).otherwise(F.lit("dead")),
-            "wait_seconds": F.when(again, wait),
+            "wait_seconds": F.when(again, retry_wait(F.col("attempts"))),
         }
     )

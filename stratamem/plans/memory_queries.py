@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratamem.functions import fixed as V
 from stratamem.functions import text as T
-from stratamem.operators import compaction, extract, graph, jobs, lifecycle, rank, sessions, vector
+from stratamem.operators import compaction, extract, graph, jobs, lifecycle, rank, sessions, trees, vector
 from stratamem.plans.catalogue import register
 from stratamem.plans.model import EVENTS_SQL, NOW, events, now, stamp
 from stratamem.sources.tables import table
@@ -377,23 +377,48 @@ def session_chain(spark: SparkSession, d: str) -> DataFrame:
     return sessions.chains(table(spark, d, "orders").select(F.col("o_orderkey").alias("session"), before.alias("parent")))
 
 
+_JOBS = "select o_orderkey as job_id, 6 - cast(substr(o_orderpriority, 1, 1) as int) as priority, case o_orderstatus when 'O' then 'pending' when 'P' then 'running' else 'failed' end as status, o_orderdate as scheduled_at, o_orderdate as claimed_at, cast(o_totalprice as int) as timeout_seconds, 1 + o_custkey % 4 as attempts, 3 as max_attempts, o_custkey % 5 as queue from orders"
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("job_id"),
+        (6 - F.left("o_orderpriority", F.lit(1)).cast("int")).alias("priority"),
+        F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("failed").alias("status"),
+        F.col("o_orderdate").alias("scheduled_at"),
+        F.col("o_orderdate").alias("claimed_at"),
+        F.bround("o_totalprice").cast("int").alias("timeout_seconds"),
+        (1 + F.col("o_custkey") % 4).alias("attempts"),
+        F.lit(3).alias("max_attempts"),
+        (F.col("o_custkey") % 5).alias("queue"),
+    )
+
+
+#: Jobs as trees that branch: job n is below job n / 3, and jobs divisible by 50 are tops.
+_TREE_SQL = "links as (select o_orderkey as id, case when o_orderkey % 50 <> 0 and o_orderkey // 3 in (select o_orderkey from orders) then o_orderkey // 3 end as parent from orders)"
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    jobs = _jobs(spark, d)
+    above = F.when(F.col("job_id") % 50 != 0, F.floor(F.col("job_id") / 3))
+    return jobs.withColumns({"parent_id": above, "failed_at": F.lit(None).cast("timestamp_ntz"), "failure_reason": F.lit(None).cast("string")})
+
+
+@register("job_roots", f"with recursive {_TREE_SQL}, t as (select id, id as root, 0 as depth from links where parent is null union all select l.id, t.root, t.depth + 1 from t join links l on l.parent = t.id) select id as job_id, root, depth from t")
+def job_roots(spark: SparkSession, d: str) -> DataFrame:
+    """The top of each job's tree, and its depth, over trees of any shape."""
+    return trees.rooted(_tree(spark, d).select(F.col("job_id").alias("id"), F.col("parent_id").alias("parent"))).withColumnRenamed("id", "job_id")
+
+
 @register(
     "descendant_cancel",
-    f"with recursive {_CHAIN}, jobs as (select session as id, parent, {_STATES} as s from links join orders on o_orderkey = session), t as (select id, id as root, 0 as depth from jobs where parent is null union all select j.id, t.root, t.depth + 1 from t join jobs j on j.parent = t.id) select t.id as job_id, root, depth, case when s is null then 'cancelled' else s end as status from t join jobs using (id)",
+    f"with recursive {_TREE_SQL}, jobs as ({_JOBS}), gone as (select id from links where id % 40 = 0 union select l.id from gone g join links l on l.parent = g.id) select job_id, case when gone.id is not null and status <> 'failed' then 'cancelled' else status end as status, case when gone.id is not null and status <> 'failed' then 'cancelled' end as failure_reason from jobs left join gone on gone.id = job_id",
 )
 def descendant_cancel(spark: SparkSession, d: str) -> DataFrame:
-    """All descendants of the first job of each tree, cancelled where still open.
-
-    A customer's orders are a chain, so the root is the first and the depth the position: a
-    window in place of recursion.
-    """
-    chain = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("job_id"),
-        F.first("o_orderkey").over(chain).alias("root"),
-        (F.row_number().over(chain) - 1).cast("int").alias("depth"),
-        F.coalesce(F.expr(_STATES), F.lit("cancelled")).alias("status"),
-    )
+    """Some jobs cancelled with all below them, where not ended yet; trees branch."""
+    all_jobs = _tree(spark, d)
+    return jobs.cancel(all_jobs, all_jobs.where("job_id % 40 = 0"), now()).select("job_id", "status", "failure_reason")
 
 
 @register("latest_per_group", f"with e as ({EVENTS_SQL}) select group_id, uuid, memory_type from e where created_at >= {NOW} - interval 72 hour qualify row_number() over (partition by group_id order by created_at desc, uuid desc) = 1")
@@ -450,24 +475,6 @@ def wake_up_layer1(spark: SparkSession, d: str) -> DataFrame:
     return sessions.wake_up(items, 60)
 
 
-_JOBS = "select o_orderkey as job_id, 6 - cast(substr(o_orderpriority, 1, 1) as int) as priority, case o_orderstatus when 'O' then 'pending' when 'P' then 'running' else 'failed' end as status, o_orderdate as scheduled_at, o_orderdate as claimed_at, cast(o_totalprice as int) as timeout_seconds, 1 + o_custkey % 4 as attempts, 3 as max_attempts, o_custkey % 5 as queue from orders"
-
-
-def _jobs(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.select(
-        F.col("o_orderkey").alias("job_id"),
-        (6 - F.left("o_orderpriority", F.lit(1)).cast("int")).alias("priority"),
-        F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("failed").alias("status"),
-        F.col("o_orderdate").alias("scheduled_at"),
-        F.col("o_orderdate").alias("claimed_at"),
-        F.bround("o_totalprice").cast("int").alias("timeout_seconds"),
-        (1 + F.col("o_custkey") % 4).alias("attempts"),
-        F.lit(3).alias("max_attempts"),
-        (F.col("o_custkey") % 5).alias("queue"),
-    )
-
-
 @register("queue_claim", f"with j as ({_JOBS}) select queue, job_id, priority, row_number() over (partition by queue order by priority desc, scheduled_at, job_id) as rank from j where status = 'pending' and scheduled_at <= timestamp '1998-01-01' qualify rank <= 20")
 def queue_claim(spark: SparkSession, d: str) -> DataFrame:
     """The next jobs of each queue."""
@@ -487,6 +494,74 @@ def queue_retry(spark: SparkSession, d: str) -> DataFrame:
     return jobs.retry(_jobs(spark, d).where("status = 'failed'"), now()).select("job_id", "next_status", "wait_seconds")
 
 
+_OUT = "case o_orderkey % 3 when 0 then 'complete' when 1 then 'fail' else 'none' end"
+_CLAIMED = f"with j as (select *, {_OUT} as ends from ({_JOBS}) join orders on o_orderkey = job_id)"
+
+
+def _claimed(spark: SparkSession, d: str) -> DataFrame:
+    """The test jobs, those at work as claimed, with the columns that the queue keeps."""
+    none = {"worker_id": "string", "completed_at": "timestamp_ntz", "result": "string"}
+    rows = _tree(spark, d).withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()})
+    return rows.withColumn("status", F.when(F.col("status") == "running", "claimed").otherwise(F.col("status"))).withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 2).cast("string")))
+
+
+@register("queue_complete", f"{_CLAIMED} select job_id as child_id, job_id // 3 as parent_id, 'r' || job_id as result from j where status = 'running' and ends = 'complete' and job_id % 50 <> 0")
+def queue_complete(spark: SparkSession, d: str) -> DataFrame:
+    """What the completion of claimed jobs leaves in their parents' inbox."""
+    rows = _claimed(spark, d)
+    results = rows.where("job_id % 3 = 0").select("job_id", F.concat(F.lit("r"), F.col("job_id").cast("string")).alias("result"))
+    _, inbox = jobs.complete(rows, results, now())
+    taken, left = jobs.collected(inbox, rows.select(F.col("parent_id")).where("parent_id is not null").distinct())
+    return taken.unionByName(left).select("child_id", "parent_id", "result")
+
+
+@register(
+    "queue_fail",
+    f"{_CLAIMED}, f as (select *, status = 'running' and ends = 'fail' as mine, job_id % 2 = 0 as again from j) select job_id, case when not mine then case status when 'running' then 'claimed' else status end when again and attempts < max_attempts then 'pending' when again then 'dead' else 'failed' end as status, case when mine then 'broke' end as failure_reason, strftime(case when mine and again and attempts < max_attempts then {NOW} + to_seconds(least(3600, 5 * pow(2, attempts - 1))::bigint) else scheduled_at end, '%Y-%m-%d %H:%M:%S') as scheduled_at from f",
+)
+def queue_fail(spark: SparkSession, d: str) -> DataFrame:
+    """What failures make of claimed jobs."""
+    rows = _claimed(spark, d)
+    failures = rows.where("job_id % 3 = 1").select("job_id", F.lit("broke").alias("reason"), (F.col("job_id") % 2 == 0).alias("retriable"))
+    return jobs.fail(rows, failures, now()).select("job_id", "status", "failure_reason", stamp(F.col("scheduled_at")).alias("scheduled_at"))
+
+
+@register("queue_renew", f"with j as ({_JOBS}) select job_id from j where status = 'running' and job_id % 2 = 1 and job_id % 5 = 0")
+def queue_renew(spark: SparkSession, d: str) -> DataFrame:
+    """The leases that workers renew, where they still hold them."""
+    rows = _claimed(spark, d)
+    asked = rows.where("job_id % 5 = 0").select("job_id", F.lit("w1").alias("worker_id"))
+    return jobs.renew(rows, asked, now()).where(F.col("claimed_at") == now()).select("job_id")
+
+
+_SUBMIT = """with known as (select l_orderkey as id, l_orderkey % 10 as depth, 'job-' || l_orderkey % 7 as name, case when l_orderkey % 4 = 0 then 'k' || l_orderkey % 100 end as key from (select distinct l_orderkey from lineitem where l_orderkey % 3 = 0)),
+  r as (select o_orderkey as id, 'job-' || o_orderkey % 7 as name, case when o_orderkey % 2 = 0 then 'k' || o_orderkey % 100 end as key, case when o_orderkey % 5 = 0 then o_orderkey // 2 end as parent, o_orderkey % 11 as timeout, o_orderkey % 13 as tries from orders),
+  e as (select name, key, min(id) as existing from known where key is not null group by 1, 2),
+  m as (select r.*, case when r.parent is null then 0 else p.depth + 1 end as depth, e.existing, case when timeout <= 0 then 'timeout_seconds' when tries < 1 then 'max_attempts' when r.parent is not null and p.id is null then 'parent_id' when r.parent is not null and p.depth + 1 > 8 then 'depth' end as reason from r left join known p on p.id = r.parent left join e on e.name = r.name and e.key = r.key),
+  f as (select *, case when key is not null and reason is null then coalesce(existing, min(id) over (partition by name, key, reason is null)) else id end as first from m)
+  select id as request_id, case when reason is null then first end as job_id, reason, reason is null and first = id and existing is null as created, case when reason is null then depth end as depth from f"""
+
+
+@register("queue_submit", _SUBMIT)
+def queue_submit(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs submitted under a parent and a key, with what is refused and why."""
+    ids = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("job_id")).distinct()
+    name = F.concat(F.lit("job-"), (F.col("job_id") % 7).cast("string"))
+    key = F.concat(F.lit("k"), (F.col("job_id") % 100).cast("string"))
+    known = ids.select("job_id", name.alias("name"), (F.col("job_id") % 10).alias("depth"), F.lit(None).cast("bigint").alias("parent_id"), F.when(F.col("job_id") % 4 == 0, key).alias("idempotency_key"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"))
+    asked = asked.select(
+        "job_id",
+        name.alias("name"),
+        F.when(F.col("job_id") % 2 == 0, key).alias("idempotency_key"),
+        F.when(F.col("job_id") % 5 == 0, F.floor(F.col("job_id") / 2)).alias("parent_id"),
+        (F.col("job_id") % 11).alias("timeout_seconds"),
+        (F.col("job_id") % 13).alias("max_attempts"),
+        F.lit(None).cast("timestamp_ntz").alias("scheduled_at"),
+    )
+    return jobs.submit(known, asked, now()).select("request_id", "job_id", "reason", "created", "depth")
+
+
 @register("idempotent_dedupe", "select user_id, event_type, date_diff('hour', timestamp '2024-01-01', ts) as hour, min(event_id) as first_id, count(*) as n from events group by 1, 2, 3")
 def idempotent_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """One job per key and hour."""

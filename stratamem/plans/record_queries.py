@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratamem.functions import fixed as V
 from stratamem.functions import guard as G
 from stratamem.functions import text as T
-from stratamem.operators import sessions
+from stratamem.operators import trees
 from stratamem.plans.catalogue import register
 from stratamem.plans.model import EVENTS_SQL, NOW, events, now, stamp
 from stratamem.sources import sinks
@@ -109,14 +109,12 @@ def session_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("last", F.date_format("last", "yyyy-MM-dd"))
 
 
-@register("merge_provenance", "with recursive p as (select o_orderkey as id, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as into_id from orders), c as (select id, id as keeper, 0 as steps from p where into_id is null union all select p.id, c.keeper, c.steps + 1 from c join p on p.into_id = c.id) select id, keeper, steps from c where steps <= 8")
+@register("merge_provenance", "with recursive p as (select o_orderkey as id, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as into_id from orders), c as (select id, id as keeper, 0 as steps from p where into_id is null union all select p.id, c.keeper, c.steps + 1 from c join p on p.into_id = c.id) select id, keeper, steps from c")
 def merge_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """The memory that each merged one ended in, up to eight merges away."""
+    """The memory that each merged one ended in, however many merges away."""
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    merged = table(spark, d, "orders").select(F.col("o_orderkey").alias("session"), before.alias("parent"))
-    found = sessions.chains(merged, 8).select(F.col("session").alias("id"), F.col("ancestor").alias("keeper"), F.col("hops").alias("steps"))
-    roots = merged.where("parent is null").select(F.col("session").alias("keeper"))
-    return found.join(roots, "keeper", "left_semi")
+    merged = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), before.alias("parent"))
+    return trees.rooted(merged).select("id", F.col("root").alias("keeper"), F.col("depth").alias("steps"))
 
 
 @register("children_counts", "select l_orderkey as parent_id, count(*) as children, string_agg(l_linenumber::varchar, ',' order by l_linenumber) as ids from lineitem group by 1")
@@ -146,7 +144,7 @@ def cut_commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("uuid"), G.cut_command(F.col("text")).alias("cmd"))
 
 
-@register("protected_jobs", "with n as (select event_id as job_id, case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'signup' then 'compact__daily' when 'error' then 'shell_exec' else event_type end as name from events) select job_id, regexp_replace(lower(trim(name)), '[\\s_\\-]+', '-', 'g') in ('shell', 'bash', 'sh', 'exec', 'subprocess', 'system', 'python', 'python3', 'command', 'script') as protected from n")
+@register("protected_jobs", "with n as (select event_id as job_id, case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'signup' then 'compact__daily' when 'error' then 'shell_exec' else event_type end as name from events) select job_id, regexp_replace(lower(trim(name)), '[\\s_\\-]+', '-', 'g') in ('shell', 'shell-exec', 'system', 'eval', 'exec', 'subprocess', 'bash', 'sh', 'zsh', 'powershell', 'python', 'python3', 'command', 'script') as protected from n")
 def protected_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Job names that must not come from outside."""
     name = F.expr("case event_type when 'click' then ' Shell ' when 'view' then 'PYTHON3' when 'signup' then 'compact__daily' when 'error' then 'shell_exec' else event_type end")

@@ -52,3 +52,33 @@ def greedy_merge(memories: DataFrame, least: float) -> DataFrame:
         return found
 
     return memories.groupBy("group").applyInPandas(run, "group long, uuid long, merged_into long")
+
+
+def daily_digest(memories: DataFrame, now: Column, hours: int = 24, least: float = 0.88) -> DataFrame:
+    """(uuid, merged_into, step) of memories (group, uuid, content, vector, created_at, lifecycle_status, daily_run).
+
+    Taken are the active ones of the last ``hours`` that no run has dealt with. First copies
+    by content go to the earliest of their group (``exact``), then of those left the near
+    ones, by vector (``semantic``); one without a vector has no near ones.
+    """
+    open_ = memories.where((F.col("created_at") >= now - F.make_dt_interval(hours=F.lit(hours))) & (F.coalesce("lifecycle_status", F.lit("active")) == "active") & F.col("daily_run").isNull())
+    order = F.asc("created_at"), F.asc("uuid")
+    judged = exact(open_, ["group"], *order)
+    left = judged.where("not duplicate and vector is not null")
+    place = F.row_number().over(Window.partitionBy("group").orderBy(*order)).cast("long")
+    near = greedy_merge(left.select("group", "uuid", "vector", place.alias("pos")), least)
+    copies = judged.where("duplicate").select("uuid", F.col("keeper").alias("merged_into"), F.lit("exact").alias("step"))
+    return copies.unionByName(near.select("uuid", "merged_into", F.lit("semantic").alias("step")))
+
+
+def digest_stats(memories_checked: DataFrame, merges: DataFrame) -> DataFrame:
+    """(total_checked, merged_count, exact, semantic): one row about a run."""
+    done = merges.agg(F.count(F.lit(1)).alias("merged_count"), F.count_if(F.col("step") == "exact").alias("exact"), F.count_if(F.col("step") == "semantic").alias("semantic"))
+    return memories_checked.agg(F.count(F.lit(1)).alias("total_checked")).crossJoin(done)  # one row each
+
+
+def nightly(citations: DataFrame, orphans: DataFrame, stale: DataFrame) -> DataFrame:
+    """(phase, found): how many each audit of the night found, a row for each phase."""
+    phases = (("citations", citations), ("orphans", orphans), ("stale_edges", stale))
+    parts = [rows.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("phase"), "found") for name, rows in phases]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

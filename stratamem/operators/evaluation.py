@@ -10,7 +10,24 @@ def metrics(rankings: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3,
     """Per query of ``qrels`` (query_id, id): p_k, r_k, ndcg_k and rr of ``rankings`` (query_id, id, rank)."""
     relevant = qrels.distinct()
     sizes = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    hits = rankings.join(relevant, ["query_id", "id"], "left_semi").select("query_id", "rank")
+    return scored(rankings.join(relevant, ["query_id", "id"], "left_semi").select("query_id", "rank"), sizes, ks)
+
+
+def by_label(rankings: DataFrame, labels: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """``metrics`` of ``queries`` (query_id) where the other items of a query's label are relevant: ``labels`` (id, label).
+
+    Labels of what was found are compared, and counts of labels say how many there are, so
+    no pair of items is written out.
+    """
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    own = queries.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    sizes = own.join(counts, F.col("wanted") == F.col("label")).select("query_id", (F.col("n") - 1).alias("relevant")).where("relevant > 0")
+    found = rankings.join(labels, "id").join(own, "query_id").where("label = wanted and id <> query_id")
+    return scored(found.select("query_id", "rank"), sizes, ks)
+
+
+def scored(hits: DataFrame, sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """``metrics`` from the ranks of relevant ``hits`` (query_id, rank) and how many are ``relevant`` (query_id, relevant)."""
     gain = 1 / F.log2(F.col("rank") + 1.0)
     aggs = [F.min("rank").alias("first")]
     for k in ks:

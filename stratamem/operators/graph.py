@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratamem.sources.scratch import written
+
 
 def in_degree(edges: DataFrame, to: str = "to_slug") -> DataFrame:
     """(slug, in_degree)."""
@@ -25,13 +27,13 @@ def upsert_edges(edges: DataFrame) -> DataFrame:
 
 
 def personalised_pagerank(
-    vertices: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = 10, alpha: float = 0.85, checkpoint_every: int = 5
+    vertices: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = 30, alpha: float = 0.85, written_every: int = 5
 ) -> DataFrame:
     """(query_id, id, mass) after ``rounds`` of power iteration, all queries at once.
 
     The graph is undirected and simple; edges with an unknown end are dropped. ``seeds``
     (query_id, id) share the restart, and the mass of vertices without edges returns to
-    them. Lineage is cut in the folder of ``spark.checkpoint.dir`` every few rounds.
+    them. Lineage is cut by tables in the shared folder every few rounds.
     """
     known = vertices.select("id").distinct()
     pairs = edges.select("src", "dst").where("src <> dst")
@@ -39,18 +41,33 @@ def personalised_pagerank(
     both = both.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     seeds = seeds.join(known, "id", "left_semi").distinct()
-    restart = seeds.withColumn("restart", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("query_id"))).persist()
+    restart = seeds.withColumn("restart", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    restart = written(restart, "restart")
     # a seed without edges hands its mass to the seeds of its query, as if by edges of that query alone
     bare = restart.join(degree, F.col("id") == F.col("src"), "left_anti").select(F.col("query_id").alias("only"), F.col("id").alias("src"))
     back = bare.join(restart, F.col("only") == F.col("query_id")).select("only", "src", F.col("id").alias("dst"), F.col("restart").alias("share"))
     none = F.lit(None).cast(restart.schema["query_id"].dataType).alias("only")
-    steps = both.join(degree, "src").select(none, "src", "dst", (1.0 / F.col("degree")).alias("share")).unionByName(back).persist()
+    steps = written(both.join(degree, "src").select(none, "src", "dst", (1.0 / F.col("degree")).alias("share")).unionByName(back), "steps")
     mass = restart.select("query_id", "id", F.col("restart").alias("mass"))
     home = restart.select("query_id", "id", ((1 - alpha) * F.col("restart")).alias("mass"))
     for n in range(1, rounds + 1):
         along = (F.col("id") == F.col("src")) & (F.col("only").isNull() | (F.col("only") == F.col("query_id")))
         moved = mass.join(steps, along).select("query_id", F.col("dst").alias("id"), (alpha * F.col("mass") * F.col("share")).alias("mass"))
         mass = moved.unionByName(home).groupBy("query_id", "id").agg(F.sum("mass").alias("mass"))
-        if n % checkpoint_every == 0 and n < rounds and mass.sparkSession.sparkContext.getCheckpointDir():
-            mass = mass.checkpoint()
+        if n % written_every == 0 and n < rounds:
+            mass = written(mass, "mass")
     return mass
+
+
+def pages_with(tokens: DataFrame, pages: DataFrame) -> DataFrame:
+    """(token, page): each token met with the pages (page, slug) whose slug contains it; blank tokens meet none.
+
+    Both sides meet by the first three characters, of the token and of each rest of a slug
+    (80 characters at most), and the rest says whether the token is there; shorter tokens
+    meet by all they have.
+    """
+    asked = tokens.toDF("token").where("token <> ''").distinct().withColumn("_key", F.left("token", F.lit(3)))
+    rests = pages.select("page", F.col("slug"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("slug"), F.lit(1)))).alias("_at"))
+    rests = rests.select("page", F.substring("slug", F.col("_at"), F.lit(80)).alias("_rest"))
+    keyed = rests.select("page", "_rest", F.explode(F.array_distinct(F.array(*(F.left("_rest", F.lit(n)) for n in (1, 2, 3))))).alias("_key"))
+    return asked.join(keyed, "_key").where(F.startswith("_rest", F.col("token"))).select("token", "page").distinct()

@@ -48,3 +48,24 @@ def stale(records: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
     old = records.where(status_or_active().isin("active", "confirmed") & (F.col("created_at") < now - F.make_dt_interval(F.lit(days))))
     return old.withColumn("age_days", age_days(F.col("created_at"), now))
+
+
+#: The state that each wish asks for.
+WISHES = {"confirm": "confirmed", "supersede": "superseded", "contradict": "contradicted", "restore": "active", "archive": "archived", "delete": "deleted"}
+
+
+def wishes(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """Requests for ``transition`` from ``asked`` (uuid, wish): each expects the state its record has now."""
+    wanted = F.create_map(*(F.lit(x) for pair in WISHES.items() for x in pair))
+    now = records.select("uuid", status_or_active().alias("expected"))
+    return asked.join(now, "uuid").select("uuid", "expected", F.try_element_at(wanted, F.col("wish")).alias("wanted")).where("wanted is not null")
+
+
+def archive_stale(records: DataFrame, now: Column, days: int = 30, dry_run: bool = False) -> DataFrame:
+    """All ``records`` after the stale ones are archived; with ``dry_run`` the candidates alone, unchanged."""
+    candidates = stale(records, now, days)
+    if dry_run:
+        return candidates
+    gone = candidates.select(F.col("uuid").alias("_u"))
+    met = records.join(gone, F.col("uuid") == F.col("_u"), "left")
+    return met.withColumn("lifecycle_status", F.when(F.col("_u").isNotNull(), F.lit("archived")).otherwise(F.col("lifecycle_status"))).drop("_u")

@@ -11,43 +11,48 @@ from pyspark.sql import functions as F
 
 from stratamem.operators.rank import top_k
 
-#: Queries of a block; a block is what one pass over the vectors carries.
+#: Queries of a block, which is compared with a batch of vectors at once.
 BLOCK = 1024
+#: Bytes of query vectors that one pass over the vectors carries, at most.
+PASS_BYTES = 64 << 20
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, include_self: bool = True) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` most alike vectors of each query, similarity (1 + cos) / 2.
 
-    ``queries`` (query_id, vector) are dealt into blocks; each block meets the vectors once,
-    in numpy, and each batch passes on its ``k`` best per query, so what is shuffled is k
-    rows per query and batch. Similarities are rounded to 9 digits, ties go to the lesser id.
+    ``queries`` (query_id, vector) are dealt into passes of ``PASS_BYTES``, known before any
+    is sent; a pass is broadcast and meets the vectors once, in numpy, block by block, and
+    each batch passes on its ``k`` best per query, so what is shuffled is k rows per query
+    and batch. Similarities are rounded to 9 digits, ties go to the lesser id.
     """
     found = None
-    count = queries.count()
-    for first in range(0, max(1, -(-count // BLOCK))):
-        dealt = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // BLOCK)))) == first)
-        pdf = dealt.select("query_id", "vector").toPandas()  # about BLOCK rows
-        part = _block(pdf, vectors, k, least, include_self)
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("width")).first()
+    passes = max(1, -(-size["n"] * size["width"] * 8 // PASS_BYTES))
+    for first in range(passes):
+        dealt = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == first)
+        part = _pass(dealt.select("query_id", "vector").toPandas(), vectors, k, least, include_self)  # about PASS_BYTES
         found = part if found is None else found.unionByName(part)
     return top_k(found, ["query_id"], k, F.desc("similarity"), F.asc("id"))
 
 
-def _block(queries: pd.DataFrame, vectors: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
-    names = queries["query_id"].to_numpy(dtype=np.int64)
-    matrix = unit(queries["vector"].tolist())
+def _pass(queries: pd.DataFrame, vectors: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((queries["query_id"].to_numpy(dtype=np.int64), unit(queries["vector"].tolist())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, matrix = shared.value
         for batch in batches:
-            if not len(batch) or not len(names):
+            if not len(batch):
                 continue
-            ids = batch["id"].to_numpy(dtype=np.int64)
-            near = alike(unit(batch["vector"].tolist()), matrix)
-            order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[: k + (not include_self)]
-            column = np.broadcast_to(np.arange(len(names)), order.shape)
-            out = pd.DataFrame({"query_id": names[column.ravel()], "id": ids[order.ravel()], "similarity": near[order, column].ravel()})
-            if not include_self:
-                out = out[out["query_id"] != out["id"]]
-            yield out[out["similarity"] >= least]
+            ids, rows = batch["id"].to_numpy(dtype=np.int64), unit(batch["vector"].tolist())
+            for first in range(0, len(every), BLOCK):
+                names = every[first : first + BLOCK]
+                near = alike(rows, matrix[first : first + BLOCK])
+                order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[: k + (not include_self)]
+                column = np.broadcast_to(np.arange(len(names)), order.shape)
+                out = pd.DataFrame({"query_id": names[column.ravel()], "id": ids[order.ravel()], "similarity": near[order, column].ravel()})
+                if not include_self:
+                    out = out[out["query_id"] != out["id"]]
+                yield out[out["similarity"] >= least]
 
     return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(run, "query_id long, id long, similarity double")
 

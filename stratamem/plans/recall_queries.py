@@ -206,10 +206,8 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The quality of vector search, where vectors of one label are relevant to each other."""
     asked, vectors = _vectors(spark, d)
     found = vector.nearest(asked, vectors, 10, include_self=False)
-    labels = table(spark, d, "embeddings").select("vec_id", "label")
-    own = labels.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "label")
-    qrels = own.join(labels, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
-    return evaluation.summary(evaluation.metrics(found, qrels, EVAL_KS))
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return evaluation.summary(evaluation.by_label(found, labels, asked.select("query_id"), EVAL_KS))
 
 
 @register(

@@ -83,3 +83,27 @@ def committed(spark, root: str, name: str) -> DataFrame:
 def append_json(rows: DataFrame, path: str, *partitions: str) -> None:
     """JSON lines, partitioned."""
     rows.write.mode("append").partitionBy(*partitions).json(path)
+
+
+def delete_by_key(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without those whose key ``gone`` has."""
+    return rows.join(gone.select(*keys), keys, "left_anti")
+
+
+def delete_namespace(tables: dict[str, DataFrame], group_id: str, column: str = "group_id") -> dict[str, DataFrame]:
+    """All tables without the rows of a group; edges (from_id, to_id) that lose an end go too, if a table ``nodes`` (id) is among them."""
+    left = {name: rows.where(~F.col(column).eqNullSafe(F.lit(group_id))) if column in rows.columns else rows for name, rows in tables.items()}
+    if "nodes" in left and "edges" in left:
+        known = left["nodes"].select("id")
+        left["edges"] = left["edges"].join(known.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return left
+
+
+def plan_schema(wanted: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """What is to be made: the ``wanted`` constraints and indexes that aren't ``there``. Applied twice it plans nothing."""
+    return wanted.join(there.select(*keys), keys, "left_anti").distinct()
+
+
+def apply_schema(there: DataFrame, planned: DataFrame, undo: bool = False) -> DataFrame:
+    """The catalogue after the plan, or after it is rolled back."""
+    return there.join(planned, planned.columns, "left_anti") if undo else there.unionByName(planned, allowMissingColumns=True).distinct()

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stratamem.operators.ingest import maintain, record
+from stratamem.sources.scratch import shared_folder, written
+from stratamem.sources.sinks import commit_batch
+
 
 def table_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
     """The Parquet table as a stream."""
@@ -23,11 +27,40 @@ def event_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream yields from all data there is now; in update mode the last row per key is the caller's to pick."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What the stream yields from all data there is now, as a table; in complete mode the last state.
+
+    Each micro-batch is written as Parquet in the shared folder, where the query keeps its
+    checkpoint too; a batch that is run again writes over itself. Nothing goes to the driver.
+    """
+    root = f"{shared_folder(stream.sparkSession)}/stratamem/stream-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        batches.append(batch)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    paths = [f"{root}/rows/batch={n}" for n in (sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches)))]
+    if not paths:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*paths)
+
+
+def ingest(stream: DataFrame, sessions: DataFrame, root: str) -> None:
+    """Messages as they come, each micro-batch recorded and committed as one: episodes, pages, edges and evidence below ``root``.
+
+    ``stream`` has the columns of ``operators.ingest.record``. A batch that is run again
+    writes over itself; what has no commit marker isn't read.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        episodes = written(record(rows, sessions), "episodes")
+        pages, edges, evidence = maintain(episodes)
+        commit_batch({"episodes": episodes, "pages": pages, "edges": edges, "evidence": evidence}, root, batch)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
 
 
 def first_of_key(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import fresh, materialise, unit_hash
+from stratamem.llm.shared import fresh, materialise, unit_hash, with_before
 
 #: Documents that one fold pairs; also the arity of the reduction tree.
 BLOCK = 128
@@ -30,26 +30,18 @@ def source_targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     shared among the rest by weight until nothing is above. That fixed point is
     min(cap * size, level * weight) with one common level. With the sources sorted by the
     level at which they fill up, it is the largest of the levels that follow from calling
-    the first so many full. The windows run over one row per source.
+    the first so many full. Sources are sorted in ranges, so there may be very many.
     """
     sizes = items.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))
-    full = (F.col("source_size") * cap).cast("double")
-    by_fill = Window.orderBy("fills_at", F.col("source").asc_nulls_last())
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everywhere = Window.partitionBy()
-    level = (F.sum("source_size").over(everywhere) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    return (
-        sizes.withColumn("weight", weight)
-        .withColumn("full", full)
-        .withColumn("fills_at", F.col("full") / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("level", F.max("level").over(everywhere))
-        .select("source", "source_size", F.least("full", F.col("level") * F.col("weight")).alias("target"))
-    )
+    keys = {"_null": F.col("source").isNull().cast("int"), "_key": F.coalesce("source", F.lit("")), "_one": F.lit(1).cast("long")}
+    placed = with_before(sizes.withColumns(keys), ["_null", "_key"], {"place": "_one"}, "mix-places")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    placed = placed.withColumn("weight", weight).withColumn("full", (F.col("source_size") * cap).cast("double"))
+    placed = materialise(placed.withColumn("fills_at", F.col("full") / F.col("weight")), "mix-weights")
+    total, weighed = placed.agg(F.sum("source_size"), F.sum("weight")).first()
+    filled = with_before(placed, ["fills_at", "_null", "_key"], {"full_before": "full", "weight_before": "weight"}, "mix-filled")
+    level = filled.agg(F.max((F.lit(total) - F.col("full_before")) / (F.lit(weighed) - F.col("weight_before")))).first()[0]
+    return placed.select("source", "source_size", F.least("full", F.lit(level).cast("double") * F.col("weight")).alias("target"))
 
 
 def _pair(state: Column, x: Column, seed: int, level: int) -> Column:

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,23 @@ def unit_hash(*cols: Column) -> Column:
 def fresh(name: str) -> str:
     """A column name that no input has."""
     return f"_{name}_{uuid.uuid4().hex}"
+
+
+#: Rows of a range of ``with_before``, about.
+RANGE_ROWS = 1 << 16
+
+
+def with_before(df: DataFrame, order: list[str], sums: dict[str, str], label: str) -> DataFrame:
+    """``df`` with, as each key of ``sums``, the sum of that column over all rows before a row in ``order`` (0 for the first).
+
+    Rows go to ranges of about ``RANGE_ROWS``, each summed by itself; only one row for each
+    range meets in one place. ``order`` names columns that are distinct together and not null.
+    """
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    dealt = materialise(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), label)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    offsets = totals.select(F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.withColumns({name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).join(offsets, F.col("_range") == F.col("_r"))
+    return found.select(*df.columns, *((F.col(name) + F.col(f"_o_{name}")).alias(name) for name in sums))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stratamem.llm import mixing
+from stratamem.llm import mixing, shared
 from stratamem.sources.tables import table
 from tests.llm import cases
 
@@ -27,7 +27,9 @@ def brute_targets(sizes: dict, weights=(1, 2, 3), cap=3) -> dict:
         full |= above
 
 
-def test_targets_follow_the_rule(spark):
+@pytest.mark.parametrize("rows", [2, 1 << 16])
+def test_targets_follow_the_rule(spark, monkeypatch, rows):
+    monkeypatch.setattr(shared, "RANGE_ROWS", rows)
     sizes = {"a": 5, "b": 1000, "c": 7, "Z": 300, "é": 2, None: 40, "d": 0}
     items = spark.createDataFrame(list(sizes.items()), "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(items).collect()}

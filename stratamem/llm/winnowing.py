@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamem.llm.shared import bind, materialise
+from stratamem.llm.shared import bind, materialise, with_before
 
 #: Tokens of a k-gram.
 K = 5
@@ -105,47 +105,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), fingerprint(text).alias("prints"))
 
 
-#: Documents of a range of ids, about.
-RANGE_ROWS = 1 << 16
+#: Rows of a range of ids, about; heads that a row is compared with on each of two levels.
+RANGE_ROWS, FAN = 512, 1024
 
 
-def in_order(keys: DataFrame) -> DataFrame:
-    """(doc_id, tie, before_id, before_tie, before_chars) of distinct keys (doc_id, tie, n_chars): the key before each, in a ring.
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, ...) with ``range``, ``guest`` and ``first`` (the least id of all), by ranges of distinct ids of equal count.
 
-    Only keys move, into as many ranges as they need; a range looks ahead by itself, and its
-    last key to the head of the next range. There is one head for each ``RANGE_ROWS`` keys.
+    Only ids are sorted. What the rows are told is the least id of each range, in two
+    levels: up to ``FAN`` of them as literals, and below each as many in a broadcast table
+    of at most ``FAN`` squared ids, some MB. A range has ``RANGE_ROWS`` ids as long as that
+    makes no more ranges, a million, and then more ids. The head of a range is in the range
+    before it too, as a guest, so that the last row there can look ahead; the first head of
+    all is a guest of the last range.
     """
-    ranges = max(1, -(-keys.count() // RANGE_ROWS))
-    dealt = keys.repartitionByRange(ranges, "doc_id", "tie").withColumn("range", F.spark_partition_id())
-    dealt = materialise(dealt, "winnow-ranges")
-    heads = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
-    by_range = Window.orderBy("range")
-    first = F.min(F.struct("range", "head")).over(Window.partitionBy())["head"]
-    heads = heads.select(F.col("range").alias("_r"), F.coalesce(F.lead("head").over(by_range), first).alias("head"))
-    ahead = F.lead(F.struct("doc_id", "tie")).over(Window.partitionBy("range").orderBy("doc_id", "tie"))
-    met = dealt.withColumn("ahead", ahead).join(heads, F.col("range") == F.col("_r")).withColumn("ahead", F.coalesce("ahead", "head"))
-    return met.select("ahead.doc_id", "ahead.tie", *(F.col(c).alias(f"before_{n}") for c, n in (("doc_id", "id"), ("tie", "tie"), ("n_chars", "chars"))))
-
-
-def with_next(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, tie, text, prints) with ``start`` and ``next_hashes`` of the row after each: as much of its text as an edit takes, and its hashes.
-
-    Rows move once, by key, with their fingerprints, so these are made once; from there each
-    gives what the row before it needs. Rows with one key have one next; rows without an id
-    have an empty one. Both joins name their keys alike, null-safe, so that Spark makes the
-    exchange of texts once and reads it twice.
+    ids = rows.select("doc_id").distinct().withColumn("_one", F.lit(1).cast("long"))
+    ranked = materialise(with_before(ids, ["doc_id"], {"place": "_one"}, "winnow-ids"), "winnow-places")
+    count = ranked.count()
+    width = max(RANGE_ROWS, -(-count // (FAN * FAN)))
+    ranges = max(1, -(-count // width))
+    heads = materialise(ranked.where(F.col("place") % width == 0).select("doc_id", F.floor(F.col("place") / width).alias("range")), "winnow-heads")
+    top = [r["doc_id"] for r in heads.where(F.col("range") % FAN == 0).orderBy("range").collect()]  # FAN at most
+    below = heads.groupBy(F.floor(F.col("range") / FAN).alias("_k")).agg(F.array_sort(F.collect_list("doc_id")).alias("_heads"))
+    kind = rows.schema["doc_id"].dataType
+    met = _under(rows.withColumn("_k", _last_of(F.array(*(F.lit(h) for h in top)).cast(f"array<{kind.simpleString()}>"))), below)
+    own = F.col("_k") * FAN + _last_of(F.col("_heads"))
+    before = F.pmod(own - 1 + ranges, F.lit(ranges))
+    home, away = (F.struct(r.alias("range"), F.lit(g).alias("guest")) for r, g in ((own, False), (before, True)))
+    places = F.when(F.array_contains("_heads", F.col("doc_id")), F.array(home, away)).otherwise(F.array(home))
+    dealt = met.withColumn("_place", F.explode(places)).select(*rows.columns, "_place.*", F.lit(top[0] if top else None).cast(kind).alias("first"))
+    tasks = max(ranges // 8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # several ranges a task even them out
+    return dealt.repartition(tasks, "range")
+
+
+def _last_of(heads: Column) -> Column:
+    """Which of the sorted heads is the last that isn't above the id, from 0."""
+    return F.size(F.filter(heads, lambda h: h <= F.col("doc_id"))).cast("long") - 1
+
+
+def _under(rows: DataFrame, below: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(materialise(below, "winnow-below").withColumnRenamed("_k", "_b")), F.col("_k") == F.col("_b"))
+
+
+def with_next(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` (doc_id, text) with columns computed from each row and, as ``next_<name>``, those and the text of the row after it by ``doc_id``.
+
+    The last row's next is the first. Texts move once, to their ranges.
     """
-    keys = materialise(rows.where("doc_id is not null").groupBy("doc_id", "tie").agg(F.first(F.length("text")).alias("n_chars"), F.count(F.lit(1)).alias("n")), "winnow-keys")
-    order = in_order(keys.select("doc_id", "tie", "n_chars")).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}).hint("merge")
-    givers = rows.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    givers = givers.select(
-        "before_id", "before_tie", F.left("text", F.floor(F.col("before_chars") / 4).cast("int")).alias("start"), hashes(F.col("prints")).alias("next_hashes")
-    )
-    if keys.where("n > 1").limit(1).count():
-        givers = givers.dropDuplicates(["before_id", "before_tie"])
-    met = rows.join(givers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("before_id")) & (F.col("tie") == F.col("before_tie")), "left")
-    empty = {"start": F.lit(""), "next_hashes": F.array().cast("array<int>")}
-    return met.select(*rows.columns, *(F.coalesce(name, value).alias(name) for name, value in empty.items()))
+    dealt = in_ranges(rows).withColumns(columns)
+    # the first id of all comes last where it is a guest
+    order = Window.partitionBy("range").orderBy(F.col("guest") & (F.col("doc_id") == F.col("first")), "doc_id", "text", "guest")
+    ahead = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *columns)})
+    return ahead.where(~F.col("guest")).drop("range", "guest", "first")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -158,21 +169,23 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row of ``docs``: its fingerprint, that of its edited text, and how alike they and the next one's are.
 
     Columns ``doc_id``, ``n_chars``, ``edited_sha256``, ``prints``, ``edited_prints``,
-    ``near_edited``, ``near_next``. Texts move once; documents with the same id follow each
-    other by a hash of their texts.
+    ``near_edited``, ``near_next``. Texts move once, to ranges of ids.
 
-    Edge cases: as in ``fingerprints``; a table of one row is its own next; rows that repeat
-    an id and its text are one document in the order of ids, and each has its next; a null
-    id has no next document (an empty one stands in).
+    Edge cases: as in ``fingerprints``; a table of one row is its own next; rows that share
+    an id follow each other by text; a null id has no next document (an empty one stands in).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).withColumn("prints", fingerprint(F.col("text")))
-    met = with_next(rows).select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    own = {"prints": fingerprint(F.col("text"))}
+    named = with_next(rows.where("doc_id is not null"), own)
+    empty = F.array().cast("array<bigint>")
+    unnamed = rows.where("doc_id is null").withColumns({**own, "next_text": F.lit(""), "next_prints": empty})
+    met = named.unionByName(unnamed).select(
         "doc_id",
         "prints",
         F.length("text").cast("long").alias("n_chars"),
-        edited(F.col("text"), F.col("start")).alias("edited"),
-        "next_hashes",
+        edited(F.col("text"), F.col("next_text")).alias("edited"),
+        hashes(F.col("next_prints")).alias("next_hashes"),
     )
 
     def compared(own: Column) -> Column:

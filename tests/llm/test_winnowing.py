@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
@@ -85,8 +86,10 @@ def test_edge_cases(spark):
     check(spark, W.compare_with_edits(one), distinct)
 
 
-def test_many_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [1024, 4, 2])
+def test_many_ranges(spark, monkeypatch, fan):
     monkeypatch.setattr(W, "RANGE_ROWS", 3)
+    monkeypatch.setattr(W, "FAN", fan)
     rows = {i * 7: cases.text(i % 11, 30) for i in range(50)}
     check(spark, W.compare_with_edits(spark.createDataFrame(list(rows.items()), "doc_id long, text string")), rows)
     lone = spark.createDataFrame([(1, cases.text(3))], "doc_id long, text string")
@@ -137,4 +140,4 @@ def test_rows_of_one_id_have_a_next_each(spark):
     rows = [(1, cases.text(3)), (1, cases.text(4)), (1, cases.text(4)), (2, cases.text(5))]
     found = W.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in found) == [1, 1, 1, 2]
-    assert len({r["edited_sha256"] for r in found}) == 3
+    assert len({r["edited_sha256"] for r in found}) == 4

@@ -209,8 +209,9 @@ def hall(kind: Column) -> Column:
 
 
 def occurrences(text: Column, word: Column) -> Column:
-    """Non-overlapping occurrences of a word."""
-    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
+    """Non-overlapping occurrences of a word; the text is only taken apart where it has the word."""
+    gone = F.length(text) - F.length(F.replace(text, word, F.lit("")))
+    return F.when(~F.contains(text, word), 0).otherwise((gone / F.length(word)).cast("int"))
 
 
 def room(text: Column, rooms: dict[str, tuple[str, ...]] | None = None, least: int = 2) -> Column:

@@ -48,3 +48,20 @@ def chains(links: DataFrame, depth: int = 3) -> DataFrame:
         step = step.join(to, F.col("ancestor") == F.col("_s")).select("session", F.col("parent").alias("ancestor"), F.lit(n).alias("hops"))
         found = found.unionByName(step)
     return found
+
+
+def guarded(state: DataFrame, arriving: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """(session, signature, seen_at, changed): the guard's state (session, signature, seen_at) after ``arriving`` (same columns).
+
+    The latest signature of a session stays, ``changed`` where it differs from the one
+    before; sessions not seen for ``hours`` are pruned.
+    """
+    top = arriving.groupBy(F.col("session").alias("_s")).agg(F.max(F.struct("seen_at", "signature")).alias("new"))
+    met = state.join(top, F.col("session") == F.col("_s"), "full")
+    fresh = met.select(
+        F.coalesce("session", "_s").alias("session"),
+        F.coalesce("new.signature", "signature").alias("signature"),
+        F.coalesce("new.seen_at", "seen_at").alias("seen_at"),
+        (F.col("new").isNotNull() & ~F.col("new.signature").eqNullSafe(F.col("signature"))).alias("changed"),
+    )
+    return fresh.where(F.col("seen_at") >= now - F.make_dt_interval(hours=F.lit(hours)))

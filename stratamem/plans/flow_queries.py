@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem.functions import fixed as V
-from stratamem.functions import forms
-from stratamem.operators import compaction, ingest, lifecycle
+from stratamem.functions import forms, guard
+from stratamem.operators import compaction, ingest, lifecycle, sessions
 from stratamem.plans import memory_queries as M
 from stratamem.plans.catalogue import ORACLES, register
-from stratamem.plans.model import NOW, now, stamp
+from stratamem.plans.model import EVENTS_SQL, NOW, events, now, stamp
 from stratamem.sources import sinks
 from stratamem.sources.scratch import shared_folder
 from stratamem.sources.tables import table
@@ -183,3 +183,51 @@ def reindex_stats(spark: SparkSession, d: str) -> DataFrame:
 
     long = F.coalesce(F.length(strip(F.col("text"))) >= 10, F.lit(False))
     return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("seen"), F.count_if(long).alias("indexed"), F.count_if(~long).alias("skipped"))
+
+
+@register("watched_handoffs", f"with e as ({EVENTS_SQL}) select group_id, max_by(uuid, (created_at, uuid)) as uuid from e where created_at >= {NOW} - interval 72 hour and group_id in (select c_custkey from customer where c_acctbal > 0) group by 1")
+def watched_handoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The latest handoff of each watched group in three days, in one pass."""
+    watched = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("group_id"))
+    recent = events(spark, d).where(F.col("created_at") >= now() - F.expr("interval 72 hour")).join(watched, "group_id", "left_semi")
+    return recent.groupBy("group_id").agg(F.max(F.struct("created_at", "uuid")).alias("x")).select("group_id", "x.uuid")
+
+
+@register(
+    "guard_state",
+    f"""with s as (select user_id as session, max_by(event_type, (ts, event_type)) as signature, max(ts) as seen_at from events where event_id % 2 = 0 group by 1), n as (select user_id as session, max_by(event_type, (ts, event_type)) as signature, max(ts) as seen_at from events where event_id % 2 = 1 group by 1)
+    select coalesce(s.session, n.session) as session, coalesce(n.signature, s.signature) as signature, n.session is not null and n.signature is distinct from s.signature as changed from s full join n on n.session = s.session where coalesce(n.seen_at, s.seen_at) >= {NOW} - interval 72 hour""",
+)
+def guard_state(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures compared with the session's last, old sessions pruned."""
+
+    def seen(rows: DataFrame) -> DataFrame:
+        top = F.max(F.struct("ts", "event_type")).alias("x")
+        return rows.groupBy(F.col("user_id").alias("session")).agg(top).select("session", F.col("x.event_type").alias("signature"), F.col("x.ts").alias("seen_at"))
+
+    rows = table(spark, d, "events")
+    return sessions.guarded(seen(rows.where("event_id % 2 = 0")), seen(rows.where("event_id % 2 = 1")), now(), 72).drop("seen_at")
+
+
+@register("timeline_slugs", "select role as slug from conversations union select event_type from events union select lang from documents where lang is not null")
+def timeline_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """The slugs of all timelines, as one set."""
+    parts = [table(spark, d, t).select(F.col(c).alias("slug")) for t, c in (("conversations", "role"), ("events", "event_type"), ("documents", "lang"))]
+    return parts[0].union(parts[1]).union(parts[2]).where("slug is not null").distinct()
+
+
+@register("response_envelopes", "select event_id as id, 2 as version, 'ok' as status, event_type as kind, 0 as warnings from events")
+def response_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Each answer in the locked shape."""
+    shaped = table(spark, d, "events").select("event_id", guard.envelope(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("e"))
+    return shaped.select("e.data.id", "e.version", "e.status", "e.data.kind", F.size("e.warnings").alias("warnings"))
+
+
+@register("backfill_rollback", f"with e as ({EVENTS_SQL}) select 'valid_to' as column, count(*) filter (where valid_to is null) as before, 0 as after_fill, count(*) filter (where valid_to is null) as after_undo from e")
+def backfill_rollback(spark: SparkSession, d: str) -> DataFrame:
+    """What a backfill would fill, has left to fill, and gives back when undone."""
+    rows = events(spark, d).select("uuid", "valid_to")
+    filled = sinks.backfill(rows, "valid_to", now())
+    undone = sinks.undo_backfill(filled, "valid_to", rows.where("valid_to is null"), ["uuid"])
+    counts = [sinks.pending(x, ["valid_to"]).withColumnRenamed("pending", name) for x, name in ((rows, "before"), (filled, "after_fill"), (undone, "after_undo"))]
+    return counts[0].join(counts[1], "column").join(counts[2], "column")

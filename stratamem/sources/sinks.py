@@ -58,6 +58,19 @@ def backfill(rows: DataFrame, column: str, *sources: Column) -> DataFrame:
     return rows.withColumn(column, F.coalesce(F.col(column), *sources))
 
 
+def pending(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, pending): how many rows a backfill of each column would fill."""
+    counts = rows.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("pending")) for c in columns))))
+
+
+def undo_backfill(rows: DataFrame, column: str, filled: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the column null again for the keys of ``filled``."""
+    marks = filled.select(*keys).distinct().withColumn("_filled", F.lit(True))
+    met = rows.join(marks, keys, "left")
+    return met.withColumn(column, F.when(F.col("_filled").isNull(), F.col(column))).drop("_filled")
+
+
 def split_valid(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows whose required keys are all there and not blank, and the others with ``missing``."""
     missing = F.array_compact(F.array(*(F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in required)))

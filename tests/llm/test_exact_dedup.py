@@ -4,8 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import __spark_entry__ as entry
-import corpus_pipeline
-from stratamem.llm import exact_dedup
+from stratamem.llm import exact_dedup, stages
 from tests.compare import assert_same, database
 from tests.llm import cases
 
@@ -59,7 +58,7 @@ def test_pipeline_keeps_one_row_of_each_text(spark):
     rows = [(1, "A", "x"), (1, "a", "y"), (1, "a", "y"), (2, "b", "x"), (3, "b", "x"), (2, "c", "x"), (None, "c", "x")]
     rows += [(None, "d", "x"), (None, "D", "x"), (None, "e", "x"), (None, "", "x"), (None, None, "x"), (4, "f", "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    found = corpus_pipeline.drop_copies(spark, frame, SF)
+    found = stages.drop_copies(spark, frame, SF)
     assert found.columns == frame.columns
     got = [(r["doc_id"], (r["text"] or "").translate(LOWER)) for r in found.collect()]
     assert sorted(got, key=str) == sorted([(1, "a"), (3, "b"), (2, "c"), (None, "d"), (None, "e"), (None, ""), (4, "f")], key=str)

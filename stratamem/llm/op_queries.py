@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, jaccard_join, language_id, mixing, packing, secret_scan, suffix_dedup, token_count, toxicity, winnowing
+from stratamem.llm import exact_dedup, jaccard_join, language_id, mixing, multi_index, packing, secret_scan, suffix_dedup, token_count, toxicity, turn_repair, winnowing
 from stratamem.sources.tables import table
 
 
@@ -92,6 +92,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    found = multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of every conversation after damage."""
+    return turn_repair.damaged_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,5 +116,7 @@ QUERIES = {
         op8_best_two_fit,
         op9_secret_scan,
         op10_suffix_dedup,
+        op12_multi_index,
+        op13_turn_repair,
     )
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, jaccard_join, language_id, mixing, multi_index, packing, secret_scan, suffix_dedup, token_count, toxicity, turn_repair, winnowing
+from stratamem.llm import cross_align, exact_dedup, jaccard_join, language_id, mixing, multi_index, packing, secret_scan, suffix_dedup, token_count, toxicity, turn_repair, winnowing
 from stratamem.sources.tables import table
 
 
@@ -92,6 +92,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of two tokenizers over every document."""
+    found = cross_align.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("groups_sha256", cross_align.digest(F.col("groups"))).drop("groups")
+
+
 def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""
     found = multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
@@ -116,6 +122,7 @@ QUERIES = {
         op8_best_two_fit,
         op9_secret_scan,
         op10_suffix_dedup,
+        op11_cross_align,
         op12_multi_index,
         op13_turn_repair,
     )

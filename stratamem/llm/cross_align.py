@@ -122,13 +122,28 @@ def align(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]
             end_b += len(bytes_b[b[j]])
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Numbers below 2^31, compressed byte by byte."""
-    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), 1) if len(ids) else b""
+def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers, compressed byte by byte."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype(kind).view("u1").reshape(-1, int(kind[-1])).T).tobytes(), 1) if len(numbers) else b""
 
 
-def unpacked(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), "u1").reshape(4, -1).T).view("<u4").ravel() if body else np.zeros(0, "u4")
+def unpacked(body: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), "u1").reshape(int(kind[-1]), -1).T).view(kind).ravel() if body else np.zeros(0, kind)
+
+
+def rows_of(kinds: dict[str, pa.DataType], columns: dict, n: int) -> pa.RecordBatch:
+    """A batch of ``n`` rows with all columns of ``kinds``, those not given null."""
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
+
+
+def runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of rows that agree in all ``columns``."""
+    changes = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        changes |= np.diff(c) != 0
+    edges = np.flatnonzero(changes) + 1
+    return zip([0, *edges], [*edges, len(columns[0])], strict=True)
 
 
 class _Numbers(dict):
@@ -154,17 +169,13 @@ def _written_in_numbers(docs: DataFrame, cuts: str, id_col: str, text_col: str)
             local = np.empty(len(by_use), "i8")
             local[by_use] = np.arange(len(by_use))
             names = list(numbers)
+            kinds = {"block": pa.int64(), "doc_id": id_kind, "body": pa.binary(), "segment": pa.string(), "local": pa.int32(), "uses": pa.int64()}
             for k in range(0, len(names), SHORT_ROWS):
                 some = by_use[k : k + SHORT_ROWS]
-                yield _rows({"block": [block] * len(some), "doc_id": None, "body": None, "segment": [names[x] for x in some], "local": range(k, k + len(some)), "uses": uses[some]})
+                yield rows_of(kinds, {"block": [block] * len(some), "segment": [names[x] for x in some], "local": range(k, k + len(some)), "uses": uses[some]}, len(some))
             for k in range(0, len(lists), 1024):
                 bodies = [packed(local[x]) for x in lists[k : k + 1024]]
-                yield _rows({"block": [block] * len(bodies), "doc_id": pa.concat_arrays(ids).slice(k, len(bodies)), "body": bodies, "segment": None, "local": None, "uses": None})
-
-        def _rows(columns: dict) -> pa.RecordBatch:
-            n = len(columns["block"])
-            kinds = {"block": pa.int64(), "doc_id": id_kind, "body": pa.binary(), "segment": pa.string(), "local": pa.int32(), "uses": pa.int64()}
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if columns[c] is None else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in kinds.items()], names=list(kinds))
+                yield rows_of(kinds, {"block": [block] * len(bodies), "doc_id": pa.concat_arrays(ids).slice(k, len(bodies)), "body": bodies}, len(bodies))
 
         for batch in batches:
             id_kind = batch.column("doc_id").type
@@ -190,53 +201,106 @@ def _written_in_numbers(docs: DataFrame, cuts: str, id_col: str, text_col: str)
 
 
 def _aligned(dictionary: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows (segment_key, uses, n_a, n_b, n_groups, groups, pairs) of distinct segments and (segment_key, block, local) of their places.
+    """Rows (task, number, uses, n_a, n_b, n_groups, groups, pairs) of distinct segments, and (task, block, locals, numbers)
+    of their places: which of a block's segments are which of the task's. Written.
 
-    A task has its segments in order, so the rows of a segment follow each other.
+    A task has its segments in order, so the rows of a segment follow each other, and numbers them.
     """
-    kinds = {"segment_key": pa.int64(), "block": pa.int64(), "local": pa.int32(), "uses": pa.int64(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "groups": pa.string(), "pairs": pa.list_(pa.int64())}
-
-    def rows(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+    kinds = {"task": pa.int64(), "number": pa.int32(), "uses": pa.int64(), "n_a": pa.int32(), "n_b": pa.int32(), "n_groups": pa.int32(), "groups": pa.string(), "pairs": pa.list_(pa.int64()), "block": pa.int64(), "locals": pa.binary(), "numbers": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (TaskContext.get().partitionId() << 40) - 1
-        at, uses_so_far = None, 0
+        task, number, at, uses_so_far = TaskContext.get().partitionId(), -1, None, 0
         bytes_a, bytes_b = load_a(path_a)[1], load_b(path_b)[1]
+        places: list[tuple] = []
 
-        def done(segments: list[str], keys: list[int], uses: list[int]) -> pa.RecordBatch:
+        def done(segments: list[str], numbers: list[int], uses: list[int]) -> pa.RecordBatch:
             ids_a, ids_b, found = encode_a(path_a, segments), encode_b(path_b, segments), []
             for s, a, b in zip(segments, ids_a, ids_b, strict=True):
                 text = s.encode()
                 if b"".join([bytes_a[x] for x in a]) != text or b"".join([bytes_b[x] for x in b]) != text:
                     raise ValueError(f"the tokens of {s!r} do not cover it")
                 found.append(align(a, b, bytes_a, bytes_b))
-            return rows({"segment_key": keys, "uses": uses, "n_a": list(map(len, ids_a)), "n_b": list(map(len, ids_b)), "n_groups": [x[1] for x in found], "groups": [x[0] for x in found], "pairs": [x[2] for x in found]}, len(keys))
+            columns = {"task": [task] * len(segments), "number": numbers, "uses": uses, "n_a": list(map(len, ids_a)), "n_b": list(map(len, ids_b))}
+            return rows_of(kinds, columns | {"n_groups": [x[1] for x in found], "groups": [x[0] for x in found], "pairs": [x[2] for x in found]}, len(segments))
 
         for batch in batches:
-            names, uses = batch.column("segment").to_pylist(), batch.column("uses").to_pylist()
-            place_keys, closed = [], ([], [], [])
-            for s, n in zip(names, uses, strict=True):
+            numbers, closed = [], ([], [], [])
+            for s, n in zip(batch.column("segment").to_pylist(), batch.column("uses").to_pylist(), strict=True):
                 if s != at:
                     if at is not None:
-                        for x, y in zip(closed, (at, key, uses_so_far), strict=True):
+                        for x, y in zip(closed, (at, number, uses_so_far), strict=True):
                             x.append(y)
-                    at, uses_so_far, key = s, 0, key + 1
+                    at, uses_so_far, number = s, 0, number + 1
                 uses_so_far += n
-                place_keys.append(key)
-            yield rows({"segment_key": place_keys, "block": batch.column("block"), "local": batch.column("local")}, len(names))
+                numbers.append(number)
+            places.append((batch.column("block").to_numpy(), batch.column("local").to_numpy(), np.array(numbers, "i4")))
             if closed[0]:
                 yield done(*closed)
-        if at is not None:
-            yield done([at], [key], [uses_so_far])
+        if at is None:
+            return
+        yield done([at], [number], [uses_so_far])
+        blocks, local, numbers = map(np.concatenate, zip(*places, strict=True))
+        order = np.argsort(blocks, kind="stable")
+        blocks, local, numbers = blocks[order], local[order], numbers[order]
+        found = [(blocks[i], packed(local[i:j]), packed(numbers[i:j])) for i, j in runs(blocks)]
+        for k in range(0, len(found), 1024):
+            some = found[k : k + 1024]
+            yield rows_of(kinds, {"task": [task] * len(some), **{c: [x[n] for x in some] for n, c in enumerate(("block", "locals", "numbers"))}}, len(some))
 
     tasks = max(1, -(-dictionary.count() // SHARE))
     dealt = dictionary.select("segment", "block", "local", "uses").repartition(tasks, "segment").sortWithinPartitions("segment")
-    schema = "segment_key long, block long, local int, uses long, n_a int, n_b int, n_groups int, groups string, pairs array<long>"
+    schema = "task long, number int, uses long, n_a int, n_b int, n_groups int, groups string, pairs array<long>, block long, locals binary, numbers binary"
     with arrow_rows(dictionary.sparkSession, SHORT_ROWS):
         return materialise(dealt.mapInArrow(lean(run), schema), "align-segments")
 
 
+#: What is counted for each segment, and added up for each document.
+NUMBERS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+
+
+def _joined_back(segments: DataFrame, scores: DataFrame, places: DataFrame) -> DataFrame:
+    """(block, locals, counts, names): the alignments of a block's segments, in as many rows as tasks had some of them.
+
+    The segments of a task, their ``scores`` (task, number, n_best, count_sum) and their
+    places meet in one task again, segments and scores in the order of their numbers.
+    """
+    columns = {"task": "long", "kind": "int", "number": "int", "n_a": "int", "n_b": "int", "n_groups": "int", "groups": "string", "n_best": "long", "count_sum": "long", "block": "long", "locals": "binary", "numbers": "binary"}
+
+    def all_columns(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*(F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, scored, names, ready = None, [], [], [], None
+        for batch in batches:
+            tasks, kinds = batch.column("task").to_numpy(), batch.column("kind").to_numpy()
+            for start, end in runs(tasks, kinds):
+                part = batch.slice(start, end - start)
+                if tasks[start] != at:
+                    at, counts, scored, names, ready = tasks[start], [], [], [], None
+                if kinds[start] == 0:
+                    counts.append(np.stack([part.column(c).to_numpy() for c in NUMBERS[:3]], axis=1))
+                    names += part.column("groups").to_pylist()
+                elif kinds[start] == 1:
+                    scored.append(np.stack([part.column(c).to_numpy() for c in NUMBERS[3:]], axis=1))
+                else:
+                    if ready is None:
+                        ready = np.concatenate([np.concatenate(counts), np.concatenate(scored)], axis=1, dtype="i8"), np.array(names, object)
+                        counts, scored, names = [], [], []
+                    numbers = [unpacked(x) for x in part.column("numbers").to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("block"),
+                            part.column("locals"),
+                            pa.array([packed(ready[0][x].T.ravel(), "<i8") for x in numbers], pa.binary()),
+                            pa.array([zlib.compress("\n".join(ready[1][x].tolist()).encode(), 1) for x in numbers], pa.binary()),
+                        ],
+                        names=["block", "locals", "counts", "names"],
+                    )
+
+    parts = all_columns(segments, 0).unionByName(all_columns(scores, 1)).unionByName(all_columns(places, 2))
+    return parts.repartition("task").sortWithinPartitions("task", "kind", "number").mapInArrow(lean(run), "block long, locals binary, counts binary, names binary")
+
+
 def pair_counts(segments: DataFrame) -> DataFrame:
     """(pair, count, best) of linked ids (``a << 32 | b``) in the corpus: ``best`` if no other pair of its b counts more. Written."""
     counts = materialise(segments.select(F.explode("pairs").alias("pair"), "uses").groupBy("pair").agg(F.sum("uses").alias("count")), "align-pairs")
@@ -245,29 +309,31 @@ def pair_counts(segments: DataFrame) -> DataFrame:
     return counts.join(most, b == F.col("_b")).select("pair", "count", (F.col("count") == F.col("_most")).alias("best"))
 
 
-def _composed(places: DataFrame, bodies: DataFrame, id_type: str) -> DataFrame:
+def _composed(words: DataFrame, texts: DataFrame, id_type: str) -> DataFrame:
     """Documents of their segments' alignments: a task holds one block's dictionary and passes its documents along it."""
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", id_type), ("body", "binary"))]
-    words = places.select("block", F.lit(0).alias("kind"), "local", *numbers, "groups", *empty)
-    texts = bodies.select("block", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("local"), *(F.lit(None).cast("long").alias(c) for c in numbers), F.lit(None).cast("string").alias("groups"), "doc_id", "body")
+    columns = {"block": "long", "kind": "int", "locals": "binary", "counts": "binary", "names": "binary", "doc_id": id_type, "body": "binary"}
+
+    def all_columns(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*(F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts, names, ready = None, [], [], None
+        at, pieces, ready = None, [], None
         for batch in batches:
             blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
-            for start, end in zip([0, *edges], [*edges, len(blocks)], strict=True):
+            for start, end in runs(blocks, kinds):
                 part = batch.slice(start, end - start)
                 if blocks[start] != at:
-                    at, counts, names, ready = blocks[start], [], [], None
+                    at, pieces, ready = blocks[start], [], None
                 if kinds[start] == 0:
-                    counts.append(np.stack([part.column(c).to_numpy() for c in numbers], axis=1))
-                    names += part.column("groups").to_pylist()
+                    for locals_, counts, names in zip(*(part.column(c).to_pylist() for c in ("locals", "counts", "names")), strict=True):
+                        pieces.append((unpacked(locals_), unpacked(counts, "<i8").reshape(len(NUMBERS), -1).T, zlib.decompress(names).decode().split("\n")))
                     continue
                 if ready is None:
-                    ready = (np.concatenate(counts) if counts else np.zeros((0, 6), "i8"), np.array(names, object))
-                    counts, names = [], []
+                    size = sum(len(x[0]) for x in pieces)
+                    ready = np.zeros((size, len(NUMBERS)), "i8"), np.empty(size, object)
+                    for at_local, counts, names in pieces:
+                        ready[0][at_local], ready[1][at_local] = counts, names
+                    pieces = []
                 yield from compose(part, *ready)
 
     def compose(part: pa.RecordBatch, counts: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -279,12 +345,12 @@ def _composed(places: DataFrame, bodies: DataFrame, id_type: str) -> DataFrame:
             groups.append(";".join(names[ids].tolist()))
             chars += len(groups[-1])
             if chars > OUT_CHARS or n + 1 == len(bodies):
-                columns = np.stack(sums).astype("i8")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, n + 1 - first), *(pa.array(columns[:, k]) for k in range(6)), pa.array(groups, pa.string())], names=["doc_id", *numbers, "groups"])
+                table = np.stack(sums)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, n + 1 - first), *(pa.array(table[:, k]) for k in range(len(NUMBERS))), pa.array(groups, pa.string())], names=["doc_id", *NUMBERS, "groups"])
                 sums, groups, first, chars = [], [], n + 1, 0
 
-    both = words.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "local")
-    return both.mapInArrow(lean(run), f"doc_id {id_type}, {', '.join(f'{c} long' for c in numbers)}, groups string")
+    both = all_columns(words, 0).unionByName(all_columns(texts, 1)).repartition("block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(lean(run), f"doc_id {id_type}, {', '.join(f'{c} long' for c in NUMBERS)}, groups string")
 
 
 def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,17 +371,16 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     small_batches(docs.sparkSession)
     written = _written_in_numbers(docs, safe_cuts(path_a, path_b), id_col, text_col)
     aligned = _aligned(written.where("segment is not null"), path_a, path_b)
-    segments, places = aligned.where("groups is not null"), aligned.where("block is not null").select("segment_key", "block", "local")
+    segments, places = aligned.where("groups is not null"), aligned.where("block is not null").select("task", "block", "locals", "numbers")
     pairs = materialise(pair_counts(segments), "align-best")
     if pairs.count() <= FEW_PAIRS:
         pairs = F.broadcast(pairs)
-    links = segments.select(F.col("segment_key").alias("_key"), F.explode("pairs").alias("_pair")).join(pairs, F.col("_pair") == F.col("pair"))
-    scores = links.groupBy("_key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    whole = segments.join(scores, F.col("segment_key") == F.col("_key")).select(
-        "_key", *(F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups")), F.size("pairs").cast("long").alias("n_links"), "n_best", "count_sum", "groups"
-    )
-    met = places.join(whole, F.col("segment_key") == F.col("_key")).drop("segment_key", "_key")
-    return _composed(met, written.where("segment is null").select("block", "doc_id", "body"), id_type)
+    links = segments.select("task", "number", F.explode("pairs").alias("_pair")).join(pairs, F.col("_pair") == F.col("pair"))
+    scores = links.groupBy("task", "number").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    words = _joined_back(segments.select("task", "number", "n_a", "n_b", "n_groups", "groups"), scores, places)
+    found = _composed(words, written.where("segment is null").select("block", "doc_id", "body"), id_type)
+    # tokens of a group overlap in one pair less than there are
+    return found.withColumn("n_links", F.col("n_a") + F.col("n_b") - F.col("n_groups")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
 def digest(groups: Column) -> Column:

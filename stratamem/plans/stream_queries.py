@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem.plans.catalogue import register
+from stratamem.sources.tables import table
+from stratamem.streaming import leases
 from stratamem.streaming import queries as Q
 
 
@@ -40,9 +42,9 @@ def stream_latest_handoff(spark: SparkSession, d: str) -> DataFrame:
     "with r as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'assistant') select conv_id, not contains(lower(text), 'handoff') as violation from r where n = 1",
 )
 def stream_first_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Keyed state per session: whether its first reply took up the handoff."""
+    """Keyed state per session, kept for 24 hours: whether its first reply took up the handoff."""
     stream = Q.table_stream(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    return Q.run_available(Q.first_replies(stream, "handoff"), "append")
+    return Q.run_available(Q.first_replies(stream, "handoff", 24 * 3600 * 1000), "append", empty_batches=False)
 
 
 @register("stream_expired_leases", "select o_orderkey as job_id from orders where o_orderstatus = 'P' and o_orderdate + to_seconds(2 * cast(o_totalprice as int)) < timestamp '1996-06-01'")
@@ -52,3 +54,38 @@ def stream_expired_leases(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("claimed_at"), F.bround("o_totalprice").cast("int").alias("timeout_seconds")
     )
     return Q.run_available(Q.expired_leases(jobs, "1996-06-01 00:00:00").select("job_id"), "append")
+
+
+_KINDS = {"view": "claim", "signup": "claim", "click": "renew", "purchase": "complete", "error": "fail"}
+_TIMERS = f"""
+with e as (select event_id, user_id as job_id, case event_type {' '.join(f"when '{k}' then '{v}'" for k, v in _KINDS.items())} end as kind, (epoch_us(ts) // 1000) as tm, 'w' || event_id % 2 as worker_id, (event_id % 5 + 1) * 10800 as timeout, max((epoch_us(ts) // 1000)) over () - 3600000 as passed from events),
+a as (select *, sum((kind = 'claim')::int) over (partition by job_id order by tm, event_id) as attempts, max(tm) over (partition by job_id) as last_at from e),
+o as (select *, max(worker_id) filter (where kind = 'claim') over w as owner, 2000 * max(timeout) filter (where kind = 'claim') over w as lasts, max(tm) filter (where kind = 'claim') over w as claimed_at from a where attempts > 0 window w as (partition by job_id, attempts)),
+n as (select distinct job_id, attempts - 1 as attempts, claimed_at as next_claim from o),
+k as (select o.*, next_claim, row_number() over w as seq, lead(tm) over w as next_at from o left join n using (job_id, attempts) where kind = 'claim' or worker_id = owner window w as (partition by job_id, attempts order by tm, event_id)),
+t as (select *, min(seq) filter (where kind in ('complete', 'fail')) over (partition by job_id, attempts) as ended from k),
+x as (select *, kind in ('claim', 'renew') and coalesce(next_at, next_claim, tm + lasts + 1) > tm + lasts as out from t where ended is null or seq <= ended),
+f as (select *, min(seq) filter (where out) over (partition by job_id, attempts) as lost, tm + 1000 * least(3600, 5 * pow(2, least(attempts - 1, 20)))::bigint as due from x),
+r as (select job_id, 'expired' as event, tm + lasts as fires, owner as worker_id, attempts, last_at, passed from f where seq = lost
+  union all select job_id, 'due', due, null, attempts, last_at, passed from f where kind = 'fail' and lost is null and attempts < 12 and coalesce(next_claim, due + 1) > due)
+select job_id, event, strftime(make_timestamp(fires * 1000), '%Y-%m-%d %H:%M:%S') as "at", worker_id, attempts::bigint as attempts from r where last_at > fires or fires <= passed
+"""
+
+
+@register("stream_queue_timers", _TIMERS)
+def stream_queue_timers(spark: SparkSession, d: str) -> DataFrame:
+    """Leases that run out and retries that come due, fired by timers over four micro-batches."""
+    kind = F.lit(None).cast("string")
+    for name, event in _KINDS.items():
+        kind = F.when(F.col("event_type") == name, event).otherwise(kind)
+    rows = table(spark, d, "events").select(
+        "event_id",
+        F.col("user_id").alias("job_id"),
+        kind.alias("kind"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("worker_id"),
+        ((F.col("event_id") % 5 + 1) * 10800).cast("int").alias("timeout_seconds"),
+        F.lit(12).alias("max_attempts"),
+    )
+    fired = Q.run_available(leases.queue_timers(Q.in_slices(rows, "at", 4), "1 hour"), "append")
+    return fired.select("job_id", "event", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "worker_id", F.col("attempts").cast("long").alias("attempts"))

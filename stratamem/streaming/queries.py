@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stratamem.operators.ingest import maintain, record
 from stratamem.sources.scratch import shared_folder, written
 from stratamem.sources.sinks import commit_batch
+from stratamem.streaming.leases import PROVIDER
 
 
 def table_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
@@ -26,9 +27,29 @@ def event_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
     return table_stream(spark, path, table_name).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
+def in_slices(rows: DataFrame, time: str, slices: int, files: int = 4) -> DataFrame:
+    """``rows`` as a stream of ``slices`` micro-batches, one for each equal span of ``time``.
+
+    Each span is written to the shared folder in ``files`` files, one span after the other, and
+    a micro-batch takes as many; so batches come in the order of time, as from a live source.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/stratamem/slices-{uuid.uuid4().hex}"
+    least, most = rows.select(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    rows = written(rows, "sliced")
+    for n in range(slices):
+        since, until = (least + (most - least + 1) * k // slices for k in (n, n + 1)) if least is not None else (0, 0)
+        at = F.unix_micros(time)
+        rows.where((at >= since) & (at < until)).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def run_available(stream: DataFrame, mode: str, empty_batches: bool = True) -> DataFrame:
     """What the stream yields from all data there is now, as a table; in complete mode the last state.
 
+    ``empty_batches`` let event-time timers fire at the end; with state that lives by
+    processing time they would go on forever.
+
     Each micro-batch is written as Parquet in the shared folder, where the query keeps its
     checkpoint too; a batch that is run again writes over itself. Nothing goes to the driver.
     """
@@ -39,8 +60,13 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
         batches.append(batch)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    spark, setting = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(empty_batches).lower())
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     paths = [f"{root}/rows/batch={n}" for n in (sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches)))]
     if not paths:
         return stream.sparkSession.createDataFrame([], stream.schema)
@@ -78,30 +104,36 @@ def latest_per_group(stream: DataFrame, keys: list[str], *columns: Column) -> Da
     return stream.groupBy(*keys).agg(*columns)
 
 
+class FirstReply(StatefulProcessor):
+    """One session: whether its first reply was judged, forgotten ``keep_ms`` after that."""
+
+    def __init__(self, keyword: str, keep_ms: int | None):
+        self.keyword, self.keep_ms = keyword, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.judged = handle.getValueState("judged", "judged boolean", self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.judged.exists():
+            batch = pd.concat(list(rows))
+            replies = batch[batch["role"] == "assistant"].sort_values("turn")
+            if len(replies):
+                self.judged.update((True,))
+                yield pd.DataFrame({"conv_id": [key[0]], "violation": [self.keyword not in (replies["text"].iloc[0] or "").lower()]})
+
+    def close(self) -> None:
+        pass
+
+
 def first_replies(stream: DataFrame, keyword: str, keep_ms: int | None = None) -> DataFrame:
     """(conv_id, violation) once per session, when its first reply comes: it does not take up ``keyword``.
 
     ``stream`` has conv_id, turn, role, text. A session's state is whether its reply was
-    judged. With ``keep_ms`` it is dropped after so long without messages, by processing
-    time; that suits a query that keeps running, as such timers never let one end by itself.
+    judged; with ``keep_ms`` the state store drops it that long after, by processing time.
     """
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        judged = state.get[0] if state.exists else False
-        for batch in batches:
-            replies = batch[batch["role"] == "assistant"].sort_values("turn")
-            if not judged and len(replies):
-                judged = True
-                yield pd.DataFrame({"conv_id": [key[0]], "violation": [keyword not in (replies["text"].iloc[0] or "").lower()]})
-        state.update((judged,))
-        if keep_ms is not None:
-            state.setTimeoutDuration(keep_ms)
-
-    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy("conv_id").applyInPandasWithState(judge, "conv_id long, violation boolean", "judged boolean", "append", timeout)
+    stream.sparkSession.conf.set(*PROVIDER)
+    mode = "None" if keep_ms is None else "ProcessingTime"
+    return stream.groupBy("conv_id").transformWithStateInPandas(FirstReply(keyword, keep_ms), "conv_id long, violation boolean", "append", mode)
 
 
 def expired_leases(stream: DataFrame, until: str) -> DataFrame:

@@ -18,12 +18,28 @@ def orphans(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return pages.join(edges.select(F.col("to_slug").alias("slug")), "slug", "left_anti")
 
 
+_EDGE = ["from_slug", "edge_type", "to_slug"]
+
+
+def edge_states(edges: DataFrame) -> DataFrame:
+    """One row per edge that ``merged_states`` can fold further: confidence, first evidence that isn't empty with its time, first time."""
+    told = F.when(F.col("evidence") != "", F.struct("created_at", "evidence"))
+    return edges.groupBy(*_EDGE).agg(F.max("confidence").alias("confidence"), F.min(told).alias("told"), F.min("created_at").alias("created_at"))
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """``edge_states`` of edges whose states are given."""
+    return states.groupBy(*_EDGE).agg(F.max("confidence").alias("confidence"), F.min("told").alias("told"), F.min("created_at").alias("created_at"))
+
+
+def told_edges(states: DataFrame) -> DataFrame:
+    """The edges of ``edge_states``."""
+    return states.select(*_EDGE, "confidence", F.col("told.evidence").alias("evidence"), "created_at")
+
+
 def upsert_edges(edges: DataFrame) -> DataFrame:
     """One edge per (from_slug, edge_type, to_slug): the highest confidence, the first evidence that isn't empty."""
-    evidence = F.min_by(F.when(F.col("evidence") != "", F.col("evidence")), F.when(F.col("evidence") != "", F.struct("created_at", "evidence")))
-    return edges.groupBy("from_slug", "edge_type", "to_slug").agg(
-        F.max("confidence").alias("confidence"), evidence.alias("evidence"), F.min("created_at").alias("created_at")
-    )
+    return told_edges(edge_states(edges))
 
 
 def personalised_pagerank(

@@ -56,16 +56,28 @@ def counted(sessions: DataFrame, episodes: DataFrame) -> DataFrame:
     return met.withColumn("episode_count", F.col("episode_count") + F.coalesce("_new", F.lit(0))).drop("_s", "_new")
 
 
-def maintain(episodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages, edges, evidence) that episodes make: pages (slug, domain) on first mention, typed edges at
-    their highest confidence, and one evidence link (slug, uuid, summary) for each page and episode."""
+def mentioned(episodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(page states, edge states, evidence) of episodes, which further episodes' can be folded into.
+
+    A page's state is the least (rank, domain) that names it: a mention before an edge's end.
+    """
     references = extract.entity_references(episodes)
     found = extract.extract_edges(episodes).join(episodes.select("uuid", "created_at"), "uuid")
-    edges = graph.upsert_edges(found)
-    named = references.select("slug", "domain", F.lit(0).alias("rank")).unionByName(found.select(F.col("to_slug").alias("slug"), "domain", F.lit(1).alias("rank")))
-    pages = named.groupBy("slug").agg(F.min_by("domain", F.struct("rank", "domain")).alias("domain"))
+    named = references.select("slug", F.struct(F.lit(0).alias("rank"), "domain").alias("named")).unionByName(found.select(F.col("to_slug").alias("slug"), F.struct(F.lit(1).alias("rank"), "domain").alias("named")))
     evidence = references.select("uuid", "slug").join(episodes.select("uuid", F.left("content", F.lit(120)).alias("summary")), "uuid").select("slug", "uuid", "summary")
-    return pages, edges, evidence
+    return merged_pages(named), graph.edge_states(found), evidence
+
+
+def merged_pages(states: DataFrame) -> DataFrame:
+    """Page states (slug, named), one for each page."""
+    return states.groupBy("slug").agg(F.min("named").alias("named"))
+
+
+def maintain(episodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, edges, evidence) that episodes make: pages (slug, domain) on first mention, typed edges at
+    their highest confidence, and one evidence link (slug, uuid, summary) for each page and episode."""
+    pages, edges, evidence = mentioned(episodes)
+    return pages.select("slug", F.col("named.domain").alias("domain")), graph.told_edges(edges), evidence
 
 
 def open_sessions(sessions: DataFrame, arriving: DataFrame) -> DataFrame:

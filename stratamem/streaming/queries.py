@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from stratamem.operators.ingest import maintain, record
+from stratamem.operators import graph
+from stratamem.operators.ingest import mentioned, merged_pages, record
+from stratamem.sources.delta import DeltaTables, kept_first, kept_last
 from stratamem.sources.scratch import shared_folder, written
-from stratamem.sources.sinks import commit_batch
 from stratamem.streaming.leases import PROVIDER
 
 
@@ -35,11 +36,10 @@ def in_slices(rows: DataFrame, time: str, slices: int, files: int = 4) -> DataFr
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/stratamem/slices-{uuid.uuid4().hex}"
-    least, most = rows.select(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
-    rows = written(rows, "sliced")
+    rows, at = written(rows, "sliced"), F.unix_micros(F.col(time).cast("timestamp"))
+    least, most = rows.select(F.min(at), F.max(at)).first()
     for n in range(slices):
         since, until = (least + (most - least + 1) * k // slices for k in (n, n + 1)) if least is not None else (0, 0)
-        at = F.unix_micros(time)
         rows.where((at >= since) & (at < until)).repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
@@ -73,22 +73,69 @@ def run_available(stream: DataFrame, mode: str, empty_batches: bool = True) -> D
     return stream.sparkSession.read.schema(stream.schema).parquet(*paths)
 
 
-def ingest(stream: DataFrame, sessions: DataFrame, root: str) -> None:
-    """Messages as they come, each micro-batch recorded and committed as one: episodes, pages, edges and evidence below ``root``.
+#: Micro-batches after which the tables of ``ingest`` are compacted.
+COMPACT_EVERY = 16
 
-    ``stream`` has the columns of ``operators.ingest.record``. A batch that is run again
-    writes over itself; what has no commit marker isn't read.
+
+def ingest_tables(spark: SparkSession, root: str) -> DeltaTables:
+    """What ``ingest`` keeps: episodes, states of pages and edges, evidence, and how many episodes each session has."""
+
+    def last(rows: DataFrame, merge) -> DataFrame:
+        return merge(rows).withColumn("version", F.lit(0).cast("long"))
+
+    merges = {
+        "episodes": None,
+        "pages": lambda rows: last(rows, merged_pages),
+        "edges": lambda rows: last(rows, graph.merged_states),
+        "evidence": kept_first(["slug", "uuid"]),
+        "counters": kept_last(["session_id"]),
+    }
+    return DeltaTables(spark, root, merges)
+
+
+def ingest_batch(tables: DeltaTables, sessions: DataFrame, rows: DataFrame, batch: int) -> None:
+    """Record one micro-batch: sessions go on from the counters of the batches before it, so it can be run again."""
+    counters = tables.read("counters", before=batch)
+    if counters is not None:
+        so_far = counters.select(F.col("session_id").alias("_s"), F.col("episodes").alias("_n"))
+        met = sessions.join(so_far, F.col("session_id") == F.col("_s"), "full")
+        sessions = met.select(F.coalesce("session_id", "_s").alias("session_id"), "group_id", F.coalesce("_n", "episode_count").alias("episode_count"))
+    episodes = written(record(rows, sessions), "episodes")
+    pages, edges, evidence = mentioned(episodes)
+    counted = episodes.groupBy("session_id").agg((F.max("session_order") + 1).alias("episodes"))
+    tables.commit(batch, {"episodes": episodes, "pages": pages, "edges": edges, "evidence": evidence, "counters": counted})
+
+
+def ingest(stream: DataFrame, sessions: DataFrame, root: str, compact_every: int = COMPACT_EVERY) -> None:
+    """Messages as they come, each micro-batch recorded and committed as one below ``root``.
+
+    ``stream`` has the columns of ``operators.ingest.record``. Batches in the order of time
+    give what one batch of all messages would: a session's numbers go on where they were, a
+    page or edge that is met again is merged. A batch that is run again replaces itself.
     """
+    tables = ingest_tables(stream.sparkSession, root)
 
     def write(rows: DataFrame, batch: int) -> None:
-        episodes = written(record(rows, sessions), "episodes")
-        pages, edges, evidence = maintain(episodes)
-        commit_batch({"episodes": episodes, "pages": pages, "edges": edges, "evidence": evidence}, root, batch)
+        ingest_batch(tables, sessions, rows, batch)
+        if batch % compact_every == compact_every - 1:
+            tables.compact(batch)  # not the batch itself, which may come again
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def ingested(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables that ``ingest`` has made below ``root``, as ``operators.ingest.maintain`` has them."""
+    tables = ingest_tables(spark, root)
+    return {
+        "episodes": tables.read("episodes").drop("version"),
+        "pages": tables.read("pages").select("slug", F.col("named.domain").alias("domain")),
+        "edges": graph.told_edges(tables.read("edges")),
+        "evidence": tables.read("evidence").drop("version"),
+        "counters": tables.read("counters").drop("version"),
+    }
+
+
 def first_of_key(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Each key once within the watermark's delay."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratamem.functions import fixed as V
 from stratamem.functions.text import classify, detect_layer, is_significant
 from stratamem.operators import extract, graph
+from stratamem.sources.scratch import written
 
 
 def writer(agent_id: Column, surface: Column, defaults: dict[str, str] | None = None) -> Column:
@@ -61,8 +62,8 @@ def mentioned(episodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A page's state is the least (rank, domain) that names it: a mention before an edge's end.
     """
-    references = extract.entity_references(episodes)
-    found = extract.extract_edges(episodes).join(episodes.select("uuid", "created_at"), "uuid")
+    references = written(extract.entity_references(episodes), "references")  # each read twice below
+    found = written(extract.extract_edges(episodes).join(episodes.select("uuid", "created_at"), "uuid"), "edges")
     named = references.select("slug", F.struct(F.lit(0).alias("rank"), "domain").alias("named")).unionByName(found.select(F.col("to_slug").alias("slug"), F.struct(F.lit(1).alias("rank"), "domain").alias("named")))
     evidence = references.select("uuid", "slug").join(episodes.select("uuid", F.left("content", F.lit(120)).alias("summary")), "uuid").select("slug", "uuid", "summary")
     return merged_pages(named), graph.edge_states(found), evidence

@@ -67,12 +67,6 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d)["episodes"].select(*_INGESTED)
 
 
-@register("stream_ingest_counts", f"with e as ({_INGEST}) select session_id, max(session_order) + 1 as episodes from e group by 1")
-def stream_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How many episodes each session has after four micro-batches and a compaction."""
-    return _streamed(spark, d)["counters"]
-
-
 @register("ingest_pages")
 def ingest_pages(spark: SparkSession, d: str) -> DataFrame:
     """The pages that new episodes make, each under one domain."""

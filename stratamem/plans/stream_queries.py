@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamem.operators.idempotency import WINDOW, first_accepted
 from stratamem.plans.catalogue import register
 from stratamem.sources.tables import table
 from stratamem.streaming import leases
@@ -89,3 +90,30 @@ def stream_queue_timers(spark: SparkSession, d: str) -> DataFrame:
     )
     fired = Q.run_available(leases.queue_timers(Q.in_slices(rows, "at", 4), "1 hour"), "append")
     return fired.select("job_id", "event", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "worker_id", F.col("attempts").cast("long").alias("attempts"))
+
+
+_ACCEPTED = """
+with recursive e as (select event_type || user_id % 3 as key, event_id, ts from events),
+a as (select key, min(ts) as ts from e group by key
+  union all select a.key, min(e.ts) from a join e on e.key = a.key and e.ts > a.ts + interval 1 hour group by a.key)
+select key, min(event_id) as event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as "at" from a join e using (key, ts) group by key, ts
+"""
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    key = F.concat("event_type", (F.col("user_id") % 3).cast("string"))
+    return table(spark, d, "events").select(key.alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@register("idempotent_hour", _ACCEPTED)
+def idempotent_hour(spark: SparkSession, d: str) -> DataFrame:
+    """The requests accepted, an hour or more after the last accepted one of their key."""
+    found = first_accepted(_keyed(spark, d), WINDOW)
+    return found.select("key", F.col("id").alias("event_id"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@register("stream_idempotent_hour", _ACCEPTED)
+def stream_idempotent_hour(spark: SparkSession, d: str) -> DataFrame:
+    """K3: the same from keyed state over four micro-batches."""
+    found = Q.run_available(Q.accepted_of_key(Q.in_slices(_keyed(spark, d), "at", 4), WINDOW, "30 minutes"), "append")
+    return found.select("key", F.col("id").alias("event_id"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))

@@ -141,6 +141,49 @@ def first_of_key(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+class LastAccepted(StatefulProcessor):
+    """One key: when its last request was accepted, until the watermark is so far that it answers for none."""
+
+    def __init__(self, seconds: int):
+        self.micros = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def _ends(self, last: int) -> int:
+        return (last + self.micros) // 1000 + 1
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = last = self.last.get()[0] if self.last.exists() else None
+        batch, kept = pd.concat(list(rows)).sort_values(["at", "id"], ignore_index=True), []
+        for n, at in enumerate(batch["at"].astype("datetime64[us]").astype("int64").tolist()):
+            if last is None or at - last > self.micros:
+                last = at
+                kept.append(n)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(last))
+            self.last.update((last,))
+        if kept:
+            yield batch.loc[kept, ["key", "id", "at"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def accepted_of_key(stream: DataFrame, seconds: int, delay: str) -> DataFrame:
+    """``operators.idempotency.first_accepted`` of a stream (key, id, at) whose keys aren't null, late by ``delay`` at most."""
+    stream.sparkSession.conf.set(*PROVIDER)
+    id_type = stream.schema["id"].dataType.simpleString()
+    return stream.withWatermark("at", delay).groupBy("key").transformWithStateInPandas(LastAccepted(seconds), f"key string, id {id_type}, at timestamp", "append", "EventTime")
+
+
 def session_windows(stream: DataFrame, keys: list[str], gap: str, *aggregates: Column) -> DataFrame:
     """Sessions of events that follow each other within ``gap``."""
     return stream.groupBy(*keys, F.session_window("ts", gap).alias("session")).agg(*aggregates)

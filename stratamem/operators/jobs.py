@@ -14,6 +14,7 @@ from stratamem.functions import fixed as V
 from stratamem.functions.guard import retry_wait
 from stratamem.operators.rank import top_k
 from stratamem.operators.trees import descendants
+from stratamem.sources.scratch import written
 
 
 def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
@@ -25,6 +26,12 @@ def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     ``max_attempts``, ``parent_id`` (unknown), ``depth`` (over ``MAX_DEPTH``), ``children``
     (the parent has ``MAX_CHILDREN``, those before in the batch by job_id included).
     Requests whose parent comes in the same batch belong in the next one.
+
+    A batch is as if its requests came one by one, in the order of job_id. Once a parent is
+    full all later requests under it are refused, so a key may pass on to a later request,
+    which may fill another parent: rounds go on until no parent is full earlier than before.
+    Only a parent's first ``MAX_CHILDREN`` new jobs are ranked, and keys are met by their
+    least request, so neither many children nor many requests without a key meet in one task.
     """
     counts = jobs.where("parent_id is not null").groupBy("parent_id").agg(F.count(F.lit(1)).alias("_children"))
     parents = jobs.select(F.col("job_id").alias("_p"), F.col("depth").alias("_depth"))
@@ -40,20 +47,32 @@ def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
         .when(depth > V.MAX_DEPTH, F.lit("depth"))
         .when(F.coalesce("_children", F.lit(0)) >= V.MAX_CHILDREN, F.lit("children"))
     )
-    judged = met.withColumns({"depth": depth, "reason": reason})
-    # in a batch the first of each name and key is the job, and later ones are that one
-    same = Window.partitionBy("name", "idempotency_key", F.col("reason").isNull())
-    keyed = F.col("idempotency_key").isNotNull() & F.col("reason").isNull()
-    first = F.when(keyed, F.coalesce("_existing", F.min("job_id").over(same))).otherwise(F.col("job_id"))
-    judged = judged.withColumn("_first", first).withColumn("_new", F.col("reason").isNull() & (F.col("_first") == F.col("job_id")) & ~(keyed & F.col("_existing").isNotNull()))
-    before = F.sum(F.col("_new").cast("int")).over(Window.partitionBy("parent_id").orderBy("job_id"))
-    full = F.col("_new") & F.col("parent_id").isNotNull() & (F.coalesce("_children", F.lit(0)) + before > V.MAX_CHILDREN)
-    return judged.withColumn("_full", full).select(
+    judged = written(met.withColumns({"depth": depth, "reason": reason}), "requests")
+    full, state = None, None
+    while True:
+        left = judged.where("reason is null")
+        if full is not None:
+            left = left.join(full, F.col("parent_id") == F.col("_parent"), "left").where(F.col("_full_at").isNull() | (F.col("job_id") <= F.col("_full_at")))
+        firsts = left.where("idempotency_key is not null and _existing is null").groupBy(F.col("name").alias("_n"), F.col("idempotency_key").alias("_k")).agg(F.min("job_id").alias("_first"))
+        made = left.where("idempotency_key is null").select("job_id", "parent_id", "_children").unionByName(
+            left.join(firsts, F.col("job_id") == F.col("_first"), "left_semi").select("job_id", "parent_id", "_children")
+        )
+        last = top_k(made.where("parent_id is not null"), ["parent_id"], V.MAX_CHILDREN, F.asc("job_id"))
+        found = last.where(F.col("rank") + F.coalesce("_children", F.lit(0)) == V.MAX_CHILDREN)
+        found = written(found.select(F.col("parent_id").alias("_parent"), F.col("job_id").alias("_full_at")), "full-parents")
+        before, state = state, found.agg(F.count(F.lit(1)), F.sum("_full_at")).first()
+        full = found
+        if state == before or not state[0]:
+            break
+    met = judged.join(full, F.col("parent_id") == F.col("_parent"), "left").join(firsts, (F.col("name") == F.col("_n")) & (F.col("idempotency_key") == F.col("_k")), "left")
+    refused = F.coalesce("reason", F.when(F.col("job_id") > F.col("_full_at"), F.lit("children")))
+    first = F.coalesce("_existing", "_first", "job_id")
+    return met.withColumn("_reason", refused).select(
         F.col("job_id").alias("request_id"),
-        F.when(F.col("reason").isNull() & ~F.col("_full"), F.col("_first")).alias("job_id"),
-        F.when(F.col("_full"), F.lit("children")).otherwise(F.col("reason")).alias("reason"),
-        (F.col("_new") & ~F.col("_full")).alias("created"),
-        F.when(F.col("reason").isNull() & ~F.col("_full"), F.col("depth")).alias("depth"),
+        F.when(F.col("_reason").isNull(), first).alias("job_id"),
+        F.col("_reason").alias("reason"),
+        (F.col("_reason").isNull() & F.col("_existing").isNull() & (first == F.col("job_id"))).alias("created"),
+        F.when(F.col("_reason").isNull(), F.col("depth")).alias("depth"),
         F.coalesce("scheduled_at", now).alias("scheduled_at"),
     )
 

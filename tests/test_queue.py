@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,49 @@ def test_submission(spark):
     assert got[20]["depth"] == 8 and got[23]["job_id"] is None
 
 
+def one_by_one(known, asked):
+    """The queue as it takes requests in turn: (job_id, reason, created) of each."""
+    jobs_, keys, children = {j[0]: j[4] for j in known}, {}, {}
+    for j in known:
+        if j[2] is not None:
+            keys.setdefault((j[1], j[2]), j[0])
+        if j[3] is not None:
+            children[j[3]] = children.get(j[3], 0) + 1
+    out, old = {}, set(jobs_)
+    for i, name, key, parent, timeout, tries, _ in sorted(asked):
+        reason = "name" if not name else "timeout_seconds" if timeout <= 0 else "max_attempts" if tries < 1 else None
+        if reason is None and parent is not None:
+            reason = "parent_id" if parent not in old else "depth" if jobs_[parent] + 1 > 8 else "children" if children.get(parent, 0) >= 256 else None
+        if reason:
+            out[i] = (None, reason, False)
+        elif key is not None and (name, key) in keys:
+            out[i] = (keys[name, key], None, False)
+        else:
+            if key is not None:
+                keys[name, key] = i
+            if parent is not None:
+                children[parent] = children.get(parent, 0) + 1
+            out[i] = (i, None, True)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_is_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    known = [(n, "top", f"k{n}" if n < 4 else None, None, 0) for n in range(1, 7)]
+    known += [(10_000 * p + i, "child", None, p, 1) for p in range(1, 7) for i in range(256 - rng.randrange(6))]
+    asked = [request(200_000 + i, rng.choice(["a", "top", ""]) if i % 9 == 0 else "a", rng.choice([None, *(f"k{n}" for n in range(12))]), rng.choice([None, 1, 2, 3, 4, 5, 6, 999]), rng.choice([60, 60, 0])) for i in range(150)]
+    got = {i: (r["job_id"], r["reason"], r["created"]) for i, r in submitted(spark, known, asked).items()}
+    assert got == one_by_one(known, asked)
+
+
+def test_key_of_a_refused_request_passes_on(spark):
+    known = [(1, "full", None, None, 0), (2, "free", None, None, 0)] + [(100 + i, "child", None, 1, 1) for i in range(255)]
+    asked = [request(1000, parent=1), request(1001, key="k", parent=1), request(1002, key="k", parent=2), request(1003, key="k")]
+    got = submitted(spark, known, asked)
+    assert [(got[i]["job_id"], got[i]["reason"], got[i]["created"]) for i in range(1000, 1004)] == [(1000, None, True), (None, "children", False), (1002, None, True), (1002, None, False)]
+
+
 STATE = "job_id long, queue int, status string, attempts int, max_attempts int, priority int, scheduled_at timestamp_ntz, claimed_at timestamp_ntz, worker_id string, parent_id long, failed_at timestamp_ntz, completed_at timestamp_ntz, failure_reason string, result string"
 
 

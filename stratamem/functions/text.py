@@ -214,9 +214,8 @@ def occurrences(text: Column, word: Column) -> Column:
     return F.when(~F.contains(text, word), 0).otherwise((gone / F.length(word)).cast("int"))
 
 
-def room(text: Column, rooms: dict[str, tuple[str, ...]] | None = None, least: int = 2) -> Column:
-    """The room whose keywords occur most, long ones twice; of equal rooms the first; ``general`` below ``least``."""
-    rooms = rooms or V.ROOMS
+def room(text: Column, rooms: dict[str, tuple[str, ...]], least: int = 2) -> Column:
+    """The room of ``rooms`` whose keywords occur most, long ones twice; of equal rooms the first; ``general`` below ``least``."""
 
     def best_of(low: Column) -> Column:
         scored = []

@@ -143,20 +143,31 @@ def stale_candidates(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.stale(_records(spark, d), now()).select("uuid", F.col("age_days").cast("long").alias("age_days"))
 
 
+#: Rooms of the test tables' prose; rooms are a parameter, as a service has its own.
+ROOMS = {
+    "credentials": ("password", "secret", "token", "api_key", "key"),
+    "licences": ("license", "copyright", "warranty", "rights reserved", "software"),
+    "contacts": ("@", "phone", "email", "address", ".com"),
+    "german": ("und", "der", "die", "nicht", "einheit", "verein"),
+    "french": ("une", "les", "dans", "aux", "tion"),
+    "english": ("the", "and", "with", "ing", "that"),
+}
+
+
 def _room_sql(text: str) -> str:
     scores = []
-    for n, (_, words) in enumerate(V.ROOMS.items()):
+    for n, (_, words) in enumerate(ROOMS.items()):
         parts = [f"((length({text}) - length(replace({text}, '{w}', ''))) // {len(w)}) * {2 if len(w) > 6 else 1}" for w in words]
         scores.append(f"({' + '.join(parts)}) as s{n}")
-    best = ", ".join(f"s{n}" for n in range(len(V.ROOMS)))
-    names = " ".join(f"when s{n} = top then '{name}'" for n, name in enumerate(V.ROOMS))
+    best = ", ".join(f"s{n}" for n in range(len(ROOMS)))
+    names = " ".join(f"when s{n} = top then '{name}'" for n, name in enumerate(ROOMS))
     return f"with s as (select doc_id, {', '.join(scores)} from (select doc_id, lower(text) as t from documents)), b as (select *, greatest({best}) as top from s) select doc_id as uuid, case when top < 2 then 'general' {names} end as room from b"
 
 
 @register("room_detect", _room_sql("t"))
 def room_detect(spark: SparkSession, d: str) -> DataFrame:
     """The topic of each text by keywords."""
-    return _docs(spark, d).select("uuid", T.room(F.col("content")).alias("room"))
+    return _docs(spark, d).select("uuid", T.room(F.col("content"), ROOMS).alias("room"))
 
 
 @register("room_counts", f"with r as ({_room_sql('t')}) select room, count(*) as n from r group by 1")
@@ -463,17 +474,31 @@ def last_by_role(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id", "role").agg(F.max("turn").alias("turn"), F.max_by(F.left("text", F.lit(80)), "turn").alias("text"))
 
 
+_WOKEN = f"""with e as ({EVENTS_SQL}), i as (select group_id, memory_type as room, uuid as id, round(importance, 9) as score, '[' || memory_type || '] ' || substr(props, 1, 120) || case when length(props) > 120 then '...' else '' end as line from e where props <> '' qualify row_number() over (partition by group_id order by round(importance, 9) desc, uuid) <= 15),
+    b as (select *, max(score) over (partition by group_id, room) as best from i),
+    l as (select group_id, room, best, id, score, line, 1 as part from b union all select distinct group_id, room, best, null, null, chr(10) || '**' || room || ':**', 0 from b),
+    s as (select *, 29 // 4 + sum(length(line) // 4) over (partition by group_id order by best desc, room, part, score desc, id rows unbounded preceding) as spent from l),
+    w as (select * from s where part = 1 and spent <= 60)"""
+
+
+def _woken(spark: SparkSession, d: str) -> DataFrame:
+    items = events(spark, d).select("group_id", F.col("memory_type").alias("room"), F.col("memory_type").alias("type"), F.col("uuid").alias("id"), F.round("importance", 9).alias("score"), F.col("props").alias("text"))
+    return sessions.wake_up(items, 60)
+
+
+@register("wake_up_layer1", f"{_WOKEN} select group_id, room, id, score, spent::bigint as spent from w")
+def wake_up_layer1(spark: SparkSession, d: str) -> DataFrame:
+    """What fits a token budget as printed, best rooms first."""
+    return _woken(spark, d).drop("line")
+
+
 @register(
-    "wake_up_layer1",
-    f"""with e as ({EVENTS_SQL}), i as (select group_id, memory_type as room, uuid as id, round(importance, 9) as score, greatest(length(props) // 4, 1) as cost, max(round(importance, 9)) over (partition by group_id, memory_type) as best from e),
-    l as (select group_id, room, best, id, score, cost, 1 as part from i union all select distinct group_id, room, best, null, null, greatest(length(room) // 4, 1), 0 from i),
-    s as (select *, sum(cost) over (partition by group_id order by best desc, room, part, score desc, id rows unbounded preceding) as spent from l)
-    select group_id, room, id, score, spent::bigint as spent from s where part = 1 and spent <= 60""",
+    "wake_up_texts",
+    f"{_WOKEN}, r as (select group_id, room, min(spent) as first, string_agg('- ' || line, chr(10) order by spent, score, id) as block from w group by 1, 2) select group_id, '## Key Context (last 30 days)' || chr(10) || string_agg(chr(10) || '**' || room || ':**' || chr(10) || block, chr(10) order by first) as text from r group by 1",
 )
-def wake_up_layer1(spark: SparkSession, d: str) -> DataFrame:
-    """What fits a token budget, best rooms first."""
-    items = events(spark, d).select("group_id", F.col("memory_type").alias("room"), F.col("uuid").alias("id"), F.round("importance", 9).alias("score"), F.col("props").alias("text"))
-    return sessions.wake_up(items, 60)
+def wake_up_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What each group wakes up with, as one text."""
+    return sessions.wake_up_text(_woken(spark, d))
 
 
 @register("queue_claim", f"with j as ({_JOBS}) select queue, job_id, priority, row_number() over (partition by queue order by priority desc, scheduled_at, job_id) as rank from j where status = 'pending' and scheduled_at <= timestamp '1998-01-01' qualify rank <= 20")

@@ -1,8 +1,16 @@
-"""Exact nearest neighbours by cosine, queries in blocks against all vectors."""
+"""Exact nearest neighbours by cosine over an index of pivots.
+
+On unit vectors cosine orders as Euclidean distance does, which obeys the triangle
+inequality: a vector in a pivot's cell, at a distance from the pivot between the cell's
+least and greatest, can't be nearer to a query than the query's own distance to the pivot
+tells. A query first meets the cells that look nearest, which bounds its k-th hit, and then
+only those cells that could still hold a nearer one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,51 +18,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamem.operators.rank import top_k
+from stratamem.sources.scratch import written
 
-#: Queries of a block, which is compared with a batch of vectors at once.
+#: Rows that one comparison in numpy takes on a side.
 BLOCK = 1024
-#: Bytes of query vectors that one pass over the vectors carries, at most.
-PASS_BYTES = 64 << 20
+#: Vectors of a cell that one task holds; larger cells are dealt over several.
+HELD = 8192
+#: Queries that meet a block of a cell in one task, at most.
+GUESTS = 32_768
+#: Pivots, at most.
+MOST_PIVOTS = 1024
+#: More than rounding similarities to 9 digits can hide, in squared distance.
+SLACK = 1e-8
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, include_self: bool = True) -> DataFrame:
-    """(query_id, id, similarity, rank): the ``k`` most alike vectors of each query, similarity (1 + cos) / 2.
+@dataclass(frozen=True)
+class Pivots:
+    """Unit pivots, and per cell how many vectors it has and their least and greatest distance from the pivot."""
 
-    ``queries`` (query_id, vector) are dealt into passes of ``PASS_BYTES``, known before any
-    is sent; a pass is broadcast and meets the vectors once, in numpy, block by block, and
-    each batch passes on its ``k`` best per query, so what is shuffled is k rows per query
-    and batch. Similarities are rounded to 9 digits, ties go to the lesser id.
-    """
-    found = None
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("width")).first()
-    passes = max(1, -(-size["n"] * size["width"] * 8 // PASS_BYTES))
-    for first in range(passes):
-        dealt = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == first)
-        part = _pass(dealt.select("query_id", "vector").toPandas(), vectors, k, least, include_self)  # about PASS_BYTES
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, ["query_id"], k, F.desc("similarity"), F.asc("id"))
+    centres: np.ndarray
+    counts: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
 
+    def bounds(self, unit_rows: np.ndarray) -> np.ndarray:
+        """For each row and cell a distance that no vector of the cell is nearer than."""
+        far = apart(unit_rows, self.centres)
+        found = np.maximum(0.0, np.maximum(far - self.most, self.least - far))
+        found[:, self.counts == 0] = np.inf
+        return found
 
-def _pass(queries: pd.DataFrame, vectors: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((queries["query_id"].to_numpy(dtype=np.int64), unit(queries["vector"].tolist())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every, matrix = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, rows = batch["id"].to_numpy(dtype=np.int64), unit(batch["vector"].tolist())
-            for first in range(0, len(every), BLOCK):
-                names = every[first : first + BLOCK]
-                near = alike(rows, matrix[first : first + BLOCK])
-                order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[: k + (not include_self)]
-                column = np.broadcast_to(np.arange(len(names)), order.shape)
-                out = pd.DataFrame({"query_id": names[column.ravel()], "id": ids[order.ravel()], "similarity": near[order, column].ravel()})
-                if not include_self:
-                    out = out[out["query_id"] != out["id"]]
-                yield out[out["similarity"] >= least]
-
-    return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(run, "query_id long, id long, similarity double")
+@dataclass(frozen=True)
+class Index:
+    """``pivots``, and the written vectors with their ``cell``."""
+
+    pivots: Pivots
+    cells: DataFrame
 
 
 def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -62,7 +62,134 @@ def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(0.0, 1 - (1 - left @ right.T) / 2), 9)
 
 
+def apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distance of each row on the left to each on the right."""
+    squares = (left**2).sum(1)[:, None] + (right**2).sum(1) - 2 * left @ right.T
+    return np.sqrt(np.maximum(0.0, squares))
+
+
 def unit(rows: list) -> np.ndarray:
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm == 0, 1, norm)
+
+
+def spread(rows: np.ndarray, n: int) -> list[int]:
+    """Up to ``n`` rows, each the farthest from those before it, so that cells are narrow."""
+    found, far = [0], apart(rows, rows[:1])[:, 0]
+    while len(found) < min(n, len(rows)):
+        found.append(int(far.argmax()))
+        far = np.minimum(far, apart(rows, rows[found[-1] : found[-1] + 1])[:, 0])
+    return found
+
+
+def build(vectors: DataFrame) -> Index | None:
+    """The index of ``vectors`` (id, vector, and what else there is); None if there are none. Pivots are some of the vectors, about the square root of their number."""
+    rows = vectors.where("vector is not null").withColumns({"id": F.col("id").cast("long"), "vector": F.col("vector").cast("array<double>")})
+    rows = written(rows, "vectors")
+    n = rows.count()
+    if not n:
+        return None
+    wanted = int(min(MOST_PIVOTS, max(1, np.sqrt(n))))
+    share = F.shiftrightunsigned(F.xxhash64("id", "vector"), 11).cast("double") / F.lit(float(1 << 53))
+    sample = rows.where(share < min(1.0, 4 * wanted / n)).limit(8 * wanted).toPandas()  # a few for each pivot
+    sample = sample if len(sample) else rows.limit(1).toPandas()
+    distinct = np.unique(unit(sample.sort_values("id")["vector"].tolist()), axis=0)
+    centres = distinct[spread(distinct, wanted)]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            far = apart(unit(batch["vector"].tolist()), centres)
+            nearest = far.argmin(axis=1)
+            yield batch.assign(cell=nearest.astype("int32"), far=far[np.arange(len(far)), nearest])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    cells = written(rows.mapInPandas(assign, f"{schema}, cell int, far double"), "cells")
+    counts, least, most = np.zeros(len(centres), "int64"), np.zeros(len(centres)), np.zeros(len(centres))
+    for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("least"), F.max("far").alias("most")).collect():  # MOST_PIVOTS rows
+        counts[r["cell"]], least[r["cell"]], most[r["cell"]] = r["n"], r["least"], r["most"]
+    # a distance is exact to about the square root of a double's precision
+    return Index(Pivots(centres, counts, least - 1e-7, most + 1e-7), cells)
+
+
+def _met(index: Index, visits: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
+    """(query_id, id, similarity): the ``k`` best of each block for each of ``visits`` (query_id, vector, cell)."""
+    parts = np.maximum(1, -(-index.pivots.counts // HELD)).tolist()
+    of_cell = F.element_at(F.array(*(F.lit(p) for p in parts)), F.col("cell") + 1)
+    deals = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("tasks"))
+    deals = deals.select(F.col("cell").alias("_cell"), "tasks")
+    guests = visits.join(deals, F.col("cell") == F.col("_cell")).select(
+        "cell", F.explode(F.sequence(F.lit(0), of_cell - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector"
+    )
+    hosts = index.cells.join(deals, F.col("cell") == F.col("_cell")).select(
+        "cell", F.pmod(F.xxhash64("id"), of_cell).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "id", "vector"
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, ready = None, [], None
+        for batch in batches:
+            for key, part in batch.groupby(["cell", "block", "task"], sort=False):
+                if key != at:
+                    at, held, ready = key, [], None
+                own, asked = part[part["kind"] == 0], part[part["kind"] == 1]
+                if len(own):
+                    held.append(own)
+                if not len(asked) or not (held or ready):
+                    continue
+                if ready is None:
+                    own = pd.concat(held)
+                    ready, held = (own["id"].to_numpy(), unit(own["vector"].tolist())), []
+                ids, rows = ready
+                for first in range(0, len(asked), 128):
+                    some = asked.iloc[first : first + 128]
+                    names, near = some["id"].to_numpy(), alike(unit(some["vector"].tolist()), rows)
+                    if not include_self:
+                        near = np.where(names[:, None] == ids, -1.0, near)
+                    order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+                    out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order.ravel()], "similarity": np.take_along_axis(near, order, 1).ravel()})
+                    yield out[out["similarity"] >= least]
+
+    both = guests.unionByName(hosts).repartition("cell", "block", "task").sortWithinPartitions("cell", "block", "task", "kind")
+    return both.mapInPandas(run, "query_id long, id long, similarity double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, include_self: bool = True, index: Index | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the ``k`` most alike vectors of each query, similarity (1 + cos) / 2.
+
+    ``queries`` (query_id, vector) meet cells of the index of ``vectors`` (id, vector) in two
+    passes: cells that look nearest, until they hold ``k`` vectors besides the query itself,
+    then those that the k-th hit so far, or ``least``, does not rule out. Queries travel as
+    rows; only pivots and numbers of cells are broadcast. Similarities are rounded to 9
+    digits, ties go to the lesser id.
+    """
+    index = index or build(vectors)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+    asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    pivots, farthest = index.pivots, np.sqrt(max(0.0, 4 * (1 - least)) + SLACK)  # similarity s is a squared distance of 4 (1 - s)
+
+    def visited(second: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                bounds = pivots.bounds(unit(batch["vector"].tolist())) if len(batch) else np.zeros((0, len(pivots.counts)))
+                order = np.argsort(bounds, axis=1, kind="stable")
+                before = np.cumsum(pivots.counts[order], axis=1) - pivots.counts[order]
+                first = np.zeros(bounds.shape, bool)
+                np.put_along_axis(first, order, before <= k, 1)
+                if second:
+                    limit = np.sqrt(np.maximum(0.0, 4 * (1 - batch["bound"].to_numpy(dtype="float64"))) + SLACK)
+                    take = ~first & (bounds <= np.minimum(limit, farthest)[:, None])
+                else:
+                    take = first & (bounds <= farthest)
+                row, cell = np.nonzero(take & np.isfinite(bounds))
+                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": cell.astype("int32")})
+
+        return run
+
+    schema = "query_id long, vector array<double>, cell int"
+    some = written(_met(index, asked.mapInPandas(visited(False), schema), k, least, include_self), "near")
+    some = top_k(some, ["query_id"], k, F.desc("similarity"), F.asc("id"))
+    bound = some.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("similarity").alias("bound"))
+    left = asked.join(bound, F.col("query_id") == F.col("_q"), "left").select("query_id", "vector", F.coalesce("bound", F.lit(0.0)).alias("bound"))
+    more = _met(index, left.mapInPandas(visited(True), schema), k, least, include_self)
+    return top_k(some.drop("rank").unionByName(more), ["query_id"], k, F.desc("similarity"), F.asc("id"))

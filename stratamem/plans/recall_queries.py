@@ -10,6 +10,7 @@ from stratamem.functions import score as S
 from stratamem.operators import evaluation, keyword, rank, temporal, vector
 from stratamem.plans.catalogue import register
 from stratamem.plans.model import EVENTS_SQL, NOW, events, now, stamp
+from stratamem.sources.scratch import written
 from stratamem.sources.tables import table
 
 #: Query vectors and texts: every row whose id is divisible by 50, against all rows.
@@ -53,15 +54,15 @@ rankings as (
 @register("rrf_fusion", f"with {_RANKERS} select id, round(sum(1.0 / ({V.RRF_K} + rank)), 9) as score, row_number() over (order by round(sum(1.0 / ({V.RRF_K} + rank)), 9) desc, id) as rank from rankings group by id")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Three rankings of users, fused."""
-    users = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("ts").alias("last"))
+    users = written(table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("ts").alias("last")), "users")
     channels = [("count", "n"), ("sum", "total"), ("recent", "last")]
     found = None
     for name, column in channels:
-        one = rank.ranked(users.withColumns({"query_id": F.lit(1), "channel": F.lit(name)}), ["query_id"], F.desc(column), F.asc("id"))
-        one = one.select("query_id", "channel", "id", F.col("rank").alias("pos"))
+        one = rank.along(users.select("id", column), "rank", F.desc(column), F.asc("id"))
+        one = one.select(F.lit(1).alias("query_id"), F.lit(name).alias("channel"), "id", "rank")
         found = one if found is None else found.unionByName(one)
-    fused = rank.fuse(rank.dedupe_rankings(found)).withColumn("score", F.round("score", 9))
-    return rank.ranked(fused, ["query_id"], F.desc("score"), F.asc("id")).select("id", "score", F.col("rank").cast("long").alias("rank"))
+    fused = rank.fuse(found).select("id", F.round("score", 9).alias("score"))
+    return rank.along(fused, "rank", F.desc("score"), F.asc("id"))
 
 
 _SUPPLIERS = f"""
@@ -78,10 +79,10 @@ x as (select f.id, f.score, s.s_name || ' of ' || n.n_name as truth, p.parts as
 )
 def rrf_boosted(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers ranked twice, fused, raised by their page and backlinks."""
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.count_distinct("l_partkey").alias("parts"))
+    lines = written(table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.count_distinct("l_partkey").alias("parts")), "suppliers")
     both = None
     for name in ("revenue", "parts"):
-        one = rank.ranked(lines.withColumns({"query_id": F.lit(1), "channel": F.lit(name)}), ["query_id"], F.desc(name), F.asc("id")).select("query_id", "channel", "id", "rank")
+        one = rank.along(lines.select("id", name), "rank", F.desc(name), F.asc("id")).select(F.lit(1).alias("query_id"), F.lit(name).alias("channel"), "id", "rank")
         both = one if both is None else both.unionByName(one)
     named = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     pages = named.select(F.col("s_suppkey").alias("id"), F.concat_ws(" of ", "s_name", "n_name").alias("truth"))

@@ -2,56 +2,58 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamem.functions.text import content_hash
 from stratamem.operators import vector
+from stratamem.sources.scratch import written
 
 
-def exact(records: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """(uuid, keeper, duplicate) of records with equal content hashes within ``keys``; the first in ``order`` is kept."""
+def exact(records: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """(uuid, keeper, duplicate) of records with equal content hashes within ``keys``; the first in ``order`` is kept.
+
+    Keepers are combined before the shuffle, so one content may be that of most records.
+    """
     hashed = records.withColumn("hash", content_hash(F.col("content")))
-    group = Window.partitionBy(*keys, "hash").orderBy(*order)
-    return hashed.withColumn("keeper", F.first("uuid").over(group)).withColumn("duplicate", F.col("uuid") != F.col("keeper"))
+    first = hashed.groupBy(*(F.col(k).alias(f"_{k}") for k in [*keys, "hash"])).agg(F.min(F.struct(*order, F.col("uuid").alias("_uuid")))["_uuid"].alias("keeper"))
+    same = F.lit(True)
+    for k in [*keys, "hash"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = hashed.join(first, same).drop(*(f"_{k}" for k in [*keys, "hash"]))
+    return met.withColumn("duplicate", F.col("uuid") != F.col("keeper"))
 
 
 def greedy_merge(memories: DataFrame, least: float) -> DataFrame:
     """(group, uuid, merged_into): the sequential pass over memories (group, uuid, vector, pos), with no limit on neighbours.
 
     In order of position each memory that is still there takes in all later ones of its group
-    that are and whose similarity is ``least`` or more. A group is one task; its memories are
-    compared in blocks with those still there, and no pair becomes a row.
+    that are and whose similarity is ``least`` or more. That is the first independent set of
+    the near ones in this order, found in rounds: what has nothing undecided near before it
+    stays, and what is near to such a one goes. In the end each that goes is taken in by the
+    first that stays. Equal vectors share their fate, so only the first of them is compared.
+    Rounds are written tables over the pivot index; no pair is a row, and no group is a task.
     """
-    size = vector.BLOCK
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "uuid"], ignore_index=True)
-        uuid, unit = pdf["uuid"].to_numpy(), vector.unit(pdf["vector"].tolist())
-        left, out = np.arange(len(pdf)), []
-        while len(left):
-            block, left = left[:size], left[size:]
-            near, into = vector.alike(unit[block], unit[block]) >= least, np.full(len(block), -1)
-            for i in range(len(block)):
-                if into[i] < 0:
-                    taken = np.flatnonzero(near[i, i + 1 :] & (into[i + 1 :] < 0)) + i + 1
-                    into[taken] = i
-            out += [(uuid[block[j]], uuid[block[into[j]]]) for j in np.flatnonzero(into >= 0)]
-            keepers, rest = block[into < 0], []
-            for first in range(0, len(left), 8 * size):
-                later = left[first : first + 8 * size]
-                near = vector.alike(unit[keepers], unit[later]) >= least
-                met, keeper = near.any(axis=0), near.argmax(axis=0)
-                out += zip(uuid[later[met]], uuid[keepers[keeper[met]]], strict=True)
-                rest.append(later[~met])
-            left = np.concatenate(rest) if rest else left
-        found = pd.DataFrame(out, columns=["uuid", "merged_into"])
-        found.insert(0, "group", pdf["group"].iloc[0])
-        return found
-
-    return memories.groupBy("group").applyInPandas(run, "group long, uuid long, merged_into long")
+    rows = memories.where("group is not null and vector is not null").select("group", F.col("uuid").cast("long").alias("uuid"), F.col("pos").cast("long").alias("pos"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = written(rows, "memories")
+    heads = written(rows.groupBy("group", "vector").agg(F.min(F.struct("pos", "uuid")).alias("_f")).select("group", "vector", F.col("_f.uuid").alias("id"), F.col("_f.pos").alias("pos")), "heads")
+    index = vector.build(heads)
+    if index is None:
+        return rows.select("group", "uuid", F.col("uuid").alias("merged_into"))
+    pivots, undecided, kept = index.pivots, index.cells, []
+    while undecided.limit(1).count():
+        blocked = written(vector.first_near(pivots, undecided, undecided, least), "blocked")
+        staying = written(undecided.join(blocked, "id", "left_anti"), "staying")
+        kept.append(staying)
+        rest = undecided.join(blocked, "id", "left_semi")
+        undecided = written(rest.join(vector.first_near(pivots, rest, staying, least), "id", "left_anti"), "undecided")
+    keepers = kept[0]
+    for some in kept[1:]:
+        keepers = keepers.unionByName(some)
+    gone = vector.first_near(pivots, index.cells.join(keepers.select("id"), "id", "left_anti"), keepers, least)
+    fate = written(heads.select("group", "vector", "id").join(gone, "id", "left").select(F.col("group").alias("_g"), F.col("vector").alias("_v"), F.coalesce("host", "id").alias("merged_into")), "fates")
+    met = rows.join(fate, (F.col("group") == F.col("_g")) & (F.col("vector") == F.col("_v")))
+    return met.where("uuid <> merged_into").select("group", "uuid", "merged_into")
 
 
 def daily_digest(memories: DataFrame, now: Column, hours: int = 24, least: float = 0.88) -> DataFrame:
@@ -62,11 +64,9 @@ def daily_digest(memories: DataFrame, now: Column, hours: int = 24, least: float
     ones, by vector (``semantic``); one without a vector has no near ones.
     """
     open_ = memories.where((F.col("created_at") >= now - F.make_dt_interval(hours=F.lit(hours))) & (F.coalesce("lifecycle_status", F.lit("active")) == "active") & F.col("daily_run").isNull())
-    order = F.asc("created_at"), F.asc("uuid")
-    judged = exact(open_, ["group"], *order)
+    judged = exact(open_, ["group"], ["created_at", "uuid"])
     left = judged.where("not duplicate and vector is not null")
-    place = F.row_number().over(Window.partitionBy("group").orderBy(*order)).cast("long")
-    near = greedy_merge(left.select("group", "uuid", "vector", place.alias("pos")), least)
+    near = greedy_merge(left.select("group", "uuid", "vector", F.unix_micros(F.col("created_at").cast("timestamp")).alias("pos")), least)
     copies = judged.where("duplicate").select("uuid", F.col("keeper").alias("merged_into"), F.lit("exact").alias("step"))
     return copies.unionByName(near.select("uuid", "merged_into", F.lit("semantic").alias("step")))
 

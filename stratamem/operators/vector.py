@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from stratamem.operators.rank import top_k
 from stratamem.sources.scratch import written
 
-#: Rows that one comparison in numpy takes on a side.
-BLOCK = 1024
+#: Guests that one comparison in numpy takes.
+STRIP = 128
 #: Vectors of a cell that one task holds; larger cells are dealt over several.
-HELD = 8192
+BLOCK = 8192
 #: Queries that meet a block of a cell in one task, at most.
 GUESTS = 32_768
 #: Pivots, at most.
@@ -112,45 +112,87 @@ def build(vectors: DataFrame) -> Index | None:
     return Index(Pivots(centres, counts, least - 1e-7, most + 1e-7), cells)
 
 
+def _dealt(pivots: Pivots, visits: DataFrame, hosts: DataFrame, group: bool) -> DataFrame:
+    """Vectors of ``hosts`` (kind 0) and the ``visits`` that meet them (kind 1), each block with its guests in one task, hosts first.
+
+    A block has ``BLOCK`` vectors of a cell at most, a task ``GUESTS`` visits; with ``group``
+    vectors of different groups do not meet.
+    """
+    keys = ["cell", "group"] if group else ["cell"]
+    deals = visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("_tasks"))
+    sizes = hosts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    met = deals.join(sizes, keys).select(*(F.col(c).alias(f"_{c}") for c in keys), "_tasks", "_blocks")
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    columns = [c for c in visits.columns if c not in keys]
+    block, task = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("_tasks")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = visits.join(met, same).select(*keys, every("_blocks").alias("block"), task.alias("task"), F.lit(1).alias("kind"), *columns)
+    right = hosts.join(met, same).select(*keys, block.alias("block"), every("_tasks").alias("task"), F.lit(0).alias("kind"), *columns)
+    place = [*keys, "block", "task"]
+    return left.unionByName(right).repartition(*place).sortWithinPartitions(*place, "kind")
+
+
+def _pairs(batches: Iterator[pd.DataFrame], keys: list[str], ready) -> Iterator[tuple]:
+    """(``ready`` of a block's hosts, some of its guests) along rows in the order of ``_dealt``."""
+    at, held, block = None, [], None
+    for batch in batches:
+        for key, part in batch.groupby(keys, sort=False):
+            if key != at:
+                at, held, block = key, [], None
+            own, asked = part[part["kind"] == 0], part[part["kind"] == 1]
+            if len(own):
+                held.append(own)
+            if len(asked) and (held or block is not None):
+                if block is None:
+                    block, held = ready(pd.concat(held)), []
+                for first in range(0, len(asked), STRIP):
+                    yield block, asked.iloc[first : first + STRIP]
+
+
 def _met(index: Index, visits: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
-    """(query_id, id, similarity): the ``k`` best of each block for each of ``visits`` (query_id, vector, cell)."""
-    parts = np.maximum(1, -(-index.pivots.counts // HELD)).tolist()
-    of_cell = F.element_at(F.array(*(F.lit(p) for p in parts)), F.col("cell") + 1)
-    deals = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("tasks"))
-    deals = deals.select(F.col("cell").alias("_cell"), "tasks")
-    guests = visits.join(deals, F.col("cell") == F.col("_cell")).select(
-        "cell", F.explode(F.sequence(F.lit(0), of_cell - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector"
-    )
-    hosts = index.cells.join(deals, F.col("cell") == F.col("_cell")).select(
-        "cell", F.pmod(F.xxhash64("id"), of_cell).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "id", "vector"
-    )
+    """(query_id, id, similarity): the ``k`` best of each block for each of ``visits`` (id, vector, cell)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, ready = None, [], None
+        for (ids, rows), some in _pairs(batches, ["cell", "block", "task"], lambda own: (own["id"].to_numpy(), unit(own["vector"].tolist()))):
+            names, near = some["id"].to_numpy(), alike(unit(some["vector"].tolist()), rows)
+            if not include_self:
+                near = np.where(names[:, None] == ids, -1.0, near)
+            order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+            out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order.ravel()], "similarity": np.take_along_axis(near, order, 1).ravel()})
+            yield out[out["similarity"] >= least]
+
+    return _dealt(index.pivots, visits, index.cells.select("cell", "id", "vector"), group=False).mapInPandas(run, "query_id long, id long, similarity double")
+
+
+def first_near(pivots: Pivots, guests: DataFrame, hosts: DataFrame, least: float) -> DataFrame:
+    """(id, host): for each of ``guests`` the first of ``hosts`` in the order of (pos, id) that comes before it in
+    its group and is alike by ``least`` or more. Both are (cell, id, group, pos, vector), rows of an index; no pair is a row."""
+    limit = np.sqrt(max(0.0, 4 * (1 - least)) + SLACK)
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, part in batch.groupby(["cell", "block", "task"], sort=False):
-                if key != at:
-                    at, held, ready = key, [], None
-                own, asked = part[part["kind"] == 0], part[part["kind"] == 1]
-                if len(own):
-                    held.append(own)
-                if not len(asked) or not (held or ready):
-                    continue
-                if ready is None:
-                    own = pd.concat(held)
-                    ready, held = (own["id"].to_numpy(), unit(own["vector"].tolist())), []
-                ids, rows = ready
-                for first in range(0, len(asked), 128):
-                    some = asked.iloc[first : first + 128]
-                    names, near = some["id"].to_numpy(), alike(unit(some["vector"].tolist()), rows)
-                    if not include_self:
-                        near = np.where(names[:, None] == ids, -1.0, near)
-                    order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
-                    out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order.ravel()], "similarity": np.take_along_axis(near, order, 1).ravel()})
-                    yield out[out["similarity"] >= least]
-
-    both = guests.unionByName(hosts).repartition("cell", "block", "task").sortWithinPartitions("cell", "block", "task", "kind")
-    return both.mapInPandas(run, "query_id long, id long, similarity double")
+            if len(batch):
+                row, cell = np.nonzero(pivots.bounds(unit(batch["vector"].tolist())) <= limit)
+                yield batch.iloc[row].assign(cell=cell.astype("int32"))
+
+    def ready(own: pd.DataFrame) -> tuple:
+        own = own.sort_values(["pos", "id"])
+        return own["pos"].to_numpy(), own["id"].to_numpy(), unit(own["vector"].tolist())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (places, ids, rows), some in _pairs(batches, ["cell", "group", "block", "task"], ready):
+            pos, names = some["pos"].to_numpy()[:, None], some["id"].to_numpy()[:, None]
+            near = (alike(unit(some["vector"].tolist()), rows) >= least) & ((places < pos) | ((places == pos) & (ids < names)))
+            first = near.argmax(axis=1)
+            out = pd.DataFrame({"id": names[:, 0], "pos": places[first], "host": ids[first]})
+            yield out[near.any(axis=1)]
+
+    columns = ["cell", "group", "id", "pos", "vector"]
+    visits = guests.select(*columns).mapInPandas(visit, "cell int, group long, id long, pos long, vector array<double>")
+    found = _dealt(pivots, visits, hosts.select(*columns), group=True).mapInPandas(run, "id long, pos long, host long")
+    return found.groupBy("id").agg(F.min(F.struct("pos", "host"))["host"].alias("host"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, include_self: bool = True, index: Index | None = None) -> DataFrame:
@@ -182,11 +224,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0,
                 else:
                     take = first & (bounds <= farthest)
                 row, cell = np.nonzero(take & np.isfinite(bounds))
-                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": cell.astype("int32")})
+                yield pd.DataFrame({"id": batch["query_id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": cell.astype("int32")})
 
         return run
 
-    schema = "query_id long, vector array<double>, cell int"
+    schema = "id long, vector array<double>, cell int"
     some = written(_met(index, asked.mapInPandas(visited(False), schema), k, least, include_self), "near")
     some = top_k(some, ["query_id"], k, F.desc("similarity"), F.asc("id"))
     bound = some.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("similarity").alias("bound"))

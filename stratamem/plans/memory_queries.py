@@ -46,7 +46,7 @@ def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
 def session_compaction(spark: SparkSession, d: str) -> DataFrame:
     """Copies within a session; the newest stays."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("uuid"), F.col("text").alias("content"))
-    return compaction.exact(rows, ["conv_id"], F.desc("turn")).select("conv_id", "turn", "keeper", "duplicate")
+    return compaction.exact(rows, ["conv_id"], [-F.col("turn")]).select("conv_id", "turn", "keeper", "duplicate")
 
 
 _DAY = f"created_at >= {NOW} - interval 30 day"
@@ -60,7 +60,7 @@ def _exact_sql(since: str) -> str:
 def _exact_events(spark: SparkSession, d: str, since: str) -> DataFrame:
     rows = events(spark, d).where(F.col("created_at") >= now() - F.expr(since))
     rows = rows.withColumn("content", F.concat_ws(" ", "memory_type", "props"))
-    return compaction.exact(rows, ["group_id"], F.asc("created_at"), F.asc("uuid")).select("group_id", "uuid", "keeper", "duplicate")
+    return compaction.exact(rows, ["group_id"], ["created_at", "uuid"]).select("group_id", "uuid", "keeper", "duplicate")
 
 
 @register("daily_digest_exact", _exact_sql(f"created_at >= {NOW} - interval 10 day"))
@@ -96,7 +96,7 @@ def semantic_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("semantic_greedy_merge")
 def semantic_greedy_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The sequential merge of near memories, all neighbours of the label, one task per label."""
+    """The sequential merge of near memories, all neighbours of the label."""
     memories = table(spark, d, "embeddings").select(
         F.col("label").cast("long").alias("group"), F.col("vec_id").cast("long").alias("uuid"), F.col("embedding").alias("vector"), F.col("vec_id").alias("pos")
     )

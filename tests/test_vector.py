@@ -17,10 +17,10 @@ def plain(queries, vectors, k, least, include_self):
     return out
 
 
-@pytest.mark.parametrize("held,guests", [(vector.HELD, vector.GUESTS), (30, 4)])
+@pytest.mark.parametrize("held,guests", [(vector.BLOCK, vector.GUESTS), (30, 4)])
 @pytest.mark.parametrize("include_self,least", [(True, 0.0), (False, 0.9)])
 def test_nearest_is_whole(spark, monkeypatch, held, guests, include_self, least):
-    monkeypatch.setattr(vector, "HELD", held)
+    monkeypatch.setattr(vector, "BLOCK", held)
     monkeypatch.setattr(vector, "GUESTS", guests)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 6))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratamem.functions import fixed as V
 from stratamem.functions import forms, guard
-from stratamem.operators import compaction, ingest, lifecycle, sessions
+from stratamem.operators import compaction, handoff, ingest, lifecycle, sessions
 from stratamem.plans import memory_queries as M
 from stratamem.plans.catalogue import ORACLES, register
 from stratamem.plans.model import EVENTS_SQL, NOW, events, now, stamp
@@ -235,3 +235,28 @@ def backfill_rollback(spark: SparkSession, d: str) -> DataFrame:
     undone = sinks.undo_backfill(filled, "valid_to", rows.where("valid_to is null"), ["uuid"])
     counts = [sinks.pending(x, ["valid_to"]).withColumnRenamed("pending", name) for x, name in ((rows, "before"), (filled, "after_fill"), (undone, "after_undo"))]
     return counts[0].join(counts[1], "column").join(counts[2], "column")
+
+
+_HANDOFFS = "with r as (select o_orderkey as id, o_custkey % 50 as g, o_orderpriority as k, o_orderdate as ts, min(o_orderkey) over (partition by o_custkey % 50, o_orderpriority, o_orderdate) as first from orders)"
+
+
+@register("handoff_save", f"{_HANDOFFS} select id as request_id, first as answered_by, id <> first as hit from r")
+def handoff_save(spark: SparkSession, d: str) -> DataFrame:
+    """Handoffs saved in two batches, the second of which repeats some of the first; which request made the handoff each gets."""
+    store = handoff.tables(spark, f"{shared_folder(spark)}/stratamem/handoffs-{uuid.uuid4().hex}")
+    orders = table(spark, d, "orders")
+    asked = orders.select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(F.lit("g"), (F.col("o_custkey") % 50).cast("string")).alias("group_id"),
+        F.col("o_orderkey").cast("string").alias("session_id"),
+        F.concat(F.lit("ship order "), F.col("o_orderkey").cast("string")).alias("task"),
+        F.to_json(F.struct("o_totalprice")).alias("data"),
+        F.col("o_orderpriority").alias("idempotency_key"),
+        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=F.lit(0))).alias("at"),
+    )
+    # of equal times the least id comes first; the ids of requests are what the handoffs' follow from
+    first = asked.groupBy("group_id", "idempotency_key", "at").agg(F.min("request_id").alias("request_id"))
+    handoff.save(store, asked.join(first.select("request_id"), "request_id", "left_semi"))
+    found = handoff.save(store, asked)
+    made = store.read("episodes").select("episode_id", F.col("request_id").alias("answered_by"))
+    return found.join(made, "episode_id").select("request_id", "answered_by", (F.col("request_id") != F.col("answered_by")).alias("hit"))

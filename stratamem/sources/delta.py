@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,33 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
 
 
+def put(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Write a small file; False if it is there already and is not to be replaced, which the file system decides."""
+    from py4j.protocol import Py4JJavaError
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, replace)
+    except Py4JJavaError as error:
+        if not replace and "exist" in str(error.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def got(spark: SparkSession, path: str) -> str:
+    """The first line of a small file; empty if its writer did not end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark._jvm.java.io.InputStreamReader(place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place))
+    reader = spark._jvm.java.io.BufferedReader(stream)
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def kept_first(keys: list[str]) -> Merge:
     """The first version's row of each key."""
 
@@ -55,28 +83,44 @@ class DeltaTables:
     def __init__(self, spark: SparkSession, root: str, merges: dict[str, Merge | None]):
         self.spark, self.root, self.merges = spark, root.rstrip("/"), merges
 
-    def versions(self, before: int | None = None) -> tuple[int | None, list[int]]:
-        """The latest base, and the versions committed after it, all under ``before``."""
+    def versions(self, before: int | None = None) -> tuple[str | None, list[str]]:
+        """The folder of the latest base, and of the versions committed after it, all under ``before``, in order."""
+        base, deltas = self._found(before)
+        return (None if base is None else f"base-{base}"), [f"delta-{v}{n}" for v, n in deltas]
+
+    def _found(self, before: int | None) -> tuple[int | None, list[tuple[int, str]]]:
         found: dict[str, list[int]] = {"base": [], "delta": []}
         for name in listed(self.spark, f"{self.root}/_log"):
-            if (m := re.fullmatch(r"(base|delta)-(\d+)", name)) and (before is None or int(m[2]) < before) and "_SUCCESS" in listed(self.spark, f"{self.root}/_log/{name}"):
+            if (m := re.fullmatch(r"(base|delta)-(\d+)", name)) and (before is None or int(m[2]) < before):
                 found[m[1]].append(int(m[2]))
         base = max(found["base"], default=None)
-        return base, sorted(v for v in found["delta"] if base is None or v > base)
+        names = [(v, got(self.spark, f"{self.root}/_log/delta-{v}")) for v in sorted(found["delta"]) if base is None or v > base]
+        return base, [(v, "" if n == "-" else f"-{n}") for v, n in names if n]
 
-    def _mark(self, kind: str, version: int) -> None:
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{self.root}/_log/{kind}-{version}")
+    def next_version(self) -> int:
+        """The first version that no writer has begun to commit."""
+        taken = [int(m[1]) for name in listed(self.spark, f"{self.root}/_log") if (m := re.fullmatch(r"(?:base|delta)-(\d+)", name))]
+        return max(taken, default=-1) + 1
 
-    def commit(self, version: int, deltas: dict[str, DataFrame]) -> None:
-        """Write the version; until its marker is there nothing of it is read."""
+    def _write(self, folder: str, deltas: dict[str, DataFrame], version: int) -> None:
         for name, rows in deltas.items():
-            rows.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.root}/{name}/delta-{version}")
-        self._mark("delta", version)
+            rows.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.root}/{name}/{folder}")
+
+    def commit(self, version: int, deltas: dict[str, DataFrame]) -> None:
+        """Write the version, over itself if it is there; until its marker is there nothing of it is read."""
+        self._write(f"delta-{version}", deltas, version)
+        put(self.spark, f"{self.root}/_log/delta-{version}", "-", replace=True)
+
+    def commit_if_absent(self, version: int, deltas: dict[str, DataFrame]) -> bool:
+        """Write the version unless another writer has taken it, which leaves no trace that is read."""
+        own = uuid.uuid4().hex
+        self._write(f"delta-{version}-{own}", deltas, version)
+        return put(self.spark, f"{self.root}/_log/delta-{version}", own)
 
     def read(self, name: str, before: int | None = None) -> DataFrame | None:
         """The table as of all versions under ``before``; None if there is none."""
         base, deltas = self.versions(before)
-        paths = ([f"{self.root}/{name}/base-{base}"] if base is not None else []) + [f"{self.root}/{name}/delta-{v}" for v in deltas]
+        paths = [f"{self.root}/{name}/{folder}" for folder in ([base] if base else []) + deltas]
         if not paths:
             return None
         schema = self.spark.read.parquet(paths[-1]).schema
@@ -85,8 +129,9 @@ class DeltaTables:
 
     def compact(self, before: int) -> None:
         """Fold the versions under ``before`` into a base; leave out the last ones that may still be written again."""
-        _, deltas = self.versions(before)
+        _, deltas = self._found(before)
         if deltas:
+            last = deltas[-1][0]
             for name in self.merges:
-                self.read(name, before).write.mode("overwrite").parquet(f"{self.root}/{name}/base-{deltas[-1]}")
-            self._mark("base", deltas[-1])
+                self.read(name, before).write.mode("overwrite").parquet(f"{self.root}/{name}/base-{last}")
+            put(self.spark, f"{self.root}/_log/base-{last}", "-", replace=True)

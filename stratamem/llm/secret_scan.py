@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.llm.shared import materialise
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -123,6 +125,10 @@ def trigram_query(pattern: str) -> Query:
     return _and(query, _trigrams_of(strings)) if strings else query
 
 
+#: Documents of a block of the index, about.
+BLOCK_DOCS = 4096
+
+
 def _needed(queries: dict[str, Query]) -> list[str]:
     return sorted({g for q in queries.values() for alternative in q for g in alternative})
 
@@ -137,24 +143,39 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     return low.select("doc_id", F.explode(present).alias("trigram"))
 
 
+def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """(block, trigram, ids): the inverted index of ``docs`` (doc_id, content), a written table of sorted posting lists.
+
+    Documents are dealt by id into blocks of about ``BLOCK_DOCS``, the same for every trigram,
+    so a list is bounded even for a trigram that nearly every document has, and lists that
+    are to be intersected lie in one block. Ids that repeat are one entry, combined before
+    the shuffle.
+    """
+    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    entries = postings(docs, trigrams).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    return materialise(entries.groupBy("block", "trigram").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")), "trigram-index")
+
+
+def _of_kind(ids: Column, kind: str) -> Column:
+    """The ids as structs with the rule's kind."""
+    return F.transform(ids, lambda i: F.struct(i.alias("doc_id"), F.lit(kind).alias("kind")))
+
+
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(doc_id, kinds): documents whose postings meet a rule's query, with the kinds of those rules.
+    """(doc_id, kinds): documents in the posting lists that a rule's query asks for, with the kinds of those rules.
 
-    The postings of an alternative's trigrams are intersected by counting a document's
-    entries among them, which are combined before the shuffle; the work is keyed by
-    document, so a trigram that nearly every document has is no hot key. Rows that share an
-    id may count a trigram twice, which can only add a candidate. The rules are literals of
-    the plan.
+    In each block the lists of an alternative's trigrams are intersected, and alternatives
+    united. The rules are literals of the plan.
     """
+    wanted = index.where(F.col("trigram").isin(_needed(queries)))
+    blocks = wanted.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("lists"))
+    none = F.array().cast(index.schema["ids"].dataType)
     met = []
     for kind, query in queries.items():
-        size = [
-            F.sum(F.when(F.col("trigram").isin(*sorted(alternative)), 1).otherwise(0)) >= len(alternative)
-            for alternative in sorted(query, key=sorted)
-        ]
-        met.append(F.when(reduce(lambda a, b: a | b, size), F.lit(kind)))
-    found = index.groupBy("doc_id").agg(F.array_compact(F.array(*met)).alias("kinds"))
-    return found.where(F.size("kinds") > 0)
+        alternatives = [reduce(F.array_intersect, [F.coalesce(F.try_element_at("lists", F.lit(g)), none) for g in sorted(a)]) for a in sorted(query, key=sorted)]
+        met.append(_of_kind(reduce(F.array_union, alternatives), kind))
+    hits = blocks.select(F.explode(F.concat(*met)).alias("hit")).select("hit.doc_id", "hit.kind")
+    return hits.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans(content: Column, rule: Rule) -> Column:
@@ -206,7 +227,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     queries = {r.kind: q for r in RULES if (q := trigram_query(r.pattern)) != ANY}
-    index = postings(rows.where(F.col("doc_id").isNotNull()), _needed(queries))
+    index = build_index(rows.where(F.col("doc_id").isNotNull()), _needed(queries))
     named = candidates(index, queries)
     joined = rows.join(named.withColumnRenamed("doc_id", "_named"), F.col("doc_id") == F.col("_named"), "left")
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")

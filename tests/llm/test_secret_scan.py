@@ -74,3 +74,16 @@ def test_trigram_queries_hold_for_every_match():
     assert S.trigram_query("[0-9a-f]+") == S.ANY
     assert S.trigram_query("a?bc") == S.ANY
     assert S.trigram_query("abcd|x(yz)+w") == frozenset({frozenset({"abc", "bcd"}), frozenset()}) or S.ANY
+
+
+def test_posting_lists_are_intersected(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_DOCS", 2)  # several blocks
+    rows = [(1, "abc bcd"), (2, "abc"), (3, "bcd"), (4, "xyz"), (5, "ABCD"), (5, "none"), (6, "xyz abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    queries = {"both": frozenset({frozenset({"abc", "bcd"})}), "either": frozenset({frozenset({"xyz"}), frozenset({"abc", "bcd"})})}
+    index = S.build_index(docs, ["abc", "bcd", "xyz"])
+    lists = {}
+    for r in index.collect():
+        lists.setdefault(r["trigram"], []).extend(r["ids"])
+    assert {g: sorted(x) for g, x in lists.items()} == {"abc": [1, 2, 5, 6], "bcd": [1, 3, 5], "xyz": [4, 6]}
+    assert {r["doc_id"]: sorted(r["kinds"]) for r in S.candidates(index, queries).collect()} == {1: ["both", "either"], 4: ["either"], 5: ["both", "either"], 6: ["either"]}

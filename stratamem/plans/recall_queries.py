@@ -256,12 +256,11 @@ def bitemporal_both(spark: SparkSession, d: str) -> DataFrame:
     f"with e as ({EVENTS_SQL}), a as (select unnest(range(timestamp '2024-01-01', timestamp '2024-02-01', interval 1 day)) as t0) select strftime(t0, '%Y-%m-%d') as day, count(*) as n, round(sum(importance), 6) as importance from a join e on created_at <= t0 and (valid_to is null or valid_to >= t0) group by 1",
 )
 def as_of_many_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """How much was true at each of many times; each validity is dealt to the days it covers, an equi-join."""
-    e = events(spark, d).withColumn("until", F.coalesce("valid_to", F.expr("timestamp_ntz '2024-01-31 00:00:00'")))
-    first = F.date_trunc("day", F.col("created_at") + F.expr("interval 86399999999 microsecond")).cast("timestamp_ntz")
-    last = F.least(F.date_trunc("day", "until").cast("timestamp_ntz"), F.expr("timestamp_ntz '2024-01-31 00:00:00'"))
-    days = e.withColumns({"a": first, "b": last}).where("a <= b").select("importance", F.explode(F.sequence(F.col("a"), F.col("b"), F.expr("interval 1 day"))).alias("at"))
-    return days.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 6).alias("importance"))
+    """How much was true at each of many times, met over a tree of days."""
+    e = events(spark, d).select("importance", F.col("created_at").alias("start"), F.col("valid_to").alias("end"))
+    days = spark.range(31).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("at"))
+    met = temporal.holding(e, days, 86400)
+    return met.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 6).alias("importance"))
 
 
 @register(

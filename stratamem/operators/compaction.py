@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem.functions.text import content_hash
 from stratamem.operators import vector
+from stratamem.sources.delta import DeltaTables, kept_first
 from stratamem.sources.scratch import written
 
 
@@ -71,6 +72,50 @@ def daily_digest(memories: DataFrame, now: Column, hours: int = 24, least: float
     return copies.unionByName(near.select("uuid", "merged_into", F.lit("semantic").alias("step")))
 
 
+def digest_store(spark: SparkSession, root: str) -> DeltaTables:
+    """What runs of ``digest_batch`` leave below ``root``: a marker for each memory dealt with, the first memory of each content, the memories that took in others or may yet."""
+    return DeltaTables(spark, root, {"markers": None, "contents": kept_first(["group", "hash"]), "keepers": None})
+
+
+def digest_batch(store: DeltaTables, arriving: DataFrame, run: int, least: float = 0.88) -> None:
+    """One run of the digest over memories (group, uuid, content, vector, created_at) that came since the run before.
+
+    A run reads what arrives, and of earlier runs the first memory of each content and the
+    keepers of the groups that something arrives in; what was merged away is never read
+    again. Runs over windows in the order of time leave what one run over all would, and a
+    run that is repeated replaces itself. Each memory gets a marker (uuid, merged_into, step).
+    """
+    pos = F.unix_micros(F.col("created_at").cast("timestamp"))
+    rows = arriving.select("group", F.col("uuid").cast("long").alias("uuid"), pos.alias("pos"), F.col("vector").cast("array<double>").alias("vector"), content_hash(F.col("content")).alias("hash"))
+    rows = written(rows, "arriving")
+    known, keepers = store.read("contents", before=run), store.read("keepers", before=run)
+    same = (F.col("group").eqNullSafe(F.col("_g"))) & F.col("hash").eqNullSafe(F.col("_h"))
+    first = rows.groupBy(F.col("group").alias("_g"), F.col("hash").alias("_h")).agg(F.min(F.struct("pos", "uuid"))["uuid"].alias("_first"))
+    if known is not None:
+        before = known.select(F.col("group").alias("_kg"), F.col("hash").alias("_kh"), F.col("uuid").alias("_known"))
+        first = first.join(before, F.col("_g").eqNullSafe(F.col("_kg")) & F.col("_h").eqNullSafe(F.col("_kh")), "left").select("_g", "_h", F.coalesce("_known", "_first").alias("_first"))
+    judged = written(rows.join(first, same).drop("_g", "_h"), "judged")
+    copies = judged.where("uuid <> _first").select("uuid", F.col("_first").alias("merged_into"), F.lit("exact").alias("step"))
+    new = judged.where("uuid = _first and vector is not null and group is not null").select("group", "uuid", "pos", "vector")
+    near = None
+    if keepers is not None:
+        old = written(keepers.join(new.select("group").distinct(), "group", "left_semi").select("group", F.col("uuid").alias("id"), "pos", "vector"), "touched")
+        index = vector.build(old)
+        if index is not None:
+            # earlier keepers come before all that arrives, so each of these takes its share first
+            guests = new.select("group", F.col("uuid").alias("id"), "pos", "vector", F.lit(0).alias("cell"))
+            taken = written(vector.first_near(index.pivots, guests, index.cells, least), "taken")
+            near = taken.select(F.col("id").alias("uuid"), F.col("host").alias("merged_into"))
+            new = new.join(taken.select(F.col("id").alias("uuid")), "uuid", "left_anti")
+    new = written(new, "fresh")
+    among = written(greedy_merge(new, least), "among").select("uuid", "merged_into")
+    near = among if near is None else near.unionByName(among)
+    staying = new.join(among.select("uuid"), "uuid", "left_anti")
+    merged = copies.unionByName(near.withColumn("step", F.lit("semantic")))
+    marks = rows.select("uuid").join(merged, "uuid", "left")
+    store.commit(run, {"markers": marks, "contents": judged.where("uuid = _first").select("group", "hash", "uuid"), "keepers": staying})
+
+
 def digest_stats(memories_checked: DataFrame, merges: DataFrame) -> DataFrame:
     """(total_checked, merged_count, exact, semantic): one row about a run."""
     done = merges.agg(F.count(F.lit(1)).alias("merged_count"), F.count_if(F.col("step") == "exact").alias("exact"), F.count_if(F.col("step") == "semantic").alias("semantic"))

@@ -260,3 +260,14 @@ def handoff_save(spark: SparkSession, d: str) -> DataFrame:
     found = handoff.save(store, asked)
     made = store.read("episodes").select("episode_id", F.col("request_id").alias("answered_by"))
     return found.join(made, "episode_id").select("request_id", "answered_by", (F.col("request_id") != F.col("answered_by")).alias("hit"))
+
+
+@register("digest_runs", "with d as (select doc_id as uuid, doc_id % 7 as g, lower(trim(text)) as t from documents) select uuid, case when min(uuid) over (partition by g, t) <> uuid then min(uuid) over (partition by g, t) end as merged_into from d")
+def digest_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Copies that two runs of the digest mark, the second of which reads what came since and what it touches."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("uuid"), (F.col("doc_id") % 7).alias("group"), F.trim(F.coalesce("text", F.lit(""))).alias("content"), F.lit(None).cast("array<double>").alias("vector"), F.timestamp_seconds("doc_id").alias("created_at"))
+    store = compaction.digest_store(spark, f"{shared_folder(spark)}/stratamem/digest-{uuid.uuid4().hex}")
+    half = docs.agg(F.max("uuid")).first()[0]
+    for run, part in enumerate((docs.where(F.col("uuid") * 2 < half), docs.where(F.col("uuid") * 2 >= half))):
+        compaction.digest_batch(store, part, run)
+    return store.read("markers").select("uuid", "merged_into")

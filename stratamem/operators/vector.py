@@ -41,6 +41,19 @@ class Pivots:
     least: np.ndarray
     most: np.ndarray
 
+    @property
+    def homes(self) -> np.ndarray:
+        """The block of each cell: cells side by side along the widest direction share one, up to ``BLOCK`` vectors."""
+        centred = self.centres - self.centres.mean(axis=0)
+        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+        found, block, filled = np.zeros(len(along), "int32"), 0, 0
+        for cell in np.argsort(along, kind="stable"):
+            if filled and filled + self.counts[cell] > BLOCK:
+                block, filled = block + 1, 0
+            found[cell] = block
+            filled += self.counts[cell]
+        return found
+
     def bounds(self, unit_rows: np.ndarray) -> np.ndarray:
         """For each row and cell a distance that no vector of the cell is nearer than."""
         far = apart(unit_rows, self.centres)
@@ -151,6 +164,19 @@ def _pairs(batches: Iterator[pd.DataFrame], keys: list[str], ready) -> Iterator[
                     yield block, asked.iloc[first : first + STRIP]
 
 
+def of_blocks(cells: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """For each row the blocks that have one of its cells."""
+    found = np.zeros((len(cells), int(homes.max()) + 1), bool)
+    row, cell = np.nonzero(cells)
+    found[row, homes[cell]] = True
+    return found
+
+
+def at_home(rows: DataFrame, homes: np.ndarray) -> DataFrame:
+    """``rows`` with their block in the place of their ``cell``."""
+    return rows.withColumn("cell", F.element_at(F.array(*(F.lit(int(x)) for x in homes)), F.col("cell") + 1))
+
+
 def _met(index: Index, visits: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
     """(query_id, id, similarity): the ``k`` best of each block for each of ``visits`` (id, vector, cell)."""
 
@@ -163,7 +189,7 @@ def _met(index: Index, visits: DataFrame, k: int, least: float, include_self: bo
             out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order.ravel()], "similarity": np.take_along_axis(near, order, 1).ravel()})
             yield out[out["similarity"] >= least]
 
-    return _dealt(index.pivots, visits, index.cells.select("cell", "id", "vector"), group=False).mapInPandas(run, "query_id long, id long, similarity double")
+    return _dealt(index.pivots, visits, at_home(index.cells.select("cell", "id", "vector"), index.pivots.homes), group=False).mapInPandas(run, "query_id long, id long, similarity double")
 
 
 def first_near(pivots: Pivots, guests: DataFrame, hosts: DataFrame, least: float) -> DataFrame:
@@ -171,11 +197,13 @@ def first_near(pivots: Pivots, guests: DataFrame, hosts: DataFrame, least: float
     its group and is alike by ``least`` or more. Both are (cell, id, group, pos, vector), rows of an index; no pair is a row."""
     limit = np.sqrt(max(0.0, 4 * (1 - least)) + SLACK)
 
+    homes = pivots.homes
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                row, cell = np.nonzero(pivots.bounds(unit(batch["vector"].tolist())) <= limit)
-                yield batch.iloc[row].assign(cell=cell.astype("int32"))
+                row, block = np.nonzero(of_blocks(pivots.bounds(unit(batch["vector"].tolist())) <= limit, homes))
+                yield batch.iloc[row].assign(cell=block.astype("int32"))
 
     def ready(own: pd.DataFrame) -> tuple:
         own = own.sort_values(["pos", "id"])
@@ -191,7 +219,7 @@ def first_near(pivots: Pivots, guests: DataFrame, hosts: DataFrame, least: float
 
     columns = ["cell", "group", "id", "pos", "vector"]
     visits = guests.select(*columns).mapInPandas(visit, "cell int, group long, id long, pos long, vector array<double>")
-    found = _dealt(pivots, visits, hosts.select(*columns), group=True).mapInPandas(run, "id long, pos long, host long")
+    found = _dealt(pivots, visits, at_home(hosts.select(*columns), homes), group=True).mapInPandas(run, "id long, pos long, host long")
     return found.groupBy("id").agg(F.min(F.struct("pos", "host"))["host"].alias("host"))
 
 
@@ -210,6 +238,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0,
     asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
     pivots, farthest = index.pivots, np.sqrt(max(0.0, 4 * (1 - least)) + SLACK)  # similarity s is a squared distance of 4 (1 - s)
 
+    homes = pivots.homes
+
     def visited(second: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -218,12 +248,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0,
                 before = np.cumsum(pivots.counts[order], axis=1) - pivots.counts[order]
                 first = np.zeros(bounds.shape, bool)
                 np.put_along_axis(first, order, before <= k, 1)
+                near = of_blocks(first & (bounds <= farthest) & np.isfinite(bounds), homes)
                 if second:
                     limit = np.sqrt(np.maximum(0.0, 4 * (1 - batch["bound"].to_numpy(dtype="float64"))) + SLACK)
-                    take = ~first & (bounds <= np.minimum(limit, farthest)[:, None])
-                else:
-                    take = first & (bounds <= farthest)
-                row, cell = np.nonzero(take & np.isfinite(bounds))
+                    near = of_blocks((bounds <= np.minimum(limit, farthest)[:, None]) & np.isfinite(bounds), homes) & ~near
+                row, cell = np.nonzero(near)
                 yield pd.DataFrame({"id": batch["query_id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": cell.astype("int32")})
 
         return run

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from ahocorasick import AHOCORASICK, TRIE, Automaton
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratamem.sources.scratch import written
 
+#: Characters of the tokens of one automaton: so many states at most, a few dozen bytes each.
+SHARD_CHARS = 1 << 20
+#: Pages that one task runs through an automaton, about.
+BLOCK_PAGES = 1 << 20
+
 
 def in_degree(edges: DataFrame, to: str = "to_slug") -> DataFrame:
     """(slug, in_degree)."""
@@ -78,12 +88,38 @@ def personalised_pagerank(
 def pages_with(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     """(token, page): each token met with the pages (page, slug) whose slug contains it; blank tokens meet none.
 
-    Both sides meet by the first three characters, of the token and of each rest of a slug
-    (80 characters at most), and the rest says whether the token is there; shorter tokens
-    meet by all they have.
+    Tokens are dealt into shards of ``SHARD_CHARS`` characters, pages into blocks of
+    ``BLOCK_PAGES``. A task builds the Aho-Corasick automaton of a shard and runs each slug of
+    a block through it once, however many tokens the shard has and however long they are.
     """
-    asked = tokens.toDF("token").where("token <> ''").distinct().withColumn("_key", F.left("token", F.lit(3)))
-    rests = pages.select("page", F.col("slug"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("slug"), F.lit(1)))).alias("_at"))
-    rests = rests.select("page", F.substring("slug", F.col("_at"), F.lit(80)).alias("_rest"))
-    keyed = rests.select("page", "_rest", F.explode(F.array_distinct(F.array(*(F.left("_rest", F.lit(n)) for n in (1, 2, 3))))).alias("_key"))
-    return asked.join(keyed, "_key").where(F.startswith("_rest", F.col("token"))).select("token", "page").distinct()
+    asked = written(tokens.toDF("token").where("token <> ''").distinct(), "tokens")
+    known = written(pages.select("page", "slug").where("slug <> ''").distinct(), "slugs")
+    chars = asked.agg(F.sum(F.length("token")).alias("n")).first()["n"] or 0
+    shards, blocks = max(1, -(-chars // SHARD_CHARS)), max(1, -(-known.count() // BLOCK_PAGES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(0).alias("kind"), "token")
+    right = known.select(every(shards).alias("shard"), F.pmod(F.xxhash64("page", "slug"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "page", "slug")
+    place = ["shard", "block"]
+    dealt = left.unionByName(right, allowMissingColumns=True).repartition(*place).sortWithinPartitions(*place, "kind")
+    return dealt.mapInArrow(_inside, StructType([asked.schema["token"], known.schema["page"]])).distinct()
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, page) along rows in the order of ``pages_with``: a shard's tokens, then the pages that meet them."""
+    at, machine = None, Automaton()
+    for batch in batches:
+        found: tuple[list, list] = ([], [])
+        columns = (batch.column(c).to_pylist() for c in ("shard", "block", "kind", "token", "page", "slug"))
+        for shard, block, kind, token, page, slug in zip(*columns):
+            if (shard, block) != at:
+                at, machine = (shard, block), Automaton()
+            if kind == 0:
+                machine.add_word(token, token)
+                continue
+            if machine.kind == TRIE:
+                machine.make_automaton()
+            if machine.kind == AHOCORASICK:
+                for met in {met for _, met in machine.iter(slug)}:
+                    found[0].append(met)
+                    found[1].append(page)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], batch.schema.field("token").type), pa.array(found[1], batch.schema.field("page").type)], ["token", "page"])

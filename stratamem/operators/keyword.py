@@ -1,19 +1,30 @@
-"""Keyword retrieval over an inverted index that a shuffle builds."""
+"""Keyword retrieval over a kept inverted index.
+
+Documents are dealt into blocks of like size. The index has, for each token and block, a
+list of its documents with their parts of a score, and the most that any of them has. The
+sum of a query's maxima bounds every score of a block, so a query first reads the blocks
+with the highest bounds, and then only those whose bound reaches its k-th score.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem.functions.text import tokens
+from stratamem.operators.rank import top_k
+from stratamem.sources.scratch import shared_folder, written
 
 K1, B = 1.2, 0.75
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, token, tf, size) of (id, text)."""
-    sized = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("size"), F.explode("t").alias("token"))
-    return sized.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+#: Documents of a block, about.
+BLOCK = 64
+#: Blocks that a query reads before it knows a k-th score.
+FIRST = 8
+#: Scores are rounded to so many digits; more than that hides is SLACK.
+DIGITS, SLACK = 6, 1e-6
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -29,13 +40,91 @@ def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.max("asked")).alias("score"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id, score): BM25 of each query over the documents that share a token with it."""
-    asked = query_tokens(queries).drop("asked")
-    total = docs.select("id", F.size(tokens(F.col("text"))).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    index = postings(docs).join(asked.select("token").distinct(), "token", "left_semi")
-    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighed = index.join(frequency, "token").crossJoin(total)  # one row of corpus statistics
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return weighed.select("id", "token", part.alias("part")).join(asked, "token").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+@dataclass(frozen=True)
+class Index:
+    """A kept index: ``lists`` (token, block, most, hits of (id, part)) and ``vocabulary`` (token, df, idf)."""
+
+    lists: DataFrame
+    vocabulary: DataFrame
+
+
+@dataclass(frozen=True)
+class Found:
+    """``hits`` (query_id, id, score, rank), and per query how many ``blocks`` have its tokens and how many were ``read``."""
+
+    hits: DataFrame
+    visits: DataFrame
+
+
+def _size_class(size: Column) -> Column:
+    """Sizes alike by a factor of about 1.4."""
+    return F.floor(2 * F.log2(1 + F.coalesce(size, F.lit(0)))).cast("int")
+
+
+def build(docs: DataFrame, path: str | None = None) -> Index:
+    """The index of ``docs`` (id, text), written below ``path`` or in the shared folder; ``load`` opens it again.
+
+    Every text is tokenised once. Null texts count as documents without words, and do not
+    count in the mean size. Rows that share an id are one document of the first one's size.
+    """
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/stratamem/keywords-{uuid.uuid4().hex}"
+    docs.select("id", tokens(F.col("text")).alias("words")).select("id", "words", F.when(F.col("words").isNotNull(), F.size("words")).alias("size")).write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    classes = words.groupBy(_size_class(F.col("size")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count("size").alias("sized"), F.sum("size").alias("sum")).collect()  # two rows for each power of two
+    n, sized = sum(r["n"] for r in classes), sum(r["sized"] for r in classes)
+    mean = sum(r["sum"] or 0 for r in classes) / sized if sized else 0.0
+    blocks = F.create_map(*(F.lit(x) for r in classes for x in (r["c"], -(-r["n"] // BLOCK)))) if classes else F.create_map(F.lit(0), F.lit(1))
+    kind = _size_class(F.col("size"))
+    block = F.shiftleft(kind.cast("long"), 40) + F.pmod(F.xxhash64("id"), F.try_element_at(blocks, kind))
+    counted = words.select("id", "size", block.alias("block"), F.explode("words").alias("token")).groupBy("token", "block", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+    lists = counted.select("token", "block", "id", part.alias("part")).groupBy("token", "block").agg(F.max("part").alias("most"), F.collect_list(F.struct("id", "part")).alias("hits"))
+    lists.sortWithinPartitions("token", "block").write.parquet(f"{path}/lists")
+    frequency = spark.read.parquet(f"{path}/lists").groupBy("token").agg(F.sum(F.size("hits")).alias("df"))
+    frequency.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).write.parquet(f"{path}/vocabulary")
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The index that ``build`` wrote below ``path``."""
+    return Index(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/vocabulary"))
+
+
+def search(queries: DataFrame, index: Index, k: int, allowed: DataFrame | None = None) -> Found:
+    """The ``k`` best documents of each of ``queries`` (query_id, text) by BM25, ties to the lesser id.
+
+    Exact: a block is left unread only if no document of it can reach the k-th score.
+    With ``allowed`` (id) other documents are no hits, though they count in the statistics.
+    """
+    asked = written(query_tokens(queries).drop("asked").join(index.vocabulary.select("token", "idf"), "token"), "asked")
+    reach = index.lists.select("token", "block", "most").join(asked, "token").groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+    bounds = written(reach, "bounds")
+
+    def scored(visits: DataFrame) -> DataFrame:
+        met = visits.select("query_id", "block").join(asked, "query_id").join(index.lists.select("token", "block", "hits"), ["token", "block"])
+        hits = met.select("query_id", "idf", F.explode("hits").alias("hit")).groupBy("query_id", F.col("hit.id").alias("id")).agg(F.sum(F.col("idf") * F.col("hit.part")).alias("score"))
+        hits = hits if allowed is None else hits.join(allowed.select("id"), "id", "left_semi").select("query_id", "id", "score")
+        return top_k(hits.withColumn("score", F.round("score", DIGITS)), ["query_id"], k, F.desc("score"), F.asc("id"))
+
+    first = written(top_k(bounds, ["query_id"], FIRST, F.desc("bound"), F.asc("block")).drop("rank"), "first")
+    some = written(scored(first), "some")
+    least = some.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    left = bounds.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left")
+    more = written(left.where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).select("query_id", "block"), "more")
+    hits = top_k(some.drop("rank").unionByName(scored(more).drop("rank")), ["query_id"], k, F.desc("score"), F.asc("id"))
+    known = bounds.select("query_id", F.lit(0).alias("read"))
+    visits = known.unionByName(first.unionByName(more, allowMissingColumns=True).select("query_id", F.lit(1).alias("read"))).groupBy("query_id").agg(F.count_if(F.col("read") == 0).alias("blocks"), F.sum("read").alias("read"))
+    return Found(hits, visits)
+
+
+def search_channels(queries: DataFrame, channels: dict[str, tuple[Index, DataFrame | None]], k: int) -> DataFrame:
+    """(query_id, source, id, score, rank): the ``k`` best of each query over several indexes, each with its ``allowed`` ids.
+
+    Each index brings its own ``k`` best; equal scores go by the id as text, then by source.
+    """
+    met = None
+    for source, (index, allowed) in channels.items():
+        one = search(queries, index, k, allowed).hits.select("query_id", F.lit(source).alias("source"), F.col("id").cast("string").alias("id"), "score")
+        met = one if met is None else met.unionByName(one)
+    return top_k(met, ["query_id"], k, F.desc("score"), F.asc("id"), F.asc("source"))

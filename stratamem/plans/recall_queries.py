@@ -154,8 +154,8 @@ bm as (select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 @register("bm25_topk", f"with {BM25_SQL} select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from bm qualify rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over the whole collection."""
-    scored = keyword.bm25(*_benchmark(spark, d)).withColumn("score", F.round("score", 6))
-    return rank.top_k(scored, ["query_id"], 10, F.desc("score"), F.asc("id")).withColumn("rank", F.col("rank").cast("long"))
+    asked, docs = _benchmark(spark, d)
+    return keyword.search(asked, keyword.build(docs), 10).hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 HYBRID_SQL = f"""
@@ -181,11 +181,12 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """
     asked, vectors = _vectors(spark, d)
     near = vector.nearest(asked, vectors, 30).select((F.col("query_id") / QUERY_STEP).cast("long").alias("query_id"), F.lit("vector").alias("channel"), "id", "rank")
-    words = rank.top_k(keyword.bm25(*_benchmark(spark, d)).withColumn("score", F.round("score", 6)), ["query_id"], 20, F.desc("score"), F.asc("id"))
+    texts, docs = _benchmark(spark, d)
+    words = keyword.search(texts, keyword.build(docs), 20).hits
     fused = rank.fuse(near.unionByName(words.select("query_id", F.lit("keyword").alias("channel"), "id", "rank")))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    told = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     degree = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    met = fused.join(docs, "id", "left").join(degree, "id", "left").where("lang is not null")
+    met = fused.join(told, "id", "left").join(degree, "id", "left").where("lang is not null")
     scored = met.select("query_id", "id", F.round(S.boosted(F.col("score"), F.col("text"), F.col("degree")), 9).alias("score"))
     return rank.top_k(scored, ["query_id"], 10, F.desc("score"), F.asc("id")).withColumn("rank", F.col("rank").cast("long"))
 

@@ -1,8 +1,8 @@
 """Keyword retrieval over a kept inverted index.
 
-Documents are dealt into blocks of like size. The index has, for each token and block, a
-list of its documents with their parts of a score, and the most that any of them has. The
-sum of a query's maxima bounds every score of a block, so a query first reads the blocks
+Documents are dealt into blocks of like size. The index has a posting for each token of
+each document, with its part of a score, and for each token and block the most that any
+document has. The sum of a query's maxima bounds every score of a block, so a query first reads the blocks
 with the highest bounds, and then only those whose bound reaches its k-th score.
 """
 
@@ -40,10 +40,42 @@ def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.max("asked")).alias("score"))
 
 
+def cut(docs: DataFrame) -> DataFrame:
+    """(id, size, words) of (id, text): every text cut into its tokens once; a null text has none, and no size."""
+    words = docs.select("id", tokens(F.col("text")).alias("words"))
+    return words.select("id", F.when(F.col("words").isNotNull(), F.size("words")).alias("size"), "words")
+
+
+def part(mean: Column) -> Column:
+    """What a token that occurs ``tf`` times in ``size`` tokens gives to a score, but for its rarity."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
+
+
+def rarity(n: Column) -> Column:
+    """The weight of a token that ``df`` of ``n`` documents have."""
+    return F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, id, score): BM25 of each query over the documents that share a token with it.
+
+    For queries asked once: no index is kept, and only tokens that are asked for leave their document.
+    """
+    asked = query_tokens(queries).drop("asked")
+    words = written(cut(docs), "words")
+    total = words.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    met = words.select("id", "size", F.explode("words").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    index = met.groupBy("id", "token", "size").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = index.join(index.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token").crossJoin(total)  # one row of corpus statistics
+    parts = weighed.select("id", "token", (rarity(F.col("n")) * part(F.col("mean"))).alias("part"))
+    return parts.join(asked, "token").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+
+
 @dataclass(frozen=True)
 class Index:
-    """A kept index: ``lists`` (token, block, most, hits of (id, part)) and ``vocabulary`` (token, df, idf)."""
+    """A kept index: ``postings`` (token, block, id, part), of each block the ``lists`` (token, block, most, n), ``vocabulary`` (token, df, idf)."""
 
+    postings: DataFrame
     lists: DataFrame
     vocabulary: DataFrame
 
@@ -62,14 +94,14 @@ def _size_class(size: Column) -> Column:
 
 
 def build(docs: DataFrame, path: str | None = None) -> Index:
-    """The index of ``docs`` (id, text), written below ``path`` or in the shared folder; ``load`` opens it again.
+    """The index of ``docs`` (id, text) with distinct ids, written below ``path`` or in the shared folder; ``load`` opens it again.
 
-    Every text is tokenised once. Null texts count as documents without words, and do not
-    count in the mean size. Rows that share an id are one document of the first one's size.
+    Every text is tokenised once. Null texts count as
+    documents without words, and do not count in the mean size.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/stratamem/keywords-{uuid.uuid4().hex}"
-    docs.select("id", tokens(F.col("text")).alias("words")).select("id", "words", F.when(F.col("words").isNotNull(), F.size("words")).alias("size")).write.parquet(f"{path}/words")
+    cut(docs).write.parquet(f"{path}/words")
     words = spark.read.parquet(f"{path}/words")
     classes = words.groupBy(_size_class(F.col("size")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count("size").alias("sized"), F.sum("size").alias("sum")).collect()  # two rows for each power of two
     n, sized = sum(r["n"] for r in classes), sum(r["sized"] for r in classes)
@@ -77,18 +109,18 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
     blocks = F.create_map(*(F.lit(x) for r in classes for x in (r["c"], -(-r["n"] // BLOCK)))) if classes else F.create_map(F.lit(0), F.lit(1))
     kind = _size_class(F.col("size"))
     block = F.shiftleft(kind.cast("long"), 40) + F.pmod(F.xxhash64("id"), F.try_element_at(blocks, kind))
-    counted = words.select("id", "size", block.alias("block"), F.explode("words").alias("token")).groupBy("token", "block", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
-    lists = counted.select("token", "block", "id", part.alias("part")).groupBy("token", "block").agg(F.max("part").alias("most"), F.collect_list(F.struct("id", "part")).alias("hits"))
+    counted = words.select("id", "size", block.alias("block"), F.explode("words").alias("token")).groupBy("token", "block", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    counted.select("token", "block", "id", part(F.lit(mean or 1.0)).alias("part")).sortWithinPartitions("token", "block").write.parquet(f"{path}/postings")
+    lists = spark.read.parquet(f"{path}/postings").groupBy("token", "block").agg(F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
     lists.sortWithinPartitions("token", "block").write.parquet(f"{path}/lists")
-    frequency = spark.read.parquet(f"{path}/lists").groupBy("token").agg(F.sum(F.size("hits")).alias("df"))
-    frequency.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).write.parquet(f"{path}/vocabulary")
+    frequency = spark.read.parquet(f"{path}/lists").groupBy("token").agg(F.sum("n").alias("df"))
+    frequency.withColumn("idf", rarity(F.lit(n))).write.parquet(f"{path}/vocabulary")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """The index that ``build`` wrote below ``path``."""
-    return Index(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/vocabulary"))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lists", "vocabulary")))
 
 
 def search(queries: DataFrame, index: Index, k: int, allowed: DataFrame | None = None) -> Found:
@@ -102,8 +134,8 @@ def search(queries: DataFrame, index: Index, k: int, allowed: DataFrame | None =
     bounds = written(reach, "bounds")
 
     def scored(visits: DataFrame) -> DataFrame:
-        met = visits.select("query_id", "block").join(asked, "query_id").join(index.lists.select("token", "block", "hits"), ["token", "block"])
-        hits = met.select("query_id", "idf", F.explode("hits").alias("hit")).groupBy("query_id", F.col("hit.id").alias("id")).agg(F.sum(F.col("idf") * F.col("hit.part")).alias("score"))
+        met = visits.select("query_id", "block").join(asked, "query_id").join(index.postings, ["token", "block"])
+        hits = met.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
         hits = hits if allowed is None else hits.join(allowed.select("id"), "id", "left_semi").select("query_id", "id", "score")
         return top_k(hits.withColumn("score", F.round("score", DIGITS)), ["query_id"], k, F.desc("score"), F.asc("id"))
 

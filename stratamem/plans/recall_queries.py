@@ -154,8 +154,48 @@ bm as (select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 @register("bm25_topk", f"with {BM25_SQL} select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from bm qualify rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over the whole collection."""
-    asked, docs = _benchmark(spark, d)
-    return keyword.search(asked, keyword.build(docs), 10).hits.withColumn("rank", F.col("rank").cast("long"))
+    scored = keyword.bm25(*_benchmark(spark, d)).withColumn("score", F.round("score", 6))
+    return rank.top_k(scored, ["query_id"], 10, F.desc("score"), F.asc("id")).withColumn("rank", F.col("rank").cast("long"))
+
+
+_HTML = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+
+
+def _channel_sql(name: str, rows: str, allowed: str, k: int) -> str:
+    """BM25 of the questions (kq) over ``rows`` (id, text), the ``k`` best of those ``allowed``."""
+    return f"""
+{name}t as (select id, {_TOKENS.format('text')} as t from ({rows})),
+{name}c as (select count(*) as n, avg(len(t)) as mean from {name}t),
+{name}p as (select id, token, count(*) as tf, any_value(size) as size from (select id, len(t) as size, unnest(t) as token from {name}t) group by 1, 2),
+{name}d as (select token, count(*) as df from {name}p group by 1),
+{name}s as (select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {keyword.K1 + 1} / (tf + {keyword.K1} * (1 - {keyword.B} + {keyword.B} * size / mean))), 6) as score
+  from {name}p join {name}d using (token) join kq using (token) cross join {name}c group by 1, 2),
+{name} as (select query_id, id, score from {name}s where {allowed} qualify row_number() over (partition by query_id order by score desc, id) <= {k})"""
+
+
+#: What was judged to be of low quality is no longer active.
+_RETIRED_SQL = "id not in (select doc_id from labels where quality = 0)"
+_CHANNELS_SQL = f"""
+kq as (select item_id as query_id, unnest(list_distinct({_TOKENS.format('text')})) as token from benchmark),
+{_channel_sql('ke', 'select doc_id as id, text from documents', _RETIRED_SQL, 20)},
+{_channel_sql('kp', f'select url as id, min({_HTML}) as text from pages group by 1', 'true', 20)},
+kc as (select query_id, 'keyword:episode' as source, id::varchar as id, score from ke union all select query_id, 'keyword:page', id, score from kp)
+"""
+
+
+def _kept(spark: SparkSession, d: str) -> dict[str, tuple[keyword.Index, DataFrame | None]]:
+    """Kept indexes of episodes, active ones allowed, and of pages."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    retired = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    pages = table(spark, d, "pages").groupBy(F.col("url").alias("id")).agg(F.min(F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))
+    return {"keyword:episode": (keyword.build(docs), docs.select("id").join(retired, "id", "left_anti")), "keyword:page": (keyword.build(pages), None)}
+
+
+@register("keyword_search", f"with {_CHANNELS_SQL} select query_id, source, id, score, row_number() over (partition by query_id order by score desc, id, source) as rank from kc qualify rank <= 20")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """Active episodes and pages in one list, over kept indexes; a page's id is its address."""
+    asked, _ = _benchmark(spark, d)
+    return keyword.search_channels(asked, _kept(spark, d), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 HYBRID_SQL = f"""
@@ -181,12 +221,11 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """
     asked, vectors = _vectors(spark, d)
     near = vector.nearest(asked, vectors, 30).select((F.col("query_id") / QUERY_STEP).cast("long").alias("query_id"), F.lit("vector").alias("channel"), "id", "rank")
-    texts, docs = _benchmark(spark, d)
-    words = keyword.search(texts, keyword.build(docs), 20).hits
+    words = rank.top_k(keyword.bm25(*_benchmark(spark, d)).withColumn("score", F.round("score", 6)), ["query_id"], 20, F.desc("score"), F.asc("id"))
     fused = rank.fuse(near.unionByName(words.select("query_id", F.lit("keyword").alias("channel"), "id", "rank")))
-    told = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     degree = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    met = fused.join(told, "id", "left").join(degree, "id", "left").where("lang is not null")
+    met = fused.join(docs, "id", "left").join(degree, "id", "left").where("lang is not null")
     scored = met.select("query_id", "id", F.round(S.boosted(F.col("score"), F.col("text"), F.col("degree")), 9).alias("score"))
     return rank.top_k(scored, ["query_id"], 10, F.desc("score"), F.asc("id")).withColumn("rank", F.col("rank").cast("long"))
 

@@ -2,8 +2,9 @@
 
 Documents are dealt into blocks of like size. The index has a posting for each token of
 each document, with its part of a score, and for each token and block the most that any
-document has. The sum of a query's maxima bounds every score of a block, so a query first reads the blocks
-with the highest bounds, and then only those whose bound reaches its k-th score.
+document has; postings lie in buckets by both, where a search meets them. The sum of a
+query's maxima bounds every score of a block, so a query first reads the blocks with the
+highest bounds, and then only those whose bound reaches its k-th score.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from stratamem.sources.scratch import shared_folder, written
 K1, B = 1.2, 0.75
 #: Documents of a block, about.
 BLOCK = 64
+#: Words of the texts whose postings share a bucket, about, and the buckets of an index at least.
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 22, 8
 #: Blocks that a query reads before it knows a k-th score.
 FIRST = 8
 #: Scores are rounded to so many digits; more than that hides is SLACK.
@@ -110,8 +113,11 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
     kind = _size_class(F.col("size"))
     block = F.shiftleft(kind.cast("long"), 40) + F.pmod(F.xxhash64("id"), F.try_element_at(blocks, kind))
     counted = words.select("id", "size", block.alias("block"), F.explode("words").alias("token")).groupBy("token", "block", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
-    counted.select("token", "block", "id", part(F.lit(mean or 1.0)).alias("part")).sortWithinPartitions("token", "block").write.parquet(f"{path}/postings")
-    lists = spark.read.parquet(f"{path}/postings").groupBy("token", "block").agg(F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
+    buckets = max(LEAST_BUCKETS, -(-sum(r["sum"] or 0 for r in classes) // BUCKET_WORDS))
+    dealt = counted.select("token", "block", "id", part(F.lit(mean or 1.0)).alias("part")).repartition(buckets, "token", "block")
+    dealt.write.format("parquet").bucketBy(buckets, "token", "block").sortBy("token", "block").option("path", f"{path}/postings").saveAsTable(_name())
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(None).cast(docs.schema["id"].dataType).alias("id")).write.parquet(f"{path}/layout")
+    lists = _postings(spark, path).groupBy("token", "block").agg(F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
     lists.sortWithinPartitions("token", "block").write.parquet(f"{path}/lists")
     frequency = spark.read.parquet(f"{path}/lists").groupBy("token").agg(F.sum("n").alias("df"))
     frequency.withColumn("idf", rarity(F.lit(n))).write.parquet(f"{path}/vocabulary")
@@ -120,7 +126,19 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
 
 def load(spark: SparkSession, path: str) -> Index:
     """The index that ``build`` wrote below ``path``."""
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lists", "vocabulary")))
+    return Index(_postings(spark, path), *(spark.read.parquet(f"{path}/{name}") for name in ("lists", "vocabulary")))
+
+
+def _name() -> str:
+    return f"keywords_{uuid.uuid4().hex}"
+
+
+def _postings(spark: SparkSession, path: str) -> DataFrame:
+    """The postings below ``path`` as a table that knows its buckets, so that joins by token and block leave them where they are."""
+    layout, name = spark.read.parquet(f"{path}/layout"), _name()
+    buckets, kind = layout.first()["buckets"], layout.schema["id"].dataType.simpleString()
+    spark.sql(f"create table {name} (token string, block bigint, id {kind}, part double) using parquet clustered by (token, block) sorted by (token, block) into {buckets} buckets location '{path}/postings'")
+    return spark.table(name)
 
 
 def search(queries: DataFrame, index: Index, k: int, allowed: DataFrame | None = None) -> Found:

@@ -67,6 +67,8 @@ def by_graph(asked: DataFrame, vertices: DataFrame, edges: DataFrame, seeds: Dat
     ``vertices`` are (node, id); those without an id, such as pages, are passed through and are no hits.
     """
     started = seeds.join(asked.where("walks").select("query_id"), "query_id", "left_semi").select("query_id", F.col("node").alias("id"))
+    if started.isEmpty():
+        return rankings_of(asked.sparkSession)
     mass = graph.personalised_pagerank(vertices.select(F.col("node").alias("id")), edges, started, rounds).withColumnRenamed("id", "node")
     met = mass.where("mass > 0").join(vertices.where("id is not null"), "node").withColumn("mass", F.round("mass", 12))
     return rank.top_k(met, ["query_id"], depth, F.desc("mass"), F.asc("id")).select("query_id", F.lit("graph").alias("channel"), "id", "rank")

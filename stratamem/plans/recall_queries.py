@@ -232,10 +232,10 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 @register("composed_search")
 def composed_search(spark: SparkSession, d: str) -> DataFrame:
-    """The whole read path, as of a time: intent, variants, three channels, boosts, filters, reordering.
+    """The whole read path, what was true then as believed later: intent, variants, three channels, boosts, filters, reordering.
 
-    Query n is benchmark item n with vector 50 n; its one variant has vector 50 n + 1. Texts
-    are documents, whose times and kinds are those of the event of the same number. Items
+    Query n is benchmark item n with vector 50 n, if there is one; its one variant has vector
+    50 n + 1. Texts are documents, whose times and kinds are those of the event of the same number. Items
     are pages that their best documents point to, and a question starts at its own. Labels
     stand for backlinks, importance for a model's score.
     """
@@ -243,16 +243,16 @@ def composed_search(spark: SparkSession, d: str) -> DataFrame:
     index = keyword.build(docs)
     numbered = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     place = (F.col("id") / QUERY_STEP).cast("long").alias("query_id")
-    questions = texts.join(numbered.where(F.col("id") % QUERY_STEP == 0).select(place, "vector"), "query_id")
+    questions = texts.join(numbered.where(F.col("id") % QUERY_STEP == 0).select(place, "vector"), "query_id", "left")
     variants = texts.join(numbered.where(F.col("id") % QUERY_STEP == 1).select(place, "vector"), "query_id").select("query_id", F.lit(1).alias("variant"), F.concat(F.lit("about "), "text").alias("text"), "vector")
     item, doc = F.concat(F.lit("page "), "query_id"), F.concat(F.lit("doc "), "id")
     edges = written(keyword.search(texts, index, 10).hits.select(doc.alias("src"), item.alias("dst")), "mentions")
     vertices = docs.select(doc.alias("node"), "id").unionByName(texts.select(item.alias("node"), F.lit(None).cast("long").alias("id")))
     degree = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
     pages = docs.select("id", F.col("text").alias("truth")).join(degree, "id", "left")
-    at = F.expr(_AT.replace("timestamp", "timestamp_ntz"))
+    true_at, known_at = (F.expr(f"timestamp_ntz '2024-01-0{day} 00:00:00'") for day in (3, 4))
     episodes = events(spark, d).withColumnRenamed("uuid", "id")
-    kept = temporal.valid_at(at) & temporal.known_at(F.expr("timestamp_ntz '2024-01-20 00:00:00'"))
+    kept = temporal.valid_at(true_at) & temporal.known_at(known_at)
     found = search.search(questions, variants, numbered, index, None, (vertices, edges, texts.select("query_id", item.alias("node"))), pages, episodes, 10, kept, F.col("importance"))
     return found.withColumn("rank", F.col("rank").cast("long"))
 

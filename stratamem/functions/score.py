@@ -10,8 +10,8 @@ from stratamem.functions import fixed as V
 
 def age_days(created: Column, now: Column) -> Column:
     """Whole periods of 24 hours, 0 at least; null for an unknown time."""
-    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(created.cast("timestamp"))
-    return F.when(seconds < 0, F.lit(0)).otherwise(F.floor(seconds / 86400))
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))
+    return F.when(micros < 0, F.lit(0)).otherwise(F.floor(micros / 86_400_000_000))
 
 
 def recency(created: Column, now: Column, kind: Column, half_life: float = V.HALF_LIFE_DAYS) -> Column:

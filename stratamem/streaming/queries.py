@@ -18,9 +18,10 @@ from stratamem.streaming.leases import PROVIDER
 
 
 def table_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:
-    """The Parquet table as a stream."""
-    schema = spark.read.parquet(f"{path}/{table_name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(path)
+    """The Parquet table, a file or a folder of files, as a stream."""
+    place = f"{path.rstrip('/')}/{table_name}.parque"
+    # as a pattern, since a stream takes the name of a file for a folder's
+    return spark.readStream.schema(spark.read.parquet(f"{place}t").schema).parquet(f"{place}[t]")
 
 
 def event_stream(spark: SparkSession, path: str, table_name: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stratamem.functions import score
 
 
@@ -11,3 +13,11 @@ def test_age_counts_parts_of_a_second(spark):
     times = ["2024-01-11 00:00:00.636583", "2024-01-11 00:00:00", "2024-01-10 23:59:59.999999", "2024-02-03 00:00:00"]
     rows = spark.createDataFrame([(t,) for t in times], "t string").select("t", score.age_days(F.col("t").cast("timestamp_ntz"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("age"))
     assert {r["t"]: r["age"] for r in rows.collect()} == dict(zip(times, [20, 21, 21, 0], strict=True))
+
+
+def test_a_stream_reads_a_folder_of_files(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(3).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    found = entry.queries()["stream_first_replies"](spark, f"file://{tmp_path}")
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(c.execute(entry.oracle_sql()["stream_first_replies"]).fetchall()) != []

@@ -22,6 +22,12 @@ from stratamem.sources.scratch import written
 
 #: Guests that one comparison in numpy takes.
 STRIP = 128
+#: Rows that are held against all pivots at once, and visits that leave a task at once.
+ROWS, VISITS = 1024, 8192
+#: Hosts that guests meet at once where the first near one is looked for.
+STEP = 256
+#: More than single precision can take from a cosine of unit vectors.
+COARSE = 1e-4
 #: Vectors of a cell that one task holds; larger cells are dealt over several.
 BLOCK = 8192
 #: Queries that meet a block of a cell in one task, at most.
@@ -41,14 +47,13 @@ class Pivots:
     least: np.ndarray
     most: np.ndarray
 
-    @property
-    def homes(self) -> np.ndarray:
-        """The block of each cell: cells side by side along the widest direction share one, up to ``BLOCK`` vectors."""
+    def homes(self, groups: int = 1) -> np.ndarray:
+        """The block of each cell: neighbours along the widest direction share one, up to ``BLOCK`` vectors for each of ``groups``."""
         centred = self.centres - self.centres.mean(axis=0)
         along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
         found, block, filled = np.zeros(len(along), "int32"), 0, 0
         for cell in np.argsort(along, kind="stable"):
-            if filled and filled + self.counts[cell] > BLOCK:
+            if filled and filled + self.counts[cell] > BLOCK * groups:
                 block, filled = block + 1, 0
             found[cell] = block
             filled += self.counts[cell]
@@ -81,6 +86,45 @@ def apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, squares))
 
 
+def best(left: np.ndarray, right: np.ndarray, k: int, ids: np.ndarray, but: np.ndarray | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the ``k`` unit vectors on the right most alike to each on the left, by ``least`` of
+    the row or more; ties go to the lesser of ``ids``, and the column with the id in ``but`` is left out.
+
+    Single precision rules out most pairs; those left are told apart in double precision.
+    """
+    coarse = left.astype("float32") @ right.astype("float32").T
+    floor = (2 * least - 1 - COARSE).astype("float32")
+    if k + 1 < coarse.shape[1] and (coarse >= floor[:, None]).sum() > 8 * k * len(left):
+        told = np.where(np.isnan(coarse), np.float32(-2), coarse)
+        floor = np.maximum(floor, np.partition(told, -k - 1, axis=1)[:, -k - 1] - np.float32(COARSE))  # one more, as one may be left out
+    row, column = np.nonzero(coarse >= floor[:, None])
+    if but is not None:
+        others = ids[column] != but[row]
+        row, column = row[others], column[others]
+    near = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", left[row[n : n + VISITS]], right[column[n : n + VISITS]]) for n in range(0, len(row), VISITS))])
+    near = np.round(np.maximum(0.0, 1 - (1 - near) / 2), 9)
+    fit = near >= least[row]
+    row, column, near = row[fit], column[fit], near[fit]
+    order = np.lexsort((ids[column], -near, row))
+    row, column, near = row[order], column[order], near[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k], near[place < k]
+
+
+def first(left: np.ndarray, right: np.ndarray, until: np.ndarray, least: float) -> np.ndarray:
+    """For each unit vector on the left the first of the ``until`` first on the right that is alike by ``least`` or more; -1 for none."""
+    found, open_ = np.full(len(left), -1), np.arange(len(left))
+    for start in range(0, int(until.max(initial=0)), STEP):
+        open_ = open_[(found[open_] < 0) & (until[open_] > start)]
+        if not len(open_):
+            break
+        some = right[start : start + STEP]
+        near = (alike(left[open_], some) >= least) & (start + np.arange(len(some)) < until[open_][:, None])
+        met = near.any(axis=1)
+        found[open_[met]] = start + near[met].argmax(axis=1)
+    return found
+
+
 def unit(rows: list) -> np.ndarray:
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -96,6 +140,20 @@ def spread(rows: np.ndarray, n: int) -> list[int]:
     return found
 
 
+def strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches``, up to ``ROWS`` at once."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.iloc[start : start + ROWS]
+
+
+def sent(rows: pd.DataFrame, near: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Each of ``rows`` once for each block that it is ``near`` (as ``cell``), up to ``VISITS`` at once, however many blocks there are."""
+    row, block = np.nonzero(near)
+    for start in range(0, len(row), VISITS):
+        yield rows.iloc[row[start : start + VISITS]].assign(cell=block[start : start + VISITS].astype("int32"))
+
+
 def build(vectors: DataFrame) -> Index | None:
     """The index of ``vectors`` (id, vector, and what else there is); None if there are none. Pivots are some of the vectors, about the square root of their number."""
     rows = vectors.where("vector is not null").withColumns({"id": F.col("id").cast("long"), "vector": F.col("vector").cast("array<double>")})
@@ -111,7 +169,7 @@ def build(vectors: DataFrame) -> Index | None:
     centres = distinct[spread(distinct, wanted)]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in strips(batches):
             far = apart(unit(batch["vector"].tolist()), centres)
             nearest = far.argmin(axis=1)
             yield batch.assign(cell=nearest.astype("int32"), far=far[np.arange(len(far)), nearest])
@@ -177,19 +235,17 @@ def at_home(rows: DataFrame, homes: np.ndarray) -> DataFrame:
     return rows.withColumn("cell", F.element_at(F.array(*(F.lit(int(x)) for x in homes)), F.col("cell") + 1))
 
 
-def _met(index: Index, visits: DataFrame, k: int, least: float, include_self: bool) -> DataFrame:
-    """(query_id, id, similarity): the ``k`` best of each block for each of ``visits`` (id, vector, cell)."""
+def _met(index: Index, visits: DataFrame, k: int, include_self: bool) -> DataFrame:
+    """(query_id, id, similarity): the ``k`` best of each block for each of ``visits`` (id, vector, cell, least), from their ``least`` on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (ids, rows), some in _pairs(batches, ["cell", "block", "task"], lambda own: (own["id"].to_numpy(), unit(own["vector"].tolist()))):
-            names, near = some["id"].to_numpy(), alike(unit(some["vector"].tolist()), rows)
-            if not include_self:
-                near = np.where(names[:, None] == ids, -1.0, near)
-            order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
-            out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order.ravel()], "similarity": np.take_along_axis(near, order, 1).ravel()})
-            yield out[out["similarity"] >= least]
+            names = some["id"].to_numpy()
+            row, column, near = best(unit(some["vector"].tolist()), rows, k, ids, None if include_self else names, some["least"].to_numpy(dtype="float64"))
+            yield pd.DataFrame({"query_id": names[row], "id": ids[column], "similarity": near})
 
-    return _dealt(index.pivots, visits, at_home(index.cells.select("cell", "id", "vector"), index.pivots.homes), group=False).mapInPandas(run, "query_id long, id long, similarity double")
+    hosts = index.cells.select("cell", "id", "vector", F.lit(None).cast("double").alias("least"))
+    return _dealt(index.pivots, visits, at_home(hosts, index.pivots.homes()), group=False).mapInPandas(run, "query_id long, id long, similarity double")
 
 
 def first_near(pivots: Pivots, guests: DataFrame, hosts: DataFrame, least: float) -> DataFrame:
@@ -197,25 +253,33 @@ def first_near(pivots: Pivots, guests: DataFrame, hosts: DataFrame, least: float
     its group and is alike by ``least`` or more. Both are (cell, id, group, pos, vector), rows of an index; no pair is a row."""
     limit = np.sqrt(max(0.0, 4 * (1 - least)) + SLACK)
 
-    homes = pivots.homes
+    groups = hosts.agg(F.approx_count_distinct("group").alias("n")).first()["n"]
+    homes = pivots.homes(max(1, groups))  # vectors of other groups do not meet in a block
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                row, block = np.nonzero(of_blocks(pivots.bounds(unit(batch["vector"].tolist())) <= limit, homes))
-                yield batch.iloc[row].assign(cell=block.astype("int32"))
+        for batch in strips(batches):
+            yield from sent(batch, of_blocks(pivots.bounds(unit(batch["vector"].tolist())) <= limit, homes))
 
     def ready(own: pd.DataFrame) -> tuple:
         own = own.sort_values(["pos", "id"])
         return own["pos"].to_numpy(), own["id"].to_numpy(), unit(own["vector"].tolist())
 
+    def before(places: np.ndarray, ids: np.ndarray, pos: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """How many of the hosts, in order, come before each guest."""
+        order = np.lexsort((np.concatenate([ids, names]), np.concatenate([places, pos])))  # a guest that is a host comes after itself
+        hosts_so_far = np.cumsum(order < len(places))
+        found = np.empty(len(order), "int64")
+        found[order] = hosts_so_far
+        found = found[len(places) :]
+        own = found - 1
+        return found - ((own >= 0) & (places[own] == pos) & (ids[own] == names))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (places, ids, rows), some in _pairs(batches, ["cell", "group", "block", "task"], ready):
-            pos, names = some["pos"].to_numpy()[:, None], some["id"].to_numpy()[:, None]
-            near = (alike(unit(some["vector"].tolist()), rows) >= least) & ((places < pos) | ((places == pos) & (ids < names)))
-            first = near.argmax(axis=1)
-            out = pd.DataFrame({"id": names[:, 0], "pos": places[first], "host": ids[first]})
-            yield out[near.any(axis=1)]
+            pos, names = some["pos"].to_numpy(), some["id"].to_numpy()
+            host = first(unit(some["vector"].tolist()), rows, before(places, ids, pos, names), least)
+            met = host >= 0
+            yield pd.DataFrame({"id": names[met], "pos": places[host[met]], "host": ids[host[met]]})
 
     columns = ["cell", "group", "id", "pos", "vector"]
     visits = guests.select(*columns).mapInPandas(visit, "cell int, group long, id long, pos long, vector array<double>")
@@ -238,29 +302,30 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0,
     asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
     pivots, farthest = index.pivots, np.sqrt(max(0.0, 4 * (1 - least)) + SLACK)  # similarity s is a squared distance of 4 (1 - s)
 
-    homes = pivots.homes
+    homes = pivots.homes()
 
     def visited(second: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                bounds = pivots.bounds(unit(batch["vector"].tolist())) if len(batch) else np.zeros((0, len(pivots.counts)))
+            for batch in strips(batches):
+                bounds = pivots.bounds(unit(batch["vector"].tolist()))
                 order = np.argsort(bounds, axis=1, kind="stable")
                 before = np.cumsum(pivots.counts[order], axis=1) - pivots.counts[order]
-                first = np.zeros(bounds.shape, bool)
-                np.put_along_axis(first, order, before <= k, 1)
-                near = of_blocks(first & (bounds <= farthest) & np.isfinite(bounds), homes)
+                first_ = np.zeros(bounds.shape, bool)
+                np.put_along_axis(first_, order, before <= k, 1)
+                near = of_blocks(first_ & (bounds <= farthest) & np.isfinite(bounds), homes)
+                lows = np.full(len(batch), least)
                 if second:
+                    lows = np.maximum(least, batch["bound"].to_numpy(dtype="float64"))
                     limit = np.sqrt(np.maximum(0.0, 4 * (1 - batch["bound"].to_numpy(dtype="float64"))) + SLACK)
                     near = of_blocks((bounds <= np.minimum(limit, farthest)[:, None]) & np.isfinite(bounds), homes) & ~near
-                row, cell = np.nonzero(near)
-                yield pd.DataFrame({"id": batch["query_id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": cell.astype("int32")})
+                yield from sent(pd.DataFrame({"id": batch["query_id"].to_numpy(), "vector": batch["vector"].to_numpy(), "least": lows}), near)
 
         return run
 
-    schema = "id long, vector array<double>, cell int"
-    some = written(_met(index, asked.mapInPandas(visited(False), schema), k, least, include_self), "near")
+    schema = "id long, vector array<double>, least double, cell int"
+    some = written(_met(index, asked.mapInPandas(visited(False), schema), k, include_self), "near")
     some = top_k(some, ["query_id"], k, F.desc("similarity"), F.asc("id"))
     bound = some.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("similarity").alias("bound"))
     left = asked.join(bound, F.col("query_id") == F.col("_q"), "left").select("query_id", "vector", F.coalesce("bound", F.lit(0.0)).alias("bound"))
-    more = _met(index, left.mapInPandas(visited(True), schema), k, least, include_self)
+    more = _met(index, left.mapInPandas(visited(True), schema), k, include_self)
     return top_k(some.drop("rank").unionByName(more), ["query_id"], k, F.desc("similarity"), F.asc("id"))

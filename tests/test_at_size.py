@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stratamem.functions import score
+from stratamem.operators import vector
 
 
 def test_age_counts_parts_of_a_second(spark):
@@ -21,3 +24,15 @@ def test_a_stream_reads_a_folder_of_files(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(tuple, found.collect())) == sorted(c.execute(entry.oracle_sql()["stream_first_replies"]).fetchall()) != []
+
+
+def test_what_a_task_sends_is_bounded():
+    rows = pd.DataFrame({"id": range(3000), "vector": [np.ones(4)] * 3000})
+    parts = list(vector.sent(rows, np.ones((3000, 40), bool)))
+    assert max(map(len, parts)) <= 8192 and sum(map(len, parts)) == 120_000
+    assert max(map(len, vector.strips([rows]))) <= 1024 and sum(map(len, vector.strips([rows]))) == 3000
+
+
+def test_groups_share_a_block_of_cells():
+    pivots = vector.Pivots(np.random.default_rng(3).normal(size=(40, 4)), np.full(40, vector.BLOCK // 4), np.zeros(40), np.ones(40))
+    assert len(set(pivots.homes())) == 10 and len(set(pivots.homes(5))) == 2

@@ -90,7 +90,7 @@ _NEAR = 0.7
 def semantic_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """A report of each memory's five nearest, where they are near."""
     found = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = vector.nearest(found.withColumnRenamed("id", "query_id"), found, 5, include_self=False).where(F.col("similarity") >= _NEAR)
+    near = vector.nearest(found.withColumnRenamed("id", "query_id"), found, 5, _NEAR, include_self=False)
     return near.select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 

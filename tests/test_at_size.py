@@ -36,3 +36,15 @@ def test_what_a_task_sends_is_bounded():
 def test_groups_share_a_block_of_cells():
     pivots = vector.Pivots(np.random.default_rng(3).normal(size=(40, 4)), np.full(40, vector.BLOCK // 4), np.zeros(40), np.ones(40))
     assert len(set(pivots.homes())) == 10 and len(set(pivots.homes(5))) == 2
+
+
+def test_best_by_single_precision_is_exact():
+    rng = np.random.default_rng(4)
+    left, right = (vector.unit(rng.normal(size=(n, 16)).tolist()) for n in (30, 500))
+    right[100:160], right[7] = right[3], np.nan
+    ids = rng.permutation(500)
+    for least in (0.0, 0.6):
+        near = np.where(ids == ids[:30, None], -1.0, vector.alike(left, right))
+        wanted = [[(ids[j], near[i, j]) for j in np.lexsort((ids, -near[i]))[:9] if near[i, j] >= least] for i in range(30)]
+        row, column, found = vector.best(left, right, 9, ids, ids[:30], np.full(30, least))
+        assert [list(zip(ids[column[row == i]], found[row == i], strict=True)) for i in range(30)] == wanted

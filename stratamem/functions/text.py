@@ -55,7 +55,7 @@ def count_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def is_significant(text: Column) -> Column:
     """Long enough and with a keyword."""
-    return (F.length(strip(text)) >= V.SIGNIFICANT_CHARS) & has_any(F.lower(text), V.SIGNIFICANT_KEYWORDS)
+    return bind(text, lambda x: (F.length(strip(x)) >= V.SIGNIFICANT_CHARS) & bind(F.lower(x), lambda low: has_any(low, V.SIGNIFICANT_KEYWORDS)))
 
 
 def abuse_reason(text: Column) -> Column:
@@ -128,34 +128,47 @@ def _hits(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def _certainty(hits: Column) -> Column:
-    return F.when(hits <= 0, F.lit(0.0)).otherwise(F.least(F.lit(0.95), 1.0 - 0.45 * F.pow(F.lit(0.55), hits)))
+    return bind(hits, lambda n: F.when(n <= 0, F.lit(0.0)).otherwise(F.least(F.lit(0.95), 1.0 - 0.45 * F.pow(F.lit(0.55), n))))
 
 
 def detect_layer(text: Column, kind: Column, agents: tuple[str, ...] = ("assistant",), owners: tuple[str, ...] = ("owner",)) -> Column:
-    """``struct<layer, confidence>``: world knowledge, agent operations or session only."""
-    text = F.coalesce(text, F.lit(""))
-    low, kind = F.lower(text), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    """``struct<layer, confidence>``: world knowledge, agent operations or session only.
+
+    Each pattern runs over a text once at most, and only where the kind leaves it open.
+    """
     names = {"agents": "|".join(agents), "owners": "|".join(owners)}
     agent_patterns = tuple(p.format(**names) if "{agents}" in p or "{owners}" in p else p for p in V.AGENT_PATTERNS)
-    agent, session = _hits(low, agent_patterns), _hits(low, V.SESSION_PATTERNS)
-    world = _hits(low, V.WORLD_PATTERNS)
-    words = F.regexp_extract_all(low, F.lit("[a-zA-Z']+"), F.lit(0))
-    pronouns = F.size(F.filter(words, lambda w: w.isin(*V.PRONOUNS)))
-    vague = F.size(words).between(3, 40) & (pronouns / F.greatest(F.size(words), F.lit(1)) >= 0.25)
-    vague = vague & ~text.rlike(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*\b")
-    a, w = _certainty(agent), _certainty(world)
-    s = F.when(vague, F.greatest(_certainty(session), F.lit(0.75))).otherwise(_certainty(session))
 
     def layer(name: str, sure: Column) -> Column:
         return F.struct(F.lit(name).alias("layer"), F.bround(sure, 2).alias("confidence"))
 
-    return (
-        F.when(kind.isin(*V.AGENT_TYPES), layer("agent_operations", F.greatest(F.lit(0.85), _certainty(agent + 1))))
-        .when(kind.isin(*V.SESSION_TYPES), layer("session_ephemeral", F.greatest(F.lit(0.85), _certainty(session + 1))))
-        .when(kind.isin(*V.WORLD_TYPES), layer("world_knowledge", _certainty(world + 1)))
-        .when((a >= s) & (a >= 0.5), layer("agent_operations", a))
-        .when((s > a) & (s >= 0.5), layer("session_ephemeral", s))
-        .otherwise(layer("world_knowledge", w))
+    def vague(words: Column) -> Column:
+        pronouns = F.size(F.filter(words, lambda w: w.isin(*V.PRONOUNS)))
+        return F.size(words).between(3, 40) & (pronouns / F.greatest(F.size(words), F.lit(1)) >= 0.25)
+
+    def untyped(text: Column, low: Column, a: Column, s: Column) -> Column:
+        unclear = bind(F.regexp_extract_all(low, F.lit("[a-zA-Z']+"), F.lit(0)), vague) & ~text.rlike(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*\b")
+        scores = F.struct(a.alias("a"), F.when(unclear, F.greatest(s, F.lit(0.75))).otherwise(s).alias("s"))
+        return bind(
+            scores,
+            lambda x: F.when((x["a"] >= x["s"]) & (x["a"] >= 0.5), layer("agent_operations", x["a"]))
+            .when((x["s"] > x["a"]) & (x["s"] >= 0.5), layer("session_ephemeral", x["s"]))
+            .otherwise(layer("world_knowledge", _certainty(_hits(low, V.WORLD_PATTERNS)))),
+        )
+
+    def judged(x: Column) -> Column:
+        text, low, kind = x["text"], x["low"], x["kind"]
+        agent, session, world = _hits(low, agent_patterns), _hits(low, V.SESSION_PATTERNS), _hits(low, V.WORLD_PATTERNS)
+        return (
+            F.when(kind.isin(*V.AGENT_TYPES), layer("agent_operations", F.greatest(F.lit(0.85), _certainty(agent + 1))))
+            .when(kind.isin(*V.SESSION_TYPES), layer("session_ephemeral", F.greatest(F.lit(0.85), _certainty(session + 1))))
+            .when(kind.isin(*V.WORLD_TYPES), layer("world_knowledge", _certainty(world + 1)))
+            .otherwise(bind(_certainty(session), lambda s: untyped(text, low, _certainty(agent), s)))
+        )
+
+    return bind(
+        F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.lower(F.trim(F.coalesce(kind, F.lit("")))).alias("kind")),
+        judged,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stratamem.functions import score
-from stratamem.operators import keyword, vector
+from stratamem.operators import extract, keyword, vector
 
 
 def test_age_counts_parts_of_a_second(spark):
@@ -69,3 +69,10 @@ def test_a_frequent_token_does_not_meet_in_one_task(spark):
         assert {r["id"]: r["score"] for r in found.collect()} == {i: 0.5 if i == 3 else 0.25 for i in range(60)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_text_is_judged_once(spark):
+    notes = spark.createDataFrame([(1, "Ada Vale met us just now", None)], "uuid long, content string, episode_type string")
+    plan = extract.entity_references(notes)._jdf.queryExecution().optimizedPlan().toString()
+    # sessions' and agents' patterns: where a kind decides, and where none does
+    assert plan.count(r"\bjust now\b") == 2 and plan.count(r"\bauto[- ]?memory\b") == 2

@@ -63,7 +63,7 @@ def mentioned(episodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A page's state is the least (rank, domain) that names it: a mention before an edge's end.
     """
     references = written(extract.entity_references(episodes), "references")  # each read twice below
-    found = written(extract.extract_edges(episodes).join(episodes.select("uuid", "created_at"), "uuid"), "edges")
+    found = written(extract.extract_edges(episodes, "created_at"), "edges")
     named = references.select("slug", F.struct(F.lit(0).alias("rank"), "domain").alias("named")).unionByName(found.select(F.col("to_slug").alias("slug"), F.struct(F.lit(1).alias("rank"), "domain").alias("named")))
     evidence = references.select("uuid", "slug").join(episodes.select("uuid", F.left("content", F.lit(120)).alias("summary")), "uuid").select("slug", "uuid", "summary")
     return merged_pages(named), graph.edge_states(found), evidence
@@ -77,7 +77,7 @@ def merged_pages(states: DataFrame) -> DataFrame:
 def maintain(episodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, edges, evidence) that episodes make: pages (slug, domain) on first mention, typed edges at
     their highest confidence, and one evidence link (slug, uuid, summary) for each page and episode."""
-    pages, edges, evidence = mentioned(episodes)
+    pages, edges, evidence = mentioned(written(episodes.select("uuid", "content", "episode_type", "group_id", "created_at"), "mentioning"))
     return pages.select("slug", F.col("named.domain").alias("domain")), graph.told_edges(edges), evidence
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stratamem.functions import score
-from stratamem.operators import extract, keyword, vector
+from stratamem.operators import extract, ingest, keyword, vector
 
 
 def test_age_counts_parts_of_a_second(spark):
@@ -76,3 +76,12 @@ def test_a_text_is_judged_once(spark):
     plan = extract.entity_references(notes)._jdf.queryExecution().optimizedPlan().toString()
     # sessions' and agents' patterns: where a kind decides, and where none does
     assert plan.count(r"\bjust now\b") == 2 and plan.count(r"\bauto[- ]?memory\b") == 2
+
+
+def test_pages_read_the_messages_once(spark, monkeypatch):
+    written, labels = ingest.written, []
+    monkeypatch.setattr(ingest, "written", lambda rows, label: labels.append((label, rows._jdf.queryExecution().optimizedPlan().toString())) or written(rows, label))
+    pages = entry.queries()["ingest_pages"](spark, "/root/testdata/sf0.001")
+    assert {r["slug"] for r in pages.collect()}
+    assert [label for label, plan in labels if "events.parquet" in plan or "event_id" in plan] == ["mentioning"]
+    assert all("Join" not in plan for label, plan in labels if label != "mentioning")

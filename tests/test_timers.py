@@ -78,3 +78,18 @@ def test_no_events(spark, tmp_path):
     write(spark, [], f"{tmp_path}/in")
     run(spark, tmp_path)
     assert spark.read.schema(leases.EVENTS).parquet(f"{tmp_path}/out").count() == 0
+
+
+def test_jobs_share_calls_to_the_state_store(spark, tmp_path):
+    rows = [(i, None if i % 50 == 0 else 2**60 + i % 50, "claim", 0, "a", 10, 4) for i in range(100)] + [(100, 2**60 + 1, "renew", 5, "a", 10, 4), (101, 2**60 + 2, "claim", 500, "b", 10, 4)]
+    write(spark, rows, f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    out = leases.queue_timers(stream, "30 seconds", buckets=2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    query = out.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(leases.EVENTS).parquet(f"{tmp_path}/out").collect()
+    got = sorted(((r["job_id"] or 0, r["event"], (r["at"] - START).total_seconds(), r["attempts"]) for r in found))
+    # the job that was claimed again has its old lease run out first, and its new one still open
+    assert got == sorted([(0 if n == 0 else 2**60 + n, "expired", 25 if n == 1 else 20, 2) for n in range(50)])
+    # three buckets, that of the missing job included: a timer each, not one for each of fifty jobs
+    assert max(p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in query.recentProgress if p.stateOperators) <= 3

@@ -17,6 +17,18 @@ from stratamem.operators.trees import descendants
 from stratamem.sources.scratch import written
 
 
+def _met(rows: DataFrame, keys: list[str], *others: tuple[DataFrame, Column]) -> DataFrame:
+    """``rows`` with what they meet in ``others`` (table, test) by ``keys``, or nulls. Rows without a key
+    meet nothing and are left where they are: in a join by key they would all go to one task."""
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    met = rows.where(keyed)
+    for other, test in others:
+        met = met.join(other, test, "left")
+    return met.unionByName(rows.where(~keyed), allowMissingColumns=True)
+
+
 def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     """What becomes of ``requests`` (job_id, name, idempotency_key, parent_id, priority, timeout_seconds, max_attempts, scheduled_at).
 
@@ -36,8 +48,8 @@ def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     counts = jobs.where("parent_id is not null").groupBy("parent_id").agg(F.count(F.lit(1)).alias("_children"))
     parents = jobs.select(F.col("job_id").alias("_p"), F.col("depth").alias("_depth"))
     known = jobs.where("idempotency_key is not null").groupBy(F.col("name").alias("_name"), F.col("idempotency_key").alias("_key")).agg(F.min("job_id").alias("_existing"))
-    met = requests.join(parents, F.col("parent_id") == F.col("_p"), "left").join(counts.withColumnRenamed("parent_id", "_q"), F.col("parent_id") == F.col("_q"), "left")
-    met = met.join(known, (F.col("name") == F.col("_name")) & (F.col("idempotency_key") == F.col("_key")), "left")
+    met = _met(requests, ["parent_id"], (parents, F.col("parent_id") == F.col("_p")), (counts.withColumnRenamed("parent_id", "_q"), F.col("parent_id") == F.col("_q")))
+    met = _met(met, ["name", "idempotency_key"], (known, (F.col("name") == F.col("_name")) & (F.col("idempotency_key") == F.col("_key"))))
     depth = F.when(F.col("parent_id").isNull(), 0).otherwise(F.col("_depth") + 1)
     reason = (
         F.when(F.coalesce("name", F.lit("")) == "", F.lit("name"))
@@ -52,7 +64,7 @@ def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     while True:
         left = judged.where("reason is null")
         if full is not None:
-            left = left.join(full, F.col("parent_id") == F.col("_parent"), "left").where(F.col("_full_at").isNull() | (F.col("job_id") <= F.col("_full_at")))
+            left = _met(left, ["parent_id"], (full, F.col("parent_id") == F.col("_parent"))).where(F.col("_full_at").isNull() | (F.col("job_id") <= F.col("_full_at")))
         firsts = left.where("idempotency_key is not null and _existing is null").groupBy(F.col("name").alias("_n"), F.col("idempotency_key").alias("_k")).agg(F.min("job_id").alias("_first"))
         made = left.where("idempotency_key is null").select("job_id", "parent_id", "_children").unionByName(
             left.join(firsts, F.col("job_id") == F.col("_first"), "left_semi").select("job_id", "parent_id", "_children")
@@ -64,7 +76,8 @@ def submit(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
         full = found
         if state == before or not state[0]:
             break
-    met = judged.join(full, F.col("parent_id") == F.col("_parent"), "left").join(firsts, (F.col("name") == F.col("_n")) & (F.col("idempotency_key") == F.col("_k")), "left")
+    met = _met(judged, ["parent_id"], (full, F.col("parent_id") == F.col("_parent")))
+    met = _met(met, ["name", "idempotency_key"], (firsts, (F.col("name") == F.col("_n")) & (F.col("idempotency_key") == F.col("_k"))))
     refused = F.coalesce("reason", F.when(F.col("job_id") > F.col("_full_at"), F.lit("children")))
     first = F.coalesce("_existing", "_first", "job_id")
     return met.withColumn("_reason", refused).select(

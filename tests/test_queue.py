@@ -148,3 +148,22 @@ def test_roots_of_trees(spark, links):
         wanted[i] = (None, None) if at in seen else (at, steps)
     found = trees.rooted(spark.createDataFrame(links, "id long, parent long")).collect()
     assert {r["id"]: (r["root"], r["depth"]) for r in found} == wanted
+
+
+def test_requests_without_a_key_do_not_meet_in_one_task(spark):
+    from stratamem.operators import jobs as J
+
+    rows = spark.range(8000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).alias("parent_id")).repartition(4)
+    others = spark.range(0, 8000, 2).select(F.col("id").alias("_p"), F.lit(1).alias("_depth"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        met = J._met(rows, ["parent_id"], (others, F.col("parent_id") == F.col("_p")))
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 8000 and max(sizes) <= 2500
+        assert met.where("_p is not null").count() == 80 and met.where("_p = id and _depth = 1").count() == 80
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
